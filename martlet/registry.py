@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions.copies import mark_later_copies
 from .functions.exact import portable
-from .operators import customers, dashboards, operations, products, sales
+from .operators import customers, dashboards, operations, products, quality, sales
+from .plans.session import shared_folder
+from .sources import raw, readers, writers
+from .sources.schemas import KEYS, RAW
 from .sources.star import Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +97,215 @@ add("operations_summary", lambda t: operations.operations_summary(t.sales("deliv
 # Summary pages
 add("home_summary", lambda t: dashboards.home_summary(t.sales("revenue", "profit"), t.customers()))
 add("executive_summary", lambda t: dashboards.executive_summary(t.sales(*EXECUTIVE_FACT), t.customers()))
+
+
+# Data quality, over the raw tables
+AS_OF = date(2002, 1, 1)
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+def star_audit(t: Star) -> quality.StarAudit:
+    return quality.audit_star(raw.raw_customers(t), raw.raw_products(t), raw.raw_orders(t), AS_OF, REGIONS)
+
+
+def customers_audit(t: Star) -> quality.Audit:
+    return quality.audit_customers(raw.raw_customers(t), AS_OF, REGIONS)
+
+
+def products_audit(t: Star) -> quality.Audit:
+    return quality.audit_products(raw.raw_products(t))
+
+
+def orders_audit(t: Star) -> quality.Audit:
+    return star_audit(t).orders
+
+
+def _union(frames) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _raw_tables(t: Star) -> dict[str, DataFrame]:
+    return {"customers": raw.raw_customers(t), "products": raw.raw_products(t), "orders": raw.raw_orders(t)}
+
+
+def _found(df: DataFrame, table: str, key: str, value: str, hit) -> DataFrame:
+    """The rows a check hits, in one shape for every table."""
+    return df.where(hit).select(
+        F.lit(table).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.col("seq"),
+        F.col(value).cast("string").alias("found_value"))
+
+
+def dq_missing(t: Star) -> DataFrame:
+    parts = []
+    for name, df in _raw_tables(t).items():
+        columns = [c for c in df.columns if c not in ("seq", "customer_segment")]
+        parts.append(quality.missing_counts(df, columns).withColumn("table_name", F.lit(name)))
+    return _union(parts)
+
+
+def dq_full_duplicates(t: Star) -> DataFrame:
+    orders = raw.raw_orders(t)
+    judged = [c for c in orders.columns if c not in ("order_id", "seq")]
+    return mark_later_copies(orders, judged, ["seq", "order_id"], "copy").where("copy").select("order_id", "seq")
+
+
+def dq_duplicate_key(t: Star) -> DataFrame:
+    parts = []
+    for name, df in (("customers", raw.raw_customers(t)), ("products", raw.raw_products(t))):
+        key = KEYS[name]
+        marked = mark_later_copies(df.select(key, "seq"), [key], ["seq"], "copy")
+        parts.append(marked.where("copy").select(F.lit(name).alias("table_name"), F.col(key).alias("row_key"), "seq"))
+    return _union(parts)
+
+
+def dq_trim_text(t: Star) -> DataFrame:
+    texts = {"customers": ["name", "city", "region"], "products": ["product_name", "category", "sub_category"],
+             "orders": ["region", "payment_method", "return_status"]}
+    parts = []
+    for name, df in _raw_tables(t).items():
+        trimmed = quality.trim_text(df, texts[name])
+        counts = trimmed.agg(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.count_if(F.col(f"dq_trim_{c}")).alias("rows_changed"))
+            for c in texts[name]]).alias("entries"))
+        parts.append(counts.select(F.explode("entries").alias("e")).select(F.lit(name).alias("table_name"), "e.*"))
+    return _union(parts)
+
+
+def dq_invalid_date(t: Star) -> DataFrame:
+    def hit(c):
+        return quality.invalid_date(F.col(c), quality.EARLIEST_DATE, AS_OF)
+    return _found(raw.raw_customers(t), "customers", "customer_id", "signup_date", hit("signup_date")).unionByName(
+        _found(raw.raw_orders(t), "orders", "order_id", "order_date", hit("order_date")))
+
+
+def dq_invalid_category(t: Star) -> DataFrame:
+    c = quality.trim_text(raw.raw_customers(t), ["region"])
+    o = quality.trim_text(raw.raw_orders(t), ["return_status"])
+    return _found(c, "customers", "customer_id", "region", quality.invalid_category(F.col("region"), REGIONS)).unionByName(
+        _found(o, "orders", "order_id", "return_status",
+               quality.invalid_category(F.col("return_status"), quality.VALID_RETURN_STATUS)))
+
+
+def dq_outliers_iqr(t: Star) -> DataFrame:
+    p = quality.outliers_iqr(raw.raw_products(t), "price", "far")
+    o = quality.outliers_iqr(raw.raw_orders(t), "revenue", "far")
+    return _found(p, "products", "product_id", "price", F.col("far")).unionByName(
+        _found(o, "orders", "order_id", "revenue", F.col("far")))
+
+
+def dq_fk_violations(t: Star) -> DataFrame:
+    c, p = customers_audit(t).cleaned(), products_audit(t).cleaned()
+    return quality.orphan_orders(raw.raw_orders(t), c, p)
+
+
+def dq_score(t: Star) -> DataFrame:
+    return _union([a.report().select("table_name", "total_rows", "invalid_rows", "quality_score_pct")
+                   for a in star_audit(t)])
+
+
+def reject_reasons(t: Star) -> DataFrame:
+    return _union([
+        a.rejected().select(F.lit(a.table).alias("table_name"), F.col(KEYS[a.table]).cast("string").alias("row_key"),
+                            "seq", F.array_join("reasons", ",").alias("reasons"))
+        for a in star_audit(t)])
+
+
+def quality_report(t: Star) -> DataFrame:
+    report = quality.quality_report(star_audit(t))
+    missing = F.array_join(F.transform(F.map_entries("missing_values"), lambda e: F.concat_ws(":", e.key, e.value)), ",")
+    return report.withColumn("missing_values", missing)
+
+
+def orphan_orders(t: Star) -> DataFrame:
+    return quality.orphan_orders(raw.raw_orders(t), raw.raw_customers(t), raw.raw_products(t))
+
+
+def constraint_violations(t: Star) -> DataFrame:
+    return quality.constraint_violations(raw.raw_customers(t), raw.raw_products(t), raw.raw_orders(t))
+
+
+add("dq_missing", dq_missing)
+add("dq_full_duplicates", dq_full_duplicates)
+add("dq_duplicate_key", dq_duplicate_key)
+add("dq_trim_text", dq_trim_text)
+add("dq_out_of_range", lambda t: _found(raw.raw_customers(t), "customers", "customer_id", "age",
+                                        quality.out_of_range(F.col("age"), *quality.AGE_RANGE)))
+add("dq_invalid_date", dq_invalid_date)
+add("dq_invalid_category", dq_invalid_category)
+add("dq_outliers_iqr", dq_outliers_iqr)
+add("dq_price_rule", lambda t: _found(raw.raw_products(t), "products", "product_id", "price",
+                                      quality.price_rule(F.col("price"), F.col("cost"))))
+add("dq_numeric_rules", lambda t: _found(raw.raw_orders(t), "orders", "order_id", "quantity", quality.numeric_rules()))
+add("dq_fk_violations", dq_fk_violations)
+add("dq_score", dq_score)
+add("clean_customers", lambda t: customers_audit(t).cleaned())
+add("clean_products", lambda t: products_audit(t).cleaned())
+add("clean_orders", lambda t: orders_audit(t).cleaned())
+add("reject_reasons", reject_reasons)
+add("transformation_log", lambda t: quality.transformation_log(star_audit(t)))
+add("quality_report", quality_report)
+add("orphan_orders", orphan_orders)
+add("load_total_revenue", lambda t: quality.load_total_revenue(orders_audit(t).cleaned()))
+add("constraint_violations", constraint_violations)
+
+
+# Sources and sinks: each writes into a folder of its own below the shared one
+def _fresh(t: Star, what: str) -> str:
+    return f"{shared_folder(t.spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _loaded(t: Star) -> tuple[quality.StarAudit, str, DataFrame]:
+    audit, folder = star_audit(t), _fresh(t, "cleaned")
+    tables = {a.table: a.cleaned() for a in audit}
+    return audit, folder, writers.append_cleaned(t.spark, tables, folder)
+
+
+def read_star(t: Star) -> DataFrame:
+    """Raw tables written as CSV, read back with declared types, summed up."""
+    folder = _fresh(t, "raw")
+    writers.write_csv_star({n: df.select(*RAW[n].names) for n, df in _raw_tables(t).items()}, folder)
+    tables = readers.read_star(t.spark, folder)
+    amounts = {"customers": "age", "products": "price", "orders": "revenue"}
+    return _union([
+        df.agg(F.lit(n).alias("table_name"), F.count("*").alias("row_count"),
+               F.sum(F.col(amounts[n]).cast("decimal(12,2)")).alias("total"), F.countDistinct("seq").alias("places"))
+        for n, df in tables.items()])
+
+
+def read_cleaned(t: Star) -> DataFrame:
+    folder = _fresh(t, "cleaned")
+    audit = customers_audit(t)
+    writers.publish({"customers": audit.cleaned()}, folder)
+    return readers.read_cleaned(t.spark, folder, "customers")
+
+
+def append_cleaned(t: Star) -> DataFrame:
+    """Loads twice; the second load finds every key stored and adds nothing."""
+    audit, folder, _ = _loaded(t)
+    stored = {a.table: readers.read_cleaned(t.spark, folder, a.table) for a in audit}
+    return writers.append_cleaned(t.spark, stored, folder)
+
+
+def load_reconcile(t: Star) -> DataFrame:
+    audit, folder, _ = _loaded(t)
+    return quality.load_reconcile({a.table: a.cleaned() for a in audit},
+                                  {a.table: readers.read_cleaned(t.spark, folder, a.table) for a in audit})
+
+
+def write_quality_outputs(t: Star) -> DataFrame:
+    out = writers.write_quality_outputs(t.spark, star_audit(t), _fresh(t, "quality"))
+    return _union([df.agg(F.lit(n).alias("dataset"), F.count("*").alias("stored_rows")) for n, df in out.items()])
+
+
+def profile_upload(t: Star) -> DataFrame:
+    folder = _fresh(t, "upload")
+    writers.write_csv_star({"orders": raw.raw_orders(t).select(*RAW["orders"].names)}, folder)
+    return readers.profile_upload(t.spark, f"{folder}/orders.csv")
+
+
+add("read_star", read_star)
+add("read_cleaned", read_cleaned)
+add("append_cleaned", append_cleaned)
+add("load_reconcile", load_reconcile)
+add("write_quality_outputs", write_quality_outputs)
+add("profile_upload", profile_upload)
