@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.copies import mark_later_copies
 from .functions.exact import portable
-from .operators import customers, dashboards, operations, products, quality, sales
+from .operators import customers, dashboards, measures, operations, products, quality, sales
 from .plans.session import shared_folder
 from .sources import raw, readers, writers
 from .sources.schemas import KEYS, RAW
@@ -309,3 +309,44 @@ add("append_cleaned", append_cleaned)
 add("load_reconcile", load_reconcile)
 add("write_quality_outputs", write_quality_outputs)
 add("profile_upload", profile_upload)
+
+
+# KPI measures, by region and month unless named otherwise
+KPI_COLUMNS = {
+    "total_revenue": ["revenue"], "total_profit": ["profit"], "total_orders": [], "total_customers": ["customer_id"],
+    "avg_order_value": ["revenue"], "profit_margin": ["revenue", "profit"], "return_rate": ["return_status"],
+    "cancellation_rate": ["return_status"], "clv": ["revenue", "customer_id"], "avg_delivery_days": ["delivery_days"],
+    "returning_customers": ["customer_id"], "retention_rate": ["customer_id"],
+}
+CATEGORY_KPIS = ["total_revenue", "total_profit", "total_orders", "total_customers", "avg_order_value", "profit_margin",
+                 "return_rate", "cancellation_rate", "clv", "avg_delivery_days"]
+
+
+def _kpi(measure: str) -> Callable[[Star], DataFrame]:
+    def build(t: Star) -> DataFrame:
+        fact = t.sales("region", "order_date", *KPI_COLUMNS[measure])
+        return measures.kpis(fact.withColumn("month", F.trunc("order_date", "month")), ["region", "month"], [measure])
+    return build
+
+
+def kpi_all_by_category(t: Star) -> DataFrame:
+    fact = t.sales("product_id", "customer_id", "revenue", "profit", "return_status", "delivery_days")
+    fact = fact.join(t.products().select("product_id", "category"), "product_id")
+    return measures.kpis(fact, ["category"], CATEGORY_KPIS)
+
+
+for _name in KPI_COLUMNS:
+    add(f"kpi_{_name}", _kpi(_name))
+add("kpi_all_by_category", kpi_all_by_category)
+add("kpi_churn_rate_90", lambda t: measures.churn_rate_90(t.sales("region", "customer_id", "order_date"), ["region"]))
+add("date_table", lambda t: measures.date_table(t.sales("order_date")))
+add("kpi_revenue_mom_growth", lambda t: measures.prior_month(t.sales("order_date", "revenue"), "revenue"))
+add("kpi_profit_mom_growth", lambda t: measures.prior_month(t.sales("order_date", "profit"), "profit"))
+add("kpi_revenue_prior_month", lambda t: measures.prior_month(t.sales("order_date", "revenue"), "revenue").drop(
+    "revenue_mom_growth"))
+add("kpi_profit_prior_month", lambda t: measures.prior_month(t.sales("order_date", "profit"), "profit").drop(
+    "profit_mom_growth"))
+add("kpi_new_customers", lambda t: measures.new_customers(t.sales("order_date"), t.customers()))
+add("revenue_rank", lambda t: measures.revenue_rank(t.sales("product_id", "revenue"), t.products()).drop("top10_flag"))
+add("top10_flag", lambda t: measures.revenue_rank(t.sales("product_id", "revenue"), t.products()).select(
+    "product_name", "top10_flag"))
