@@ -17,15 +17,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .exact import int_div, whole
 
 
-def with_buckets(df: DataFrame, value: str) -> tuple[DataFrame, list[str]]:
-    """Adds the coarse and fine bucket of a BIGINT column; returns the level columns too."""
-    extent = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("extent")).scalar()
-    lo = extent.getField("lo")
-    width = F.greatest(F.ceil(F.cbrt((extent.getField("hi") - lo + 1).cast("double"))), F.lit(1)).cast("bigint")
-    coarse, fine = f"{value}_coarse", f"{value}_fine"
-    bucketed = df.withColumn(fine, int_div(F.col(value) - lo, width)).withColumn(
-        coarse, int_div(F.col(value) - lo, width * width))
-    return bucketed, [coarse, fine, value]
+def bucket_levels(value: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+    """Coarse and fine bucket of a BIGINT between lo and hi."""
+    width = F.greatest(F.ceil(F.cbrt((hi - lo + 1).cast("double"))), F.lit(1)).cast("bigint")
+    return int_div(value - lo, width * width), int_div(value - lo, width)
+
+
+def with_buckets(df: DataFrame, value: str, group: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Adds the buckets of a BIGINT column; returns its level columns too.
+
+    With a group column (of few values) every group has its own extent.
+    """
+    extent = F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("extent")
+    if group:
+        entry = F.struct(F.col(group), F.col("extent"))
+        extents = df.groupBy(group).agg(extent).agg(F.map_from_entries(F.collect_list(entry)).alias("extents"))
+        own = F.element_at(extents.scalar(), F.col(group))
+    else:
+        own = df.agg(extent).scalar()
+    coarse, fine = bucket_levels(F.col(value), own.getField("lo"), own.getField("hi"))
+    levels = [f"{value}_coarse", f"{value}_fine", value]
+    return df.withColumn(levels[0], coarse).withColumn(levels[1], fine), levels
 
 
 def _before(n: str, window) -> Column:
@@ -66,18 +78,20 @@ def order_statistics(df: DataFrame, levels: list[str], ranks: Callable[[Column],
     return hits.select(*group, "total", "rank", *levels)
 
 
-def quantile_edges(df: DataFrame, value: str, parts: int) -> DataFrame:
-    """One row: `edges`, the linearly interpolated inner quantiles 1/parts ... times parts.
+def quantile_edges(df: DataFrame, value: str, parts: int, group: str | None = None) -> DataFrame:
+    """`edges`: the linearly interpolated inner quantiles 1/parts ... of a BIGINT column, times parts.
 
+    One row, or one per value of the group column (which must have few).
     Scaling by `parts` keeps interpolation in whole numbers.  Nulls are ignored.
     """
-    values, levels = with_buckets(df.where(F.col(value).isNotNull()).select(value), value)
+    keys = [group] if group else []
+    values, levels = with_buckets(df.where(F.col(value).isNotNull()).select(*keys, value), value, group)
 
     def positions(total: Column) -> Column:
         low = [int_div((total - 1) * k, F.lit(parts)) for k in range(1, parts)]
         return F.array(*low, *[F.least(p + 1, total - 1) for p in low])
 
-    found = order_statistics(values, levels, positions).agg(
+    found = order_statistics(values, levels, positions, tuple(keys)).groupBy(*keys).agg(
         F.max("total").alias("total"),
         F.map_from_entries(F.collect_list(F.struct("rank", whole(F.col(value)).alias("v")))).alias("at"),
     )
@@ -89,7 +103,7 @@ def quantile_edges(df: DataFrame, value: str, parts: int) -> DataFrame:
         b = F.try_element_at("at", F.least(low + 1, F.col("total") - 1))
         return a * parts + (b - a) * (spread % parts)
 
-    return found.select("total", F.array(*[edge(k) for k in range(1, parts)]).alias("edges"))
+    return found.select(*keys, "total", F.array(*[edge(k) for k in range(1, parts)]).alias("edges"))
 
 
 def iqr_fence(df: DataFrame, value: str, whisker: str = "1.5") -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.copies import mark_later_copies
 from .functions.exact import portable
-from .operators import customers, dashboards, measures, operations, products, quality, sales
+from .operators import (advice, anomalies, churn, customers, dashboards, measures, operations, products, quality,
+                        questions, rootcause, sales, segments)
 from .plans.session import shared_folder
 from .sources import raw, readers, writers
 from .sources.schemas import KEYS, RAW
@@ -350,3 +351,211 @@ add("kpi_new_customers", lambda t: measures.new_customers(t.sales("order_date"),
 add("revenue_rank", lambda t: measures.revenue_rank(t.sales("product_id", "revenue"), t.products()).drop("top10_flag"))
 add("top10_flag", lambda t: measures.revenue_rank(t.sales("product_id", "revenue"), t.products()).select(
     "product_name", "top10_flag"))
+
+
+# Segments
+RFM_FACT = ("customer_id", "order_date", "revenue")
+
+
+def _segments(t: Star) -> DataFrame:
+    return segments.rfm_segments(segments.rfm_scores(segments.rfm_base(t.sales(*RFM_FACT), t.customers())))
+
+
+def _segmented_customers(t: Star) -> DataFrame:
+    return segments.apply_segments(t.customers(), _segments(t))
+
+
+add("rfm_base", lambda t: segments.rfm_base(t.sales(*RFM_FACT), t.customers()))
+add("rfm_scores", lambda t: segments.rfm_scores(segments.rfm_base(t.sales(*RFM_FACT), t.customers())))
+add("rfm_segments", _segments)
+add("segment_profile", lambda t: segments.segment_profile(_segments(t)))
+add("segment_counts", lambda t: segments.segment_counts(_segments(t)))
+add("apply_segments", _segmented_customers)
+
+
+# Churn
+def _features(t: Star) -> DataFrame:
+    return churn.churn_features(t.sales("customer_id", "order_date", "revenue", "return_status"), t.customers())
+
+
+def churn_preprocess(t: Star) -> DataFrame:
+    matrix = churn.churn_preprocess(_stored_features(t))
+    columns = [f"z_{c}" for c in churn.NUMERIC] + [f"region_{r.lower().replace(' ', '_')}" for r in REGIONS]
+    return matrix.select("customer_id", *[F.round(F.col("features")[i], 4).alias(c) for i, c in enumerate(columns)])
+
+
+_TRAINED: dict[tuple[str, str], tuple[str, churn.ChurnModels]] = {}
+
+
+def _trained(t: Star) -> tuple[str, churn.ChurnModels]:
+    """Stored features and fitted models of one folder, trained once per Spark application."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _TRAINED:
+        folder = _fresh(t, "churn")
+        writers.publish({"churn_features": _features(t)}, folder)
+        _TRAINED[key] = folder, churn.train(t.spark.read.parquet(f"{folder}/churn_features"))
+    return _TRAINED[key]
+
+
+def _stored_features(t: Star) -> DataFrame:
+    folder = _fresh(t, "churn")
+    writers.publish({"churn_features": _features(t)}, folder)
+    return t.spark.read.parquet(f"{folder}/churn_features")
+
+
+def _predictions(t: Star) -> DataFrame:
+    folder, trained = _trained(t)
+    return churn.churn_score(trained.model, t.spark.read.parquet(f"{folder}/churn_features"))
+
+
+def churn_evaluate(t: Star) -> DataFrame:
+    metrics = _trained(t)[1].metrics
+    cells = F.flatten("confusion_matrix")
+    return metrics.select("model", "accuracy", "precision", "recall", "f1_score", "roc_auc",
+                          *[cells[i].alias(n) for i, n in enumerate(("tn", "fp", "fn", "tp"))])
+
+
+def churn_select(t: Star) -> DataFrame:
+    trained = _trained(t)[1]
+    return trained.metrics.where(F.col("model") == trained.selected).select(F.col("model").alias("selected_model"), "roc_auc")
+
+
+def churn_feature_impact(t: Star) -> DataFrame:
+    folder, trained = _trained(t)
+    return churn.churn_feature_impact(trained.model, t.spark.read.parquet(f"{folder}/churn_features"))
+
+
+def churn_model_io(t: Star) -> DataFrame:
+    """Saved and loaded again, the model scores every customer as before."""
+    folder, trained = _trained(t)
+    path = f"{_fresh(t, 'model')}/churn_model"
+    churn.save_model(trained.model, path)
+    return churn.churn_score(churn.load_model(path), t.spark.read.parquet(f"{folder}/churn_features"))
+
+
+def write_ml_outputs(t: Star) -> DataFrame:
+    folder = _fresh(t, "results")
+    daily = _daily(t)
+    writers.publish({"churn_features": _features(t), "customer_segments": _segments(t), "daily_metrics": daily}, folder)
+    writers.publish({"segment_profile": segments.segment_profile(t.spark.read.parquet(f"{folder}/customer_segments")),
+                     "anomalies": _anomalies(t, t.spark.read.parquet(f"{folder}/daily_metrics"))}, folder)
+    return writers.stored_rows(t.spark, folder, [
+        "churn_features", "customer_segments", "segment_profile", "daily_metrics", "anomalies"])
+
+
+add("churn_features", _features)
+add("churn_balance", lambda t: churn.churn_balance(_features(t)))
+add("feature_summary", lambda t: churn.feature_summary(_features(t)))
+add("churn_split", lambda t: churn.churn_split(_features(t)).select("customer_id", "churned", "is_test"))
+add("churn_preprocess", churn_preprocess)
+add("churn_evaluate", churn_evaluate)
+add("churn_select", churn_select)
+add("churn_feature_impact", churn_feature_impact)
+add("churn_score", _predictions)
+add("risk_counts", lambda t: churn.risk_counts(_predictions(t)))
+add("risk_filter", lambda t: churn.risk_filter(_predictions(t), ["High Risk", "Medium Risk"]))
+add("churn_model_io", churn_model_io)
+
+
+# Anomalies
+def _daily(t: Star) -> DataFrame:
+    return anomalies.daily_metrics(t.sales("order_date", "revenue", "profit", "return_status"), t.customers())
+
+
+def _anomalies(t: Star, daily: DataFrame | None = None) -> DataFrame:
+    lines = t.sales("order_date", "region", "product_id", "revenue")
+    return anomalies.detect_anomalies(daily if daily is not None else _daily(t), lines, t.products())
+
+
+def anomaly_contributors(t: Star) -> DataFrame:
+    lines = t.sales("order_date", "region", "product_id", "revenue")
+    return anomalies.anomaly_contributors(measures.date_table(t.sales("order_date")), lines, t.products())
+
+
+add("daily_metrics", _daily)
+add("rolling_zscore", lambda t: anomalies.rolling_zscore(_daily(t)))
+add("rolling_mean", lambda t: anomalies.rolling_mean(_daily(t)))
+add("iqr_flags", lambda t: anomalies.iqr_flags(_daily(t)))
+add("detect_anomalies", _anomalies)
+add("anomaly_contributors", anomaly_contributors)
+add("anomaly_counts", lambda t: anomalies.anomaly_counts(_anomalies(t)))
+add("recent_anomalies", lambda t: anomalies.recent_anomalies(_anomalies(t)))
+add("anomaly_filter", lambda t: anomalies.anomaly_filter(_anomalies(t), "profit"))
+add("write_ml_outputs", write_ml_outputs)
+
+
+# Root cause between two months
+PERIOD_A, PERIOD_B = "1997-03", "1997-04"
+FIRST, LAST = rootcause.month_bounds(PERIOD_A)[0], rootcause.month_bounds(PERIOD_B)[1]
+
+
+def _period_fact(t: Star, metric: str) -> DataFrame:
+    return t.sales("order_date", "product_id", "region", "payment_method", "return_status", metric, start=FIRST, end=LAST)
+
+
+def _contributors(t: Star, metric: str = "revenue") -> DataFrame:
+    return rootcause.compare_periods(_period_fact(t, metric), t.products(), PERIOD_A, PERIOD_B, metric)
+
+
+def _breakdown(t: Star, dimension: str) -> DataFrame:
+    start, end = rootcause.month_bounds(PERIOD_A)
+    key = "product_id" if dimension == "category" else dimension
+    return rootcause.period_breakdown(t.sales("order_date", key, "revenue", start=start, end=end), t.products(),
+                                      start, end, dimension)
+
+
+def period_total(t: Star) -> DataFrame:
+    start, end = rootcause.month_bounds(PERIOD_A)
+    return rootcause.period_total(t.sales("order_date", "revenue", start=start, end=end), start, end)
+
+
+add("month_bounds", lambda t: rootcause.month_table(t.sales("order_date")))
+add("period_total", period_total)
+add("period_breakdown", lambda t: _breakdown(t, "region"))
+add("period_breakdown_category", lambda t: _breakdown(t, "category"))
+add("compare_periods", _contributors)
+add("compare_periods_profit", lambda t: _contributors(t, "profit"))
+add("compare_totals", lambda t: rootcause.compare_totals(
+    t.sales("order_date", "revenue", start=FIRST, end=LAST), PERIOD_A, PERIOD_B))
+add("top_negative_contributors", lambda t: rootcause.top_negative_contributors(_contributors(t)))
+add("top_positive_contributors", lambda t: rootcause.top_positive_contributors(_contributors(t)))
+add("auto_periods", lambda t: rootcause.auto_periods(t.sales("order_date")))
+
+
+# Recommendation rules
+def recommendation_cards(t: Star) -> DataFrame:
+    fact = t.sales("customer_id", "product_id", "order_date", "revenue", "profit", "region", "delivery_days", "return_status")
+    return advice.recommendation_cards(fact, t.products(), _segments(t))
+
+
+add("rec_at_risk_customers", lambda t: advice.rec_at_risk_customers(t.sales("customer_id", "revenue"), _segments(t)))
+add("rec_unprofitable_products", lambda t: advice.rec_unprofitable_products(t.sales(*PRODUCT_FACT), t.products()))
+add("rec_regional_decline", lambda t: advice.rec_regional_decline(
+    t.sales("product_id", "region", "order_date", "revenue"), t.products()))
+add("rec_high_return_category", lambda t: advice.rec_high_return_category(
+    t.sales("product_id", "return_status"), t.products()))
+add("rec_slow_delivery_region", lambda t: advice.rec_slow_delivery_region(t.sales("region", "delivery_days")))
+add("recommendation_cards", recommendation_cards)
+
+
+# Questions
+GUARDED = "SELECT region, payment_method, COUNT(*) AS orders, SUM(revenue) AS revenue FROM {sales} GROUP BY 1, 2"
+ANSWER_FACT = ("customer_id", "product_id", "order_date", "region", "revenue", "profit")
+
+
+def answer_questions(t: Star) -> DataFrame:
+    answered = questions.answer_questions(raw.questions(t), t.sales(*ANSWER_FACT), t.products(), _segmented_customers(t))
+    return answered.select("conv_id", "turn", "intent", "answer", F.array_join("evidence", " | ").alias("evidence"))
+
+
+add("sql_is_safe", lambda t: raw.statements(t).select(
+    "conv_id", "turn", questions.sql_is_safe(F.col("statement")).alias("safe")))
+add("guarded_query", lambda t: questions.guarded_query(
+    t.spark, GUARDED, sales=t.sales("region", "payment_method", "revenue")))
+add("classify_questions", lambda t: questions.classify_questions(raw.questions(t)))
+add("answer_best_sellers", lambda t: questions.answer_best_sellers(t.sales("product_id", "revenue"), t.products()))
+add("answer_worst_region", lambda t: questions.answer_worst_region(t.sales("region", "revenue", "profit")))
+add("answer_losing_products", lambda t: questions.answer_losing_products(t.sales(*PRODUCT_FACT), t.products()))
+add("answer_churn_risk", lambda t: questions.answer_churn_risk(_segmented_customers(t)))
+add("answer_mom", lambda t: questions.answer_mom(t.sales("order_date", "revenue", "profit")))
+add("answer_questions", answer_questions)

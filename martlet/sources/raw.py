@@ -69,3 +69,13 @@ def questions(star: Star) -> DataFrame:
         " WHEN 6 THEN ' What should management do next?'"
         " WHEN 7 THEN ' Worst region and top product?' ELSE '' END) AS question",
     )
+
+
+def statements(star: Star) -> DataFrame:
+    """Every conversation turn as the body of a statement, with reading and destructive beginnings."""
+    return star.table("conversations").selectExpr(
+        "conv_id", "turn",
+        "concat(CASE conv_id % 7 WHEN 0 THEN 'SELECT ' WHEN 1 THEN '  with t as ' WHEN 2 THEN 'SELECT 1; DROP TABLE x;-- '"
+        " WHEN 3 THEN 'explain select ' WHEN 4 THEN 'select created_at ' WHEN 5 THEN 'UPDATE t SET ' ELSE '' END, text)"
+        " AS statement",
+    )

@@ -103,3 +103,39 @@ def mean2(units: str, n: str, times: int = 1) -> str:
 
 def big(expression: str) -> str:
     return f"CAST({expression} AS BIGINT)"
+
+STATEMENTS = """
+statements AS (
+  SELECT conv_id, turn, concat(CASE conv_id % 7 WHEN 0 THEN 'SELECT ' WHEN 1 THEN '  with t as '
+           WHEN 2 THEN 'SELECT 1; DROP TABLE x;-- ' WHEN 3 THEN 'explain select ' WHEN 4 THEN 'select created_at '
+           WHEN 5 THEN 'UPDATE t SET ' ELSE '' END, text) AS statement
+  FROM conversations)
+"""
+
+# Segments: quintiles by position in the sorted column, edges times 5.
+_EDGES = ",\n".join(
+    f"""{name}_sorted AS (SELECT {value} AS v, row_number() OVER (ORDER BY {value}) - 1 AS i, COUNT(*) OVER () AS n FROM rfm),
+{name}_edges AS (SELECT k, 5 * (SELECT v FROM {name}_sorted WHERE i = (k*(n1-1)) // 5)
+     + ((k*(n1-1)) % 5) * ((SELECT v FROM {name}_sorted WHERE i = LEAST((k*(n1-1)) // 5 + 1, n1-1))
+                           - (SELECT v FROM {name}_sorted WHERE i = (k*(n1-1)) // 5)) AS edge
+   FROM (VALUES (1), (2), (3), (4)) AS q(k), (SELECT COUNT(*) AS n1 FROM rfm) c)"""
+    for name, value in (("r", "recency_days"), ("m", "monetary_c")))
+
+RFM = f"""
+rfm AS (
+  SELECT s.customer_id, (SELECT MAX(order_date) FROM sales) - MAX(s.order_date) AS recency_days, COUNT(*) AS frequency,
+         SUM(CAST(s.revenue * 100 AS BIGINT)) AS monetary_c
+  FROM sales s JOIN customers c ON c.customer_id = s.customer_id GROUP BY s.customer_id),
+{_EDGES},
+scores AS (
+  SELECT b.*, 5 - (SELECT COUNT(*) FROM r_edges WHERE edge < 5 * b.recency_days) AS r_score,
+         GREATEST(1, COALESCE((5 * (rk - 1) + n - 2) // NULLIF(n - 1, 0), 1)) AS f_score,
+         1 + (SELECT COUNT(*) FROM m_edges WHERE edge < 5 * b.monetary_c) AS m_score
+  FROM (SELECT *, row_number() OVER (ORDER BY frequency, customer_id) AS rk, COUNT(*) OVER () AS n FROM rfm) b),
+segments AS (
+  SELECT *, CASE WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'High Value'
+                 WHEN f_score >= 4 AND r_score >= 3 THEN 'Loyal'
+                 WHEN r_score >= 4 AND f_score <= 2 THEN 'New'
+                 WHEN r_score <= 2 AND f_score >= 3 THEN 'At Risk' ELSE 'Dormant' END AS segment
+  FROM scores)
+"""
