@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exact
-from ..functions.order_stats import order_statistics, quantile_edges, with_buckets
+from ..functions.order_stats import attach, bucket_levels, order_statistics, quantile_edges
 
 # Windows, feature names, model settings and risk bands.
 CHURN_WINDOW_DAYS = 120
@@ -40,10 +40,11 @@ def churn_features(sales: DataFrame, customers: DataFrame, window: int = CHURN_W
     # Takes the same columns as the rows below, so that both read one shuffle of the fact.
     totals = behaviour.agg(F.struct(
         F.max("last_order").alias("latest"), F.min("first_order").alias("first"), F.sum("frequency").alias("orders"),
-        F.sum("monetary").alias("revenue"), F.sum("returned").alias("returned"))).scalar()
+        F.sum("monetary").alias("revenue"), F.sum("returned").alias("returned")))
     orders = F.col("frequency").cast("double")
-    recency = F.datediff(totals.getField("latest"), F.col("last_order"))
-    return customers.select("customer_id", "region", "age").join(behaviour, "customer_id").select(
+    recency = F.datediff(F.col("totals.latest"), F.col("last_order"))
+    joined = customers.select("customer_id", "region", "age").join(behaviour, "customer_id")
+    return attach(joined, "totals", totals).select(
         "customer_id", "region", "age", "frequency", "monetary",
         (F.col("monetary").cast("double") / orders).alias("avg_order_value"),
         (F.col("returned").cast("double") / orders).alias("return_frequency"),
@@ -98,12 +99,19 @@ def churn_split(features: DataFrame, seed: int = SEED) -> DataFrame:
     at the cut is searched for, so no task has to sort a whole label.
     """
     keyed = features.withColumn("mix", (F.col("customer_id") * 7919 + seed) % 10007)
-    bucketed, levels = with_buckets(keyed.select(TARGET, "mix", "customer_id"), "customer_id")
-    cut = order_statistics(
-        bucketed, ["mix", *levels], lambda total: F.array(exact.int_div(total + 3, F.lit(4)) - 1), group=(TARGET,))
-    cuts = cut.agg(F.map_from_entries(F.collect_list(F.struct(TARGET, F.struct("mix", "customer_id").alias("last"))))).scalar()
-    own = F.try_element_at(cuts, F.col(TARGET))
-    return keyed.withColumn("is_test", F.struct("mix", "customer_id") <= own).drop("mix")
+    places = keyed.select(TARGET, "mix", "customer_id")
+    extent = places.agg(F.struct(
+        F.min("customer_id").alias("lo"), F.max("customer_id").alias("hi"), F.count("*").alias("all"),
+        F.sum(TARGET).alias("churned"), F.max("mix").alias("mix")))
+    coarse, fine = bucket_levels(F.col("customer_id"), F.col("extent.lo"), F.col("extent.hi"))
+    size = F.when(F.col(TARGET) == 1, F.col("extent.churned")).otherwise(F.col("extent.all") - F.col("extent.churned"))
+    cells = attach(places, "extent", extent).select(
+        TARGET, "mix", coarse.alias("coarse"), fine.alias("fine"), "customer_id", F.lit(1).alias("n"), size.alias("total"))
+    cut = order_statistics(cells, ["mix", "coarse", "fine", "customer_id"],
+                           lambda total: F.array(exact.int_div(total + 3, F.lit(4)) - 1), group=(TARGET,))
+    cuts = cut.agg(F.map_from_entries(F.collect_list(F.struct(TARGET, F.struct("mix", "customer_id").alias("last")))))
+    own = F.try_element_at(F.col("cuts"), F.col(TARGET))
+    return attach(keyed, "cuts", cuts).withColumn("is_test", F.struct("mix", "customer_id") <= own).drop("mix", "cuts")
 
 
 # --- models ------------------------------------------------------------------
@@ -141,9 +149,10 @@ def churn_forest(train: DataFrame) -> PipelineModel:
     """Random forest with both labels given equal total weight."""
     sizes = train.groupBy(TARGET).agg(F.count("*").alias("n"))
     weights = sizes.agg(F.struct(F.sum("n").alias("all"), F.count("*").alias("labels"),
-                                 F.map_from_entries(F.collect_list(F.struct(TARGET, "n"))).alias("by"))).scalar()
-    own = F.element_at(weights.getField("by"), F.col(TARGET))
-    balanced = train.withColumn("weight", weights.getField("all").cast("double") / (weights.getField("labels") * own))
+                                 F.map_from_entries(F.collect_list(F.struct(TARGET, "n"))).alias("by")))
+    own = F.element_at(F.col("weights.by"), F.col(TARGET))
+    balanced = attach(train, "weights", weights).withColumn(
+        "weight", F.col("weights.all").cast("double") / (F.col("weights.labels") * own)).drop("weights")
     model = RandomForestClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight", numTrees=TREES,
                                    maxDepth=TREE_DEPTH, featureSubsetStrategy="sqrt", seed=SEED)
     return Pipeline(stages=[*preprocessing(), model]).fit(balanced)

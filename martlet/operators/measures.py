@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exact
-from ..functions.order_stats import with_rank
+from ..functions.order_stats import attach, with_rank
 
 INACTIVITY_DAYS = 90
 TOP_RANK = 10
@@ -119,8 +119,8 @@ def prior_month(fact: DataFrame, measure: str) -> DataFrame:
 
 def new_customers(fact: DataFrame, customers: DataFrame) -> DataFrame:
     """Customers by signup month, for the months of the date table and days inside its span."""
-    span = fact.agg(F.struct(F.min("order_date").alias("lo"), F.max("order_date").alias("hi")).alias("span")).scalar()
-    inside = customers.where(F.col("signup_date").between(span.getField("lo"), span.getField("hi")))
+    span = fact.agg(F.struct(F.min("order_date").alias("lo"), F.max("order_date").alias("hi")).alias("span"))
+    inside = attach(customers, "span", span).where(F.col("signup_date").between(F.col("span.lo"), F.col("span.hi")))
     signups = inside.groupBy(F.trunc("signup_date", "month").alias("month")).agg(
         F.countDistinct("customer_id").alias("new_customers"))
     months = date_table(fact).select(F.trunc("date", "month").alias("month")).distinct()

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exact
 from ..functions.copies import mark_later_copies
-from ..functions.order_stats import iqr_fence, outside
+from ..functions.order_stats import iqr_fence, mark_outside
 from ..sources.schemas import CUSTOMERS, KEYS, ORDERS, PRODUCTS
 
 # Accepted categories, bounds, and the wording of the change log.
@@ -92,9 +92,13 @@ def trim_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def outliers_iqr(df: DataFrame, column: str, name: str, whisker: str = "1.5") -> DataFrame:
     """Flags amounts outside Tukey's fence, quartiles taken over all rows."""
+    return _mark_outliers(df, df, column, name, whisker)
+
+
+def _mark_outliers(df: DataFrame, raw: DataFrame, column: str, name: str, whisker: str = "1.5") -> DataFrame:
+    """The fence comes from the raw rows, so that the other checks are not run for it."""
     units = exact.cents(F.col(column)).cast("bigint")
-    fence = iqr_fence(df.select(units.alias("v")), "v", whisker).scalar()
-    return df.withColumn(name, outside(units, fence))
+    return mark_outside(df, units, iqr_fence(raw.select(units.alias("v")), "v", whisker), name)
 
 
 def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -208,9 +212,7 @@ def audit_products(raw: DataFrame) -> Audit:
     rows = mark_later_copies(trim_text(raw, texts), ["product_id"], _first_seen(raw, "product_id"),
                              FLAG + "duplicate_key")
     rows = rows.withColumn(FLAG + "price", price_rule(F.col("price"), F.col("cost")))
-    # The fence is taken from the raw rows: trimming text does not change prices.
-    fence = iqr_fence(raw.select(exact.cents(F.col("price")).cast("bigint").alias("v")), "v").scalar()
-    rows = rows.withColumn(FLAG + "outlier", outside(exact.cents(F.col("price")), fence))
+    rows = _mark_outliers(rows, raw, "price", FLAG + "outlier")
     return Audit(
         "products", rows, PRODUCTS.names, ["duplicate_key", "price"],
         [*_trim_lines(texts), LogLine("product_id", DUPLICATE_KEY, ("duplicate_key",)),
@@ -237,13 +239,12 @@ def audit_orders(raw: DataFrame, customers: DataFrame, products: DataFrame, as_o
     judged = [c for c in ORDERS.names if c != "order_id"]
     rows = mark_later_copies(trim_text(raw, texts), judged, _first_seen(raw, "order_id"), FLAG + "full_duplicate")
     rows = mark_foreign_keys(rows, customers, products)
-    fence = iqr_fence(raw.select(exact.cents(F.col("revenue")).cast("bigint").alias("v")), "v").scalar()
     rows = rows.withColumns({
         FLAG + "date": invalid_date(F.col("order_date"), EARLIEST_DATE, as_of),
         FLAG + "numeric": numeric_rules(),
         FLAG + "status": invalid_category(F.col("return_status"), VALID_RETURN_STATUS),
-        FLAG + "outlier": outside(exact.cents(F.col("revenue")), fence),
     })
+    rows = _mark_outliers(rows, raw, "revenue", FLAG + "outlier")
     return Audit(
         "orders", rows, ORDERS.names,
         ["full_duplicate", "orphan_customer", "orphan_product", "date", "numeric", "status"],

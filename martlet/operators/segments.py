@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exact
-from ..functions.order_stats import bucket_levels, order_statistics
+from ..functions.order_stats import attach, bucket_levels, order_statistics, quantile_edge, quantile_positions
 
 # Segment names with their descriptions, and the label of customers without orders.
 DESCRIPTIONS = {
@@ -38,8 +38,8 @@ def rfm_base(sales: DataFrame, customers: DataFrame) -> DataFrame:
                         "frequency", "monetary")
 
 
-def _quintile_bounds(base: DataFrame) -> Column:
-    """Inner quintile edges of recency (r) and spend (m), scaled by 5, and the customers at the
+def _quintile_bounds(base: DataFrame) -> DataFrame:
+    """One row: inner quintile edges of recency (r) and spend (m), scaled by 5, and the customers at the
     frequency quintiles (f).
 
     The three orderings are searched together, as three labelled rows per
@@ -50,45 +50,33 @@ def _quintile_bounds(base: DataFrame) -> Column:
                         exact.cents(F.col("monetary")).cast("bigint").alias("m"))
     extent = units.agg(F.struct(
         F.min("r").alias("r_lo"), F.max("r").alias("r_hi"), F.min("m").alias("m_lo"), F.max("m").alias("m_hi"),
-        F.min("customer_id").alias("c_lo"), F.max("customer_id").alias("c_hi"), F.max("frequency").alias("f_hi"))).scalar()
+        F.min("customer_id").alias("c_lo"), F.max("customer_id").alias("c_hi"), F.max("frequency").alias("f_hi"),
+        F.count("*").alias("total")))
 
     def entry(label: str, *levels: Column) -> Column:
-        return F.struct(F.lit(label).alias("ordering"), *[c.cast("bigint").alias(f"l{i}") for i, c in enumerate(levels, 1)])
+        return F.struct(F.lit(label).alias("ordering"), *[c.cast("bigint").alias(f"l{i}") for i, c in enumerate(levels, 1)],
+                        F.lit(1).alias("n"), F.col("extent.total").alias("total"))
 
     def buckets(name: str, prefix: str) -> tuple[Column, Column]:
-        return bucket_levels(F.col(name), extent.getField(f"{prefix}_lo"), extent.getField(f"{prefix}_hi"))
+        return bucket_levels(F.col(name), F.col(f"extent.{prefix}_lo"), F.col(f"extent.{prefix}_hi"))
 
-    rows = units.select(F.explode(F.array(
+    rows = attach(units, "extent", extent).select(F.explode(F.array(
         entry("r", *buckets("r", "r"), F.col("r"), F.lit(0)),
         entry("m", *buckets("m", "m"), F.col("m"), F.lit(0)),
         entry("f", F.col("frequency"), *buckets("customer_id", "c"), F.col("customer_id")),
     )).alias("e")).select("e.*")
 
-    def low(k: int, total: Column) -> Column:
-        return exact.int_div((total - 1) * k, F.lit(BINS))
-
-    def positions(total: Column) -> Column:
-        lows = [low(k, total) for k in range(1, BINS)]
-        return F.array(*lows, *[F.least(p + 1, total - 1) for p in lows])
-
-    found = order_statistics(rows, ["l1", "l2", "l3", "l4"], positions, group=("ordering",)).agg(
+    found = order_statistics(rows, ["l1", "l2", "l3", "l4"], quantile_positions(BINS), group=("ordering",)).agg(
         F.max("total").alias("total"),
         *[F.map_from_entries(F.collect_list(F.when(F.col("ordering") == o, F.struct("rank", value)))).alias(o)
           for o, value in (("r", exact.whole(F.col("l3")).alias("v")), ("m", exact.whole(F.col("l3")).alias("v")),
                            ("f", F.struct(F.col("l1").alias("frequency"), F.col("l4").alias("customer_id")).alias("v")))])
-
-    def edge(at: str, k: int) -> Column:
-        position = low(k, F.col("total"))
-        a = F.try_element_at(at, position)
-        b = F.try_element_at(at, F.least(position + 1, F.col("total") - 1))
-        return a * BINS + (b - a) * (((F.col("total") - 1) * k) % BINS)
-
-    inner = range(1, BINS)
+    total, inner = F.col("total"), range(1, BINS)
     return found.select(F.struct(
-        F.array(*[edge("r", k) for k in inner]).alias("r"),
-        F.array(*[F.try_element_at("f", low(k, F.col("total"))) for k in inner]).alias("f"),
-        F.array(*[edge("m", k) for k in inner]).alias("m"),
-    )).scalar()
+        F.array(*[quantile_edge("r", total, k, BINS) for k in inner]).alias("r"),
+        F.array(*[F.try_element_at("f", exact.int_div((total - 1) * k, F.lit(BINS))) for k in inner]).alias("f"),
+        F.array(*[quantile_edge("m", total, k, BINS) for k in inner]).alias("m"),
+    ))
 
 
 def _exceeded(bounds: Column, value: Column) -> Column:
@@ -103,15 +91,14 @@ def rfm_scores(base: DataFrame) -> DataFrame:
     is one more than the number of inner edges below the value; this is not
     `ntile`.  Equal edges give an empty bin instead of an error.
     """
-    bounds = _quintile_bounds(base)
     recency = exact.whole(F.col("recency_days")) * BINS
     spend = exact.cents(F.col("monetary")) * BINS
     place = F.struct(F.col("frequency"), F.col("customer_id"))
-    scored = base.withColumns({
-        "r_score": BINS - _exceeded(bounds.getField("r"), recency),
-        "f_score": 1 + _exceeded(bounds.getField("f"), place),
-        "m_score": 1 + _exceeded(bounds.getField("m"), spend),
-    })
+    scored = attach(base, "bounds", _quintile_bounds(base)).withColumns({
+        "r_score": BINS - _exceeded(F.col("bounds.r"), recency),
+        "f_score": 1 + _exceeded(F.col("bounds.f"), place),
+        "m_score": 1 + _exceeded(F.col("bounds.m"), spend),
+    }).drop("bounds")
     return scored.withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score"))
 
 
