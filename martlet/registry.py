@@ -408,6 +408,19 @@ def _predictions(t: Star) -> DataFrame:
     return churn.churn_score(trained.model, t.spark.read.parquet(f"{folder}/churn_features"))
 
 
+def _held_out(t: Star, name: str) -> DataFrame:
+    """Predictions of one fitted model for the customers it was not fitted on."""
+    folder, trained = _trained(t)
+    held_out = churn.churn_split(t.spark.read.parquet(f"{folder}/churn_features")).where("is_test")
+    return churn.churn_score(trained.models[name], held_out)
+
+
+def risk_category(t: Star) -> DataFrame:
+    """The bands, put on each customer's return frequency as a share between 0 and 1."""
+    share = F.col("return_frequency")
+    return _features(t).select("customer_id", share.alias("probability"), churn.risk_category(share).alias("risk_category"))
+
+
 def churn_evaluate(t: Star) -> DataFrame:
     metrics = _trained(t)[1].metrics
     cells = F.flatten("confusion_matrix")
@@ -448,10 +461,13 @@ add("churn_balance", lambda t: churn.churn_balance(_features(t)))
 add("feature_summary", lambda t: churn.feature_summary(_features(t)))
 add("churn_split", lambda t: churn.churn_split(_features(t)).select("customer_id", "churned", "is_test"))
 add("churn_preprocess", churn_preprocess)
+add("churn_logistic", lambda t: _held_out(t, churn.LOGISTIC))
+add("churn_forest", lambda t: _held_out(t, churn.FOREST))
 add("churn_evaluate", churn_evaluate)
 add("churn_select", churn_select)
 add("churn_feature_impact", churn_feature_impact)
 add("churn_score", _predictions)
+add("risk_category", risk_category)
 add("risk_counts", lambda t: churn.risk_counts(_predictions(t)))
 add("risk_filter", lambda t: churn.risk_filter(_predictions(t), ["High Risk", "Medium Risk"]))
 add("churn_model_io", churn_model_io)

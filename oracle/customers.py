@@ -103,6 +103,11 @@ SELECT customer_id, churned, i <= (n + 3) // 4 AS is_test FROM (
   SELECT customer_id, churned, COUNT(*) OVER (PARTITION BY churned) AS n,
          row_number() OVER (PARTITION BY churned ORDER BY (customer_id * 7919 + 42) % 10007, customer_id) AS i
   FROM churn_features) t"""),
+    "risk_category": features("""
+SELECT customer_id, return_frequency AS probability,
+       CASE WHEN return_frequency < 0.33 THEN 'Low Risk' WHEN return_frequency < 0.66 THEN 'Medium Risk' ELSE 'High Risk' END
+       AS risk_category
+FROM churn_features"""),
     "churn_preprocess": features(
         "SELECT customer_id, " + ", ".join(f"{z(c)} AS z_{c}" for c in NUMERIC) + ", "
         + ", ".join(f"CASE WHEN region = '{r}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS region_{r.lower().replace(' ', '_')}"

@@ -215,8 +215,9 @@ ANSWERS = "best AS (SELECT * FROM pairs ORDER BY r DESC, product_name, category
         row("worst_region", f"concat(first(region ORDER BY r, region), ' is the weakest region by revenue, with Rs.', first({rs('r')} ORDER BY r, region), '.')",
             f"string_agg(concat(region, ': Rs.', {rs('r')}, ' revenue, Rs.', {rs('g')}, ' profit, ', orders, ' orders'), ' | ' ORDER BY r, region)",
             "by_region"),
-        row("losing_products", "concat(COUNT(*), ' products lose money or earn less than 5%; the worst is ', first(product_name ORDER BY g, product_name, category), '.')",
-            f"string_agg(concat(product_name, ' (', category, '): Rs.', {rs('g')}, ' profit on Rs.', {rs('r')}, ' revenue, ', orders, ' orders'), ' | ' ORDER BY g, product_name, category)",
+        row("losing_products", "CASE WHEN COUNT(*) = 0 THEN 'No product loses money or earns less than 5%.' ELSE "
+            "concat(COUNT(*), ' products lose money or earn less than 5%; the worst is ', first(product_name ORDER BY g, product_name, category), '.') END",
+            f"COALESCE(string_agg(concat(product_name, ' (', category, '): Rs.', {rs('g')}, ' profit on Rs.', {rs('r')}, ' revenue, ', orders, ' orders'), ' | ' ORDER BY g, product_name, category), '')",
             "losing_8"),
         row("churn_risk", "concat(SUM(n), ' customers are in a segment at risk of leaving.')",
             "string_agg(concat(segment, ': ', n, ' customers'), ' | ' ORDER BY segment)",
@@ -233,6 +234,12 @@ ANSWERS = "best AS (SELECT * FROM pairs ORDER BY r DESC, product_name, category
 ANOMALY = "metric, date, actual_value, expected_value, z_score, flagged_by, possible_contributors"
 
 SQL = {
+    "write_ml_outputs": star(f"""
+SELECT 'churn_features' AS dataset, {big('(SELECT COUNT(*) FROM rfm)')} AS stored_rows
+UNION ALL SELECT 'customer_segments', {big('(SELECT COUNT(*) FROM segments)')}
+UNION ALL SELECT 'segment_profile', {big('(SELECT COUNT(DISTINCT segment) FROM segments)')}
+UNION ALL SELECT 'daily_metrics', {big('(SELECT COUNT(*) FROM daily)')}
+UNION ALL SELECT 'anomalies', {big('(SELECT COUNT(*) FROM anomalies)')}""", RFM, DAILY, LONG, SCORED),
     "daily_metrics": star(f"""
 SELECT date, {money('revenue')} AS revenue, {money('profit')} AS profit, {big('orders')} AS orders, {big('returns')} AS returns,
        {big('new_customers')} AS new_customers FROM daily""", DAILY),

@@ -223,6 +223,13 @@ CONSTRAINTS = [
 CLEAN_COUNTS = [(NAMES[v], f"(SELECT COUNT(*) FROM {v} WHERE NOT bad)") for v in ("c2", "p2", "o2")]
 REJECT_COUNTS = [(NAMES[v], f"(SELECT COUNT(*) FROM {v} WHERE bad)") for v in ("c2", "p2", "o2")]
 
+# Types inferred from the text of the uploaded orders.
+UPLOADED = {
+    "order_id": "string", "customer_id": "int", "product_id": "int", "order_date": "string", "quantity": "int",
+    "revenue": "double", "cost": "double", "discount": "double", "profit": "double", "region": "string",
+    "payment_method": "string", "delivery_days": "int", "return_status": "string",
+}
+
 SQL = {
     "dq_missing": raw(" UNION ALL ".join([
         missing("raw_customers", "customers", COLUMNS["c2"]), missing("raw_products", "products", COLUMNS["p2"]),
@@ -278,4 +285,7 @@ SELECT *, CAST((2 * CAST(SUM(CAST(ROUND(quality_score_pct * 100) AS BIGINT)) OVE
         *[f"SELECT 'rejected/{t}' AS dataset, {big(c)} AS stored_rows" for t, c in REJECT_COUNTS],
         "SELECT 'transformation_log' AS dataset, " + big(f"(SELECT COUNT(*) FROM ({' UNION ALL '.join(LOG)}) l)") + " AS stored_rows",
         "SELECT 'quality_report' AS dataset, CAST(3 AS BIGINT) AS stored_rows"])),
+    "profile_upload": raw(" UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{kind}' AS data_type, {big(n(f'{c} IS NULL'))} AS missing, {big('COUNT(*)')} AS rows FROM raw_orders"
+        for c, kind in UPLOADED.items())),
 }
