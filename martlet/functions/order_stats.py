@@ -23,10 +23,11 @@ from .exact import int_div, whole
 def attach(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
     """Adds the single value of a one-row frame to every row.
 
-    The value is a scalar subquery, computed once.  As a column it can be used
-    many times; repeating the subquery itself would plan it again each time.
+    The value is a scalar subquery.  Exploding it from an array of one keeps the
+    optimizer from copying the subquery into every expression and pushed-down
+    filter that uses the column, each copy of which would be planned again.
     """
-    return df.withColumn(name, one_row.scalar())
+    return df.select("*", F.explode(F.array(one_row.scalar())).alias(name))
 
 
 def bucket_levels(value: Column, lo: Column, hi: Column) -> tuple[Column, Column]:

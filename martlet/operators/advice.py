@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exact
-from .products import PAIR, totals_by
+from ..functions.order_stats import attach
+from ..functions.shared import latest_row
+from .products import PAIR, sums, totals_by
 
 # Thresholds and priority order.
 PRIORITIES = ["Critical", "High", "Medium", "Low"]
@@ -50,8 +52,8 @@ def rec_at_risk_customers(sales: DataFrame, segments: DataFrame) -> DataFrame:
     """Spend at stake in the At Risk segment; the fact is summed per customer before the join."""
     spent = sales.groupBy("customer_id").agg(F.sum("revenue").alias("spent"))
     members = segments.where(F.col("segment") == "At Risk").select("customer_id")
-    sums = spent.join(members, "customer_id", "left_semi").agg(F.count("*").alias("customers"), F.sum("spent").alias("at_stake"))
-    fired = sums.where(F.col("customers") > 0).withColumn(
+    stake = spent.join(members, "customer_id", "left_semi").agg(F.count("*").alias("customers"), F.sum("spent").alias("at_stake"))
+    fired = stake.where(F.col("customers") > 0).withColumn(
         "average_spend", exact.mean_money(F.col("at_stake"), F.col("customers")))
     average = F.format_number(exact.half_up(exact.cents(F.col("at_stake")), exact.whole(F.col("customers")) * 100), 0)
     return _card(
@@ -83,13 +85,10 @@ def rec_unprofitable_products(sales: DataFrame, products: DataFrame) -> DataFram
 
 def rec_regional_decline(sales: DataFrame, products: DataFrame) -> DataFrame:
     """The region and category furthest below the mean of its earlier months that have sales."""
-    lines = sales.select("product_id", "region", "revenue", F.trunc("order_date", "month").alias("month"))
+    lines = sales.withColumn("month", F.trunc("order_date", "month"))
     monthly = totals_by(lines, products, ["category"], ["revenue"], ["region", "month"])
-    # Takes every column of the monthly sums, so that both readers share their shuffle.
-    newest = monthly.agg(F.struct(F.max("month").alias("month"), F.sum("revenue").alias("revenue"),
-                                  F.max("category").alias("category"), F.max("region").alias("region"))).scalar().getField("month")
-    earlier, latest = F.col("month") < newest, F.col("month") == newest
-    pairs = monthly.groupBy("region", "category").agg(
+    earlier, latest = F.col("month") < F.col("top.latest"), F.col("month") == F.col("top.latest")
+    pairs = attach(monthly, "top", latest_row(monthly, "month")).groupBy("region", "category").agg(
         F.sum(F.when(earlier, F.col("revenue"))).alias("past"), F.count_if(earlier).alias("months"),
         F.sum(F.when(latest, F.col("revenue"))).alias("latest"))
     both = pairs.where(F.col("past").isNotNull() & F.col("latest").isNotNull() & (F.col("past") != 0))
@@ -131,8 +130,8 @@ def rec_high_return_category(sales: DataFrame, products: DataFrame) -> DataFrame
 
 
 def rec_slow_delivery_region(sales: DataFrame) -> DataFrame:
-    sums = sales.groupBy("region").agg(F.sum("delivery_days").alias("days"), F.count("delivery_days").alias("n"))
-    slowest = sums.where(F.col("n") > 0).withColumn("mean", F.col("days").cast("double") / F.col("n").cast("double"))
+    waits = sales.groupBy("region").agg(*sums(sales, ["days", "timed"])).withColumnRenamed("timed", "n")
+    slowest = waits.where(F.col("n") > 0).withColumn("mean", F.col("days").cast("double") / F.col("n").cast("double"))
     top = slowest.orderBy(F.desc("mean"), "region").limit(1).where(F.col("days") >= F.col("n") * SLOW_DAYS)
     fired = top.withColumns({
         "avg_delivery_days": exact.mean_count(F.col("days"), F.col("n")),
@@ -146,11 +145,15 @@ def rec_slow_delivery_region(sales: DataFrame) -> DataFrame:
         ["region", "avg_delivery_days"])
 
 
-def recommendation_cards(sales: DataFrame, products: DataFrame, segments: DataFrame) -> DataFrame:
-    """The cards of all rules that fired: by priority, then in the order of the rules."""
+def recommendation_cards(sales: DataFrame, products: DataFrame, segments: DataFrame, spending: DataFrame | None = None) -> DataFrame:
+    """The cards of all rules that fired: by priority, then in the order of the rules.
+
+    `sales` may be a stored monthly summary, with the spending per customer
+    given apart (`customer_id`, `revenue`); then the fact is not read again.
+    """
     rules = [
         rec_unprofitable_products(sales, products), rec_regional_decline(sales, products),
-        rec_at_risk_customers(sales, segments), rec_high_return_category(sales, products), rec_slow_delivery_region(sales),
+        rec_at_risk_customers(sales if spending is None else spending, segments), rec_high_return_category(sales, products), rec_slow_delivery_region(sales),
     ]
     cards = reduce(DataFrame.unionByName, [r.select(F.lit(i).alias("rule"), *CARD) for i, r in enumerate(rules, 1)])
     rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("priority"))

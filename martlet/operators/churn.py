@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exact
 from ..functions.order_stats import attach, bucket_levels, order_statistics, quantile_edges
+from ..functions.shared import latest_row
 
 # Windows, feature names, model settings and risk bands.
 CHURN_WINDOW_DAYS = 120
@@ -33,18 +34,15 @@ FOREST = "random_forest"
 
 def churn_features(sales: DataFrame, customers: DataFrame, window: int = CHURN_WINDOW_DAYS) -> DataFrame:
     """One row per known customer who ordered; churned when the last order is more than `window` days old."""
-    behaviour = sales.groupBy("customer_id").agg(
+    # Filtered first, as the join below would filter it: one plan, one shuffle for rows and latest date.
+    behaviour = sales.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
         F.count("*").alias("frequency"), F.sum("revenue").alias("monetary"),
         F.max("order_date").alias("last_order"), F.min("order_date").alias("first_order"),
         exact.count_if(F.col("return_status") == "Returned").alias("returned"))
-    # Takes the same columns as the rows below, so that both read one shuffle of the fact.
-    totals = behaviour.agg(F.struct(
-        F.max("last_order").alias("latest"), F.min("first_order").alias("first"), F.sum("frequency").alias("orders"),
-        F.sum("monetary").alias("revenue"), F.sum("returned").alias("returned")))
     orders = F.col("frequency").cast("double")
-    recency = F.datediff(F.col("totals.latest"), F.col("last_order"))
+    recency = F.datediff(F.col("top.latest"), F.col("last_order"))
     joined = customers.select("customer_id", "region", "age").join(behaviour, "customer_id")
-    return attach(joined, "totals", totals).select(
+    return attach(joined, "top", latest_row(behaviour, "last_order")).select(
         "customer_id", "region", "age", "frequency", "monetary",
         (F.col("monetary").cast("double") / orders).alias("avg_order_value"),
         (F.col("returned").cast("double") / orders).alias("return_frequency"),

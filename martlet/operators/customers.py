@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exact
+from ..functions.shared import latest
 
 
 def total_customers(customers: DataFrame) -> DataFrame:
@@ -42,8 +43,7 @@ def last_order_histogram(sales: DataFrame) -> DataFrame:
 
 
 def _churn_percent(histogram: DataFrame, inactivity_days: int, name: str) -> DataFrame:
-    latest = histogram.agg(F.max("last_order").alias("latest")).scalar()
-    gone: Column = F.sum(F.when(F.datediff(latest, F.col("last_order")) > inactivity_days, F.col("customers")).otherwise(0))
+    gone: Column = F.sum(F.when(F.datediff(latest(histogram, "last_order"), F.col("last_order")) > inactivity_days, F.col("customers")).otherwise(0))
     counts = histogram.agg(gone.alias("gone"), F.sum("customers").alias("all"))
     return counts.select(F.coalesce(exact.count_percent(F.col("gone"), F.col("all")), F.lit(0.0)).alias(name))
 
@@ -79,11 +79,11 @@ def customers_summary(sales: DataFrame, customers: DataFrame, inactivity_days: i
     per_customer = sales.groupBy("customer_id").agg(F.count("*").alias("orders"), F.max("order_date").alias("last_order"))
     cells = per_customer.groupBy("last_order").agg(
         F.count("*").alias("customers"), F.count_if(F.col("orders") > 1).alias("back"), F.sum("orders").alias("orders"))
-    latest = cells.agg(F.max("last_order").alias("latest")).scalar()
     known = customers.agg(F.count("*").alias("n")).scalar()
     sums = cells.agg(
         F.sum("customers").alias("all"), F.sum("back").alias("back"), F.sum("orders").alias("orders"),
-        F.sum(F.when(F.datediff(latest, F.col("last_order")) > inactivity_days, F.col("customers")).otherwise(0)).alias("gone"),
+        F.sum(F.when(F.datediff(latest(cells, "last_order"), F.col("last_order")) > inactivity_days,
+                     F.col("customers")).otherwise(0)).alias("gone"),
     )
     zero = F.lit(0.0)
     return sums.select(

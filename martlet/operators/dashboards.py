@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import exact
+from ..functions.shared import latest
 
 
 def home_summary(sales: DataFrame, customers: DataFrame) -> DataFrame:
@@ -26,8 +27,7 @@ def executive_summary(sales: DataFrame, customers: DataFrame, inactivity_days: i
     cells = per_customer.groupBy("last_order").agg(
         F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"), F.sum("n").alias("n"),
         F.sum("orders").alias("orders"), F.count("*").alias("customers"), F.count_if(F.col("orders") > 1).alias("back"))
-    latest = cells.agg(F.max("last_order").alias("latest")).scalar()
-    gone = F.when(F.datediff(latest, F.col("last_order")) > inactivity_days, F.col("customers")).otherwise(0)
+    gone = F.when(F.datediff(latest(cells, "last_order"), F.col("last_order")) > inactivity_days, F.col("customers")).otherwise(0)
     sums = cells.agg(
         F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"), F.sum("n").alias("n"),
         F.sum("orders").alias("orders"), F.sum("customers").alias("customers"), F.sum("back").alias("back"),

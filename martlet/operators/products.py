@@ -7,14 +7,14 @@ and the join sees each product once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exact
 
 PAIR = ["product_name", "category"]
 MINIMUM_ORDERS = 5
 
-_PARTIAL = {
+_MEASURES = {
     "revenue": lambda: F.sum("revenue"),
     "profit": lambda: F.sum("profit"),
     "orders": lambda: F.count("*"),
@@ -24,15 +24,36 @@ _PARTIAL = {
 }
 
 
+def sums(sales: DataFrame, measures: list[str]) -> list[Column]:
+    """Aggregates of order lines, or of a summary that already holds the measure as a column."""
+    return [(F.sum(m) if m in sales.columns else _MEASURES[m]()).alias(m) for m in measures]
+
+
 def totals_by(sales: DataFrame, products: DataFrame, keys: list[str], measures: list[str],
               extra_keys: list[str] | None = None) -> DataFrame:
-    """Sums of the measures per product attribute (and per `extra_keys` of the fact)."""
+    """Sums of the measures per product attribute (and per `extra_keys` of the fact).
+
+    `sales` may be a summary that already carries the attributes; products are then not read.
+    """
     extra_keys = extra_keys or []
-    per_product = sales.groupBy("product_id", *extra_keys).agg(*[_PARTIAL[m]().alias(m) for m in measures])
+    if all(k in sales.columns for k in keys):
+        return sales.groupBy(*keys, *extra_keys).agg(*sums(sales, measures))
+    per_product = sales.groupBy("product_id", *extra_keys).agg(*sums(sales, measures))
     named = per_product.join(products.select("product_id", *keys), "product_id")
     return named.groupBy(*keys, *extra_keys).agg(*[F.sum(m).alias(m) for m in measures])
 
 
+def monthly_summary(sales: DataFrame, products: DataFrame, measures: list[str] | None = None) -> DataFrame:
+    """Sums per product name, category, region and month (`order_date` is its first day).
+
+    Reports that roll the fact up in several ways read this instead, once it is
+    stored.  Its size follows the names, regions and months there are, not the
+    number of orders, and every measure in it can be summed further.
+    """
+    lines = sales.withColumn("order_date", F.trunc("order_date", "month"))
+    return totals_by(lines, products, PAIR, measures or list(_MEASURES), ["region", "order_date"])
+
+
 def top_products(sales: DataFrame, products: DataFrame, n: int = 10, by: str = "revenue") -> DataFrame:
     by = by if by in ("revenue", "profit", "orders") else "revenue"
     totals = totals_by(sales, products, PAIR, ["revenue", "profit", "orders"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import exact
 from .advice import number, rounded, tenths, text
-from .products import PAIR, totals_by
+from .products import PAIR, sums, totals_by
 
 # Words that make a statement unsafe, and the phrases of every question type.
 FORBIDDEN = ["DROP", "DELETE", "UPDATE", "INSERT", "ALTER", "TRUNCATE", "CREATE", "GRANT", "REVOKE", "EXEC", "--", ";--"]
@@ -76,9 +76,8 @@ def answer_best_sellers(sales: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def answer_worst_region(sales: DataFrame) -> DataFrame:
-    sums = sales.groupBy("region").agg(
-        F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"), F.count("*").alias("orders"))
-    return sums.orderBy("revenue", "region")
+    per_region = sales.groupBy("region").agg(*sums(sales, ["revenue", "profit", "orders"]))
+    return per_region.orderBy("revenue", "region")
 
 
 def answer_losing_products(sales: DataFrame, products: DataFrame) -> DataFrame:
@@ -96,8 +95,8 @@ def answer_churn_risk(segmented: DataFrame) -> DataFrame:
 
 def answer_mom(sales: DataFrame) -> DataFrame:
     """The two latest months that have orders, side by side; no row with fewer than two."""
-    monthly = sales.groupBy(F.trunc("order_date", "month").alias("month")).agg(
-        F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"), F.count("*").alias("orders"))
+    month = F.trunc("order_date", "month").alias("month")
+    monthly = sales.groupBy(month).agg(*sums(sales, ["revenue", "profit", "orders"]))
     two = monthly.orderBy(F.desc("month")).limit(2)
     pair = two.agg(F.max(F.struct("month", "revenue", "profit", "orders")).alias("this"),
                    F.min(F.struct("month", "revenue", "profit", "orders")).alias("last"), F.count("*").alias("n"))
@@ -132,7 +131,10 @@ def _listed(df: DataFrame, line: Column, *order: Column) -> DataFrame:
 
 
 def answers(sales: DataFrame, products: DataFrame, segmented: DataFrame) -> DataFrame:
-    """One row per question type; every answer is computed once, however often it is asked."""
+    """One row per question type; every answer is computed once, however often it is asked.
+
+    `sales` may be order lines or a stored monthly summary of them.
+    """
     c = F.col
     none = F.array().cast("array<string>")
     best = _listed(

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exact
+from ..functions.shared import latest
 from ..functions.order_stats import attach, bucket_levels, order_statistics, quantile_edge, quantile_positions
 
 # Segment names with their descriptions, and the label of customers without orders.
@@ -28,13 +29,11 @@ BINS = 5
 
 def rfm_base(sales: DataFrame, customers: DataFrame) -> DataFrame:
     """Days since the last order, number of orders and money spent, per known customer who ordered."""
-    spent = sales.groupBy("customer_id").agg(
+    # Filtered first, as the join below would filter it: one plan, one shuffle for rows and latest date.
+    spent = sales.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
         F.max("order_date").alias("last_order"), F.count("*").alias("frequency"), F.sum("revenue").alias("monetary"))
-    # Takes the same columns as the rows below, so that both read one shuffle of the fact.
-    totals = spent.agg(F.struct(F.max("last_order").alias("latest"), F.sum("frequency").alias("orders"),
-                                F.sum("monetary").alias("revenue"))).scalar()
     known = spent.join(customers.select("customer_id"), "customer_id", "left_semi")
-    return known.select("customer_id", F.datediff(totals.getField("latest"), F.col("last_order")).alias("recency_days"),
+    return known.select("customer_id", F.datediff(latest(spent, "last_order"), F.col("last_order")).alias("recency_days"),
                         "frequency", "monetary")
 
 

@@ -398,9 +398,7 @@ def _trained(t: Star) -> tuple[str, churn.ChurnModels]:
 
 
 def _stored_features(t: Star) -> DataFrame:
-    folder = _fresh(t, "churn")
-    writers.publish({"churn_features": _features(t)}, folder)
-    return t.spark.read.parquet(f"{folder}/churn_features")
+    return writers.stage(_features(t), f"{_fresh(t, 'churn')}/churn_features")
 
 
 def _predictions(t: Star) -> DataFrame:
@@ -459,7 +457,7 @@ def write_ml_outputs(t: Star) -> DataFrame:
 add("churn_features", _features)
 add("churn_balance", lambda t: churn.churn_balance(_features(t)))
 add("feature_summary", lambda t: churn.feature_summary(_features(t)))
-add("churn_split", lambda t: churn.churn_split(_features(t)).select("customer_id", "churned", "is_test"))
+add("churn_split", lambda t: churn.churn_split(_stored_features(t)).select("customer_id", "churned", "is_test"))
 add("churn_preprocess", churn_preprocess)
 add("churn_logistic", lambda t: _held_out(t, churn.LOGISTIC))
 add("churn_forest", lambda t: _held_out(t, churn.FOREST))
@@ -540,8 +538,13 @@ add("auto_periods", lambda t: rootcause.auto_periods(t.sales("order_date")))
 
 # Recommendation rules
 def recommendation_cards(t: Star) -> DataFrame:
-    fact = t.sales("customer_id", "product_id", "order_date", "revenue", "profit", "region", "delivery_days", "return_status")
-    return advice.recommendation_cards(fact, t.products(), _segments(t))
+    """The fact is read for two stored intermediates, a monthly summary and the segments, and not again per rule."""
+    folder = _fresh(t, "cards")
+    fact = t.sales("product_id", "order_date", "revenue", "profit", "region", "delivery_days", "return_status")
+    summary = writers.stage(products.monthly_summary(fact, t.products()), f"{folder}/summary")
+    members = writers.stage(_segments(t), f"{folder}/segments")
+    spending = members.select("customer_id", F.col("monetary").alias("revenue"))
+    return advice.recommendation_cards(summary, t.products(), members, spending)
 
 
 add("rec_at_risk_customers", lambda t: advice.rec_at_risk_customers(t.sales("customer_id", "revenue"), _segments(t)))
@@ -556,11 +559,14 @@ add("recommendation_cards", recommendation_cards)
 
 # Questions
 GUARDED = "SELECT region, payment_method, COUNT(*) AS orders, SUM(revenue) AS revenue FROM {sales} GROUP BY 1, 2"
-ANSWER_FACT = ("customer_id", "product_id", "order_date", "region", "revenue", "profit")
 
 
 def answer_questions(t: Star) -> DataFrame:
-    answered = questions.answer_questions(raw.questions(t), t.sales(*ANSWER_FACT), t.products(), _segmented_customers(t))
+    folder = _fresh(t, "answers")
+    fact = t.sales("product_id", "order_date", "region", "revenue", "profit")
+    summary = writers.stage(products.monthly_summary(fact, t.products(), ["revenue", "profit", "orders"]), f"{folder}/summary")
+    members = writers.stage(_segmented_customers(t), f"{folder}/customers")
+    answered = questions.answer_questions(raw.questions(t), summary, t.products(), members)
     return answered.select("conv_id", "turn", "intent", "answer", F.array_join("evidence", " | ").alias("evidence"))
 
 

@@ -82,6 +82,12 @@ def publish(frames: dict[str, DataFrame], folder: str, fmt: str = "parquet") ->
         df.write.mode("overwrite").format(fmt).save(f"{folder}/{name}")
 
 
+def stage(df: DataFrame, path: str) -> DataFrame:
+    """Writes an intermediate result once and returns a read of it, so that its plan ends there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def stored_rows(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     counts = [spark.read.parquet(f"{folder}/{n}").agg(F.lit(n).alias("dataset"), F.count("*").alias("stored_rows"))
               for n in names]
