@@ -96,7 +96,7 @@ def churn_split(features: DataFrame, seed: int = SEED) -> DataFrame:
     Customers are ordered by a key mixed from id and seed.  Only the customer
     at the cut is searched for, so no task has to sort a whole label.
     """
-    keyed = features.withColumn("mix", (F.col("customer_id") * 7919 + seed) % 10007)
+    keyed = features.withColumn("mix", F.col("customer_id") * (7919 + seed) % 10007)
     places = keyed.select(TARGET, "mix", "customer_id")
     extent = places.agg(F.struct(
         F.min("customer_id").alias("lo"), F.max("customer_id").alias("hi"), F.count("*").alias("all"),

@@ -41,14 +41,15 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    Only a local session may fall back to a folder of this machine; it is then
-    remembered in the session so that one run uses one folder.
+    Only a local session may fall back to a folder of this machine; it becomes
+    the checkpoint folder of the session, so that one run uses one folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="martlet-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="martlet-"))
+    return context.getCheckpointDir()

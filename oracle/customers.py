@@ -101,7 +101,7 @@ GROUP BY feature"""),
     "churn_split": features("""
 SELECT customer_id, churned, i <= (n + 3) // 4 AS is_test FROM (
   SELECT customer_id, churned, COUNT(*) OVER (PARTITION BY churned) AS n,
-         row_number() OVER (PARTITION BY churned ORDER BY (customer_id * 7919 + 42) % 10007, customer_id) AS i
+         row_number() OVER (PARTITION BY churned ORDER BY customer_id * (7919 + 42) % 10007, customer_id) AS i
   FROM churn_features) t"""),
     "risk_category": features("""
 SELECT customer_id, return_frequency AS probability,
