@@ -100,8 +100,9 @@ class Star:
         if end:
             orders = orders.where(F.col("o_orderdate") < F.lit((end + timedelta(days=1)).isoformat()).cast("timestamp_ntz"))
         if place:
-            where = self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            # One table at a time: Spark knows the size of each and broadcasts those that are small.
+            orders = orders.join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+                self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             if named:
-                where = where.join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            orders = orders.join(where, F.col("o_custkey") == F.col("c_custkey"))
+                orders = orders.join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         return orders
