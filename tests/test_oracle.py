@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+import oracle
 from compare import TABLES, difference, duck
 from conftest import SMALL
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+from martlet.registry import QUERIES  # noqa: E402
+
+SQL = oracle.all_sql()
 SKEWED = [
     "category_performance", "top_products", "monthly_revenue", "customer_lifetime_value", "churn_rate", "executive_summary",
     "returning_customers", "kpi_total_customers", "kpi_retention_rate", "kpi_churn_rate_90", "kpi_all_by_category",
