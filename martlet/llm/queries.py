@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from martlet.llm import cascade, mixing
+from martlet.llm import cascade, mixing, simhash
 from martlet.llm.common import table
 
 # The host and path rules of the URL query.
@@ -19,6 +19,10 @@ def op1_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("source")
 
 
+def op4_simhash_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op6_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return cascade.judge(table(spark, folder, "pages"), rules, HOST_WORDS)
@@ -26,5 +30,6 @@ def op6_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op4_simhash_blocks": op4_simhash_blocks,
     "op6_url_cascade": op6_url_cascade,
 }
