@@ -50,4 +50,35 @@ SELECT page_id, urls.host, urls.path, rule, COALESCE(v, CASE WHEN listed THEN 'b
 FROM urls JOIN hosts USING (host) LEFT JOIN fitting USING (host, path)
 """
 
-SQL = {"op1_pareto_mix": MIX, "op6_url_cascade": URLS}
+LINES = r"""
+WITH raw AS (SELECT doc_id, t, unnest(range(len(ls))) AS pos, unnest(ls) AS line
+             FROM (SELECT DISTINCT doc_id, text AS t, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+masked AS (SELECT doc_id, t, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS body FROM raw),
+lines AS (SELECT *, len(body) AS n, {'n': len(body), 'lead': body[1:3]} AS leaf FROM masked WHERE len(body) > 0),
+bodies AS (SELECT leaf, body, any_value(n) AS n, COUNT(DISTINCT (doc_id, t)) AS docs FROM lines GROUP BY leaf, body),
+wide AS (SELECT leaf, COUNT(*) AS bodies FROM bodies GROUP BY leaf HAVING COUNT(*) > 1 AND SUM(docs) >= 3),
+cells AS (SELECT leaf, body, n, bodies, unnest(range(n)) AS pos, unnest(body) AS token FROM bodies JOIN wide USING (leaf)),
+fixed AS (SELECT leaf, any_value(n) AS n, pos, token FROM cells GROUP BY leaf, pos, token HAVING COUNT(*) * 2 > any_value(bodies)),
+enough AS (SELECT leaf, COUNT(*) AS constants FROM fixed GROUP BY leaf HAVING COUNT(*) >= any_value(n) * 0.7::DOUBLE),
+joined AS (SELECT leaf, body FROM cells JOIN fixed USING (leaf, pos, token) JOIN enough USING (leaf) GROUP BY leaf, body HAVING COUNT(*) >= any_value(constants) * 0.8::DOUBLE),
+placed AS (SELECT l.*, CASE WHEN j.leaf IS NULL THEN l.body END AS of FROM lines l LEFT JOIN joined j ON l.leaf = j.leaf AND l.body = j.body),
+recurring AS (SELECT leaf, of, MIN(doc_id) AS first FROM placed GROUP BY leaf, of HAVING COUNT(DISTINCT (doc_id, t)) >= 3),
+drops AS (SELECT doc_id, t, list(pos) AS d FROM placed p JOIN recurring r ON p.leaf = r.leaf AND p.of IS NOT DISTINCT FROM r.of AND p.doc_id <> r.first GROUP BY doc_id, t)
+SELECT documents.doc_id, COALESCE(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, COALESCE(len(d), 0)::BIGINT AS n_dropped,
+       CASE WHEN d IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(d, i - 1)), chr(10)) END AS text
+FROM documents LEFT JOIN drops ON documents.doc_id = drops.doc_id AND documents.text = drops.t
+"""
+
+LEAKS = r"""
+WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, LEAST(len(w), 5) AS n FROM items WHERE len(w) > 0),
+listed AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s FROM sized),
+counted AS (SELECT item_id, COUNT(*) AS q FROM listed GROUP BY item_id),
+docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+held AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+         FROM docs, (SELECT DISTINCT n FROM sized))
+SELECT doc_id, item_id, q AS shingles, COUNT(*) AS found, COUNT(*) / q::DOUBLE AS containment
+FROM held JOIN listed USING (s) JOIN counted USING (item_id) GROUP BY doc_id, item_id, q HAVING COUNT(*) >= CEIL(q * 0.8::DECIMAL(9, 6))
+"""
+
+SQL = {"op1_pareto_mix": MIX, "op6_url_cascade": URLS, "op8_line_templates": LINES, "op10_minhash_containment": LEAKS}
