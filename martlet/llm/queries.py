@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from martlet.llm import cascade, containment, linetree, mixing, simhash
+from martlet.llm import cascade, containment, linetree, mixing, rules, simhash, toxicity
 from martlet.llm.common import table
 
 # The host and path rules of the URL query.
@@ -28,11 +28,19 @@ def op6_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return cascade.judge(table(spark, folder, "pages"), rules, HOST_WORDS)
 
 
+def op7_toxic_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = linetree.drop_lines(table(spark, folder, "documents"))
     return cleaned.select("doc_id", cleaned["__lines"].alias("n_lines"), cleaned["__dropped"].alias("n_dropped"), "text")
 
 
+def op9_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_minhash_containment(spark: SparkSession, folder: str) -> DataFrame:
     return containment.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -41,6 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op4_simhash_blocks": op4_simhash_blocks,
     "op6_url_cascade": op6_url_cascade,
+    "op7_toxic_lexicon": op7_toxic_lexicon,
     "op8_line_templates": op8_line_templates,
+    "op9_rule_ensemble": op9_rule_ensemble,
     "op10_minhash_containment": op10_minhash_containment,
 }

@@ -21,9 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import lower_ascii, stage, words_of
+from martlet.llm.common import lower_ascii, ship, stage, words_of
 from martlet.llm.components import components
 
+ship(__name__)
+
 DISTANCE, SHINGLE = 3, 3
 PAIRED = 64      # up to so many fingerprints under a key are compared by a join
 GROUP = 16_384   # beyond so many the key is refined
