@@ -7,54 +7,116 @@ resemblance: items are partitioned by their number of shingles (powers of two),
 an item's sketch is its smallest shingle hashes, as many as the largest item of its
 partition may miss, plus one.  A document that has 80 % of the item then holds at
 least one hash of the sketch, whatever the document's length: no pair is lost.
-Documents with too few shingles for a partition are not compared with it.
-Candidates are verified by counting the item's shingles, as text, in the document.
+Documents with too few shingles for an item are not compared with it.  Candidates
+are verified by counting the item's shingles, as text, in the document.
 
-The sketches are a table.  Spark broadcasts it while its measured size is below
-spark.sql.autoBroadcastJoinThreshold and shuffles both sides beyond.
+Shingles are hashed in Arrow batches where the texts are.  While the sketches are at
+most `SENT` hashes they go to the tasks, and a document gives back only the hashes it
+shares with them.  Beyond that it gives all its hashes, and they meet the sketches in
+a shuffled join.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import stage
-
-SHINGLE, SHARE = 5, 0.8
-
-
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters, digits and underscores."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-
-
-def _runs(words: Column, n: int, make) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: make(*[F.get(words, i + k) for k in range(n)])))
+from martlet.llm.common import ship, stage
 
+ship(__name__)
 
-def shingle_hashes(words: Column, sizes: list[int]) -> Column:
-    """The hash of each run of n words, for every n of `sizes`; a run's hash is taken over the hashes of its words."""
-
-    def hashed(h: Column) -> Column:
-        parts = [F.coalesce(_runs(h, n, lambda *w: F.xxhash64(*w)), F.array().cast("array<bigint>")) for n in sizes]
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-    return F.flatten(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), hashed))
-
+SHINGLE, SHARE = 5, 0.8
+SENT = 2_000_000   # hashes sent to the tasks at most (16 MB)
+TOKEN = re.compile(r"\w+")
+MEMO = 1_000_000   # word hashes a task remembers
 
-def shingles(words: Column, sizes: list[int]) -> Column:
-    """The runs as text, words joined by a space."""
 
-    def text(w: Column) -> Column:
-        return F.concat(*[F.coalesce(_runs(w, n, lambda *x: F.concat_ws(" ", *x)), F.array().cast("array<string>")) for n in sizes])
+class WordHashes(dict):
+    """Hash of a word, remembered."""
 
-    return F.flatten(F.transform(F.array(words), text))
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
 
 
-def _unsigned(h: Column) -> Column:
-    """Orders hashes as unsigned numbers."""
-    return h.bitwiseXOR(F.lit(-(1 << 63)))
+def tokens(text: str | None) -> list[str]:
+    """Lower-cased runs of letters, digits and underscores."""
+    return TOKEN.findall(text.lower()) if text else []
+
+
+def run_hashes(words: list[str], n: int, memo: WordHashes) -> np.ndarray:
+    """A 64-bit hash of each run of n words."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    runs = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        runs = (runs ^ h[k:len(words) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    return runs
+
+
+def _among(hashes: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    if known is None or not known.size:
+        return np.ones(hashes.size, bool) if known is None else np.zeros(hashes.size, bool)
+    at = np.searchsorted(known, hashes)
+    at[at == known.size] = 0
+    return known[at] == hashes
+
+
+def matched_hashes(sizes: list[int], known):
+    """Column function: {runs, hs} of a text, its number of runs and its different hashes among `known` (a broadcast, or None for all)."""
+
+    @F.pandas_udf("struct<runs: long, hs: array<long>>")
+    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        memo, listed = WordHashes(), known.value if known else None
+        for texts in batches:
+            runs, hs = [], []
+            for text in texts:
+                words = tokens(text)
+                h = np.concatenate([run_hashes(words, n, memo) for n in sizes])
+                runs.append(h.size)
+                hs.append(np.unique(h[_among(h, listed)]).view(np.int64))
+            yield pd.DataFrame({"runs": runs, "hs": hs})
+
+    return matched
+
+
+def matched_texts(sizes: list[int], known):
+    """Column function: the different runs of a text, words joined by a space, whose hash is among `known`."""
+
+    @F.pandas_udf("array<string>")
+    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo, listed = WordHashes(), known.value if known else None
+        for texts in batches:
+            found = []
+            for text in texts:
+                words = tokens(text)
+                found.append(list({" ".join(words[i:i + n]) for n in sizes for i in np.flatnonzero(_among(run_hashes(words, n, memo), listed))}))
+            yield pd.Series(found)
+
+    return matched
+
+
+def item_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    memo = WordHashes()
+    for items in batches:
+        rows = []
+        for item, text in zip(items["item_id"], items["text"]):
+            words = tokens(text)
+            n = min(SHINGLE, len(words))
+            if n:
+                hs = run_hashes(words, n, memo).view(np.int64)
+                rows += [(item, n, s, int(h)) for s, h in {" ".join(words[i:i + n]): h for i, h in enumerate(hs)}.items()]
+        yield pd.DataFrame(rows, columns=["item_id", "n", "s", "h"])
 
 
 def needed(n: Column, share: float) -> Column:
@@ -62,16 +124,25 @@ def needed(n: Column, share: float) -> Column:
     return F.ceil(n * F.lit(share).cast("decimal(9,6)")).cast("long")
 
 
-def sketch(items: DataFrame, share: float) -> DataFrame:
-    """(item_id, need, h): the smallest hashes of each item.  `items` has item_id, q (its shingles) and h."""
-    upper = F.pow(F.lit(2.0), F.floor(F.log2(F.col("q").cast("double"))) + 1) - 1
-    depth = (upper.cast("long") - needed(upper.cast("long"), share) + 1).alias("depth")
-    per = items.select("item_id", "q", depth, "h").groupBy("item_id", "q", "depth").agg(F.sort_array(F.collect_set(_unsigned(F.col("h")))).alias("hs"))
-    return per.select("item_id", needed(F.col("q"), share).alias("need"), F.explode(F.slice("hs", F.lit(1), F.col("depth").cast("int"))).alias("u")).select(
-        "item_id", "need", _unsigned(F.col("u")).alias("h"))
+def sketch(listed: DataFrame, share: float) -> DataFrame:
+    """(item_id, need, h): the smallest hashes of each item, in unsigned order.  `listed` has item_id, q (its shingles) and h."""
+    unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
+    upper = (F.pow(F.lit(2.0), F.floor(F.log2(F.col("q").cast("double"))) + 1) - 1).cast("long")
+    per = listed.select("item_id", "q", (upper - needed(upper, share) + 1).cast("int").alias("depth"), unsigned.alias("u"))
+    per = per.groupBy("item_id", "q", "depth").agg(F.sort_array(F.collect_set("u")).alias("us"))
+    smallest = per.select("item_id", needed(F.col("q"), share).alias("need"), F.explode(F.slice("us", F.lit(1), F.col("depth"))).alias("u"))
+    return smallest.select("item_id", "need", F.col("u").bitwiseXOR(F.lit(-(1 << 63))).alias("h"))
+
+
+def _sent(hashes: DataFrame, most: int):
+    """The different hashes, sorted, as a broadcast; None if they are more than `most`."""
+    hashes = stage(hashes.select("h").distinct())
+    if hashes.count() > most:
+        return None
+    return hashes.sparkSession.sparkContext.broadcast(np.sort(hashes.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE, sent: int = SENT) -> DataFrame:
     """doc_id, item_id, shingles (of the item), found (of them in the document), containment: pairs of at least `share`.
 
     An item of fewer than five words is one shingle of all its words; an item without
@@ -80,28 +151,26 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE) ->
     given as null.  An empty table on either side gives no rows.  `docs` needs doc_id
     and text, `items` item_id and text.
     """
-    words = items.select("item_id", tokens(F.col("text")).alias("w")).filter("size(w) > 0")
-    words = words.select("item_id", "w", F.least(F.size("w"), F.lit(SHINGLE)).alias("n"))
-    sizes = sorted(r["n"] for r in words.select("n").distinct().collect())
-    if not sizes:
-        sizes = [SHINGLE]
-    of_size = F.coalesce(*[F.when(F.col("n") == n, shingles(F.col("w"), [n])) for n in sizes])
-    listed = stage(words.select("item_id", F.explode(of_size).alias("s"), "n").distinct())
-    counted = listed.groupBy("item_id").agg(F.count(F.lit(1)).alias("q"))
-    listed = stage(listed.join(counted, "item_id"))
-    hash_of = F.coalesce(*[F.when(F.col("n") == n, F.get(shingle_hashes(F.split("s", " "), [n]), F.lit(0))) for n in sizes])
-    sketches = stage(sketch(listed.select("item_id", "q", hash_of.alias("h")), share))
+    id_type = items.schema["item_id"].dataType.simpleString()
+    shingles = items.select("item_id", "text").mapInPandas(item_shingles, f"item_id {id_type}, n int, s string, h long").distinct()
+    shingles = stage(shingles)
+    sizes = [r["n"] for r in shingles.select("n").distinct().orderBy("n").collect()] or [SHINGLE]   # at most five
+    counted = shingles.groupBy("item_id").agg(F.countDistinct("s").alias("q"))
+    same = F.col("item_id").eqNullSafe(F.col("__item"))
+    listed = stage(shingles.join(counted.withColumnRenamed("item_id", "__item"), same).drop("__item"))
+    sketches = stage(sketch(listed, share))
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", F.xxhash64(text).alias("t"), "text")
-    hashed = keyed.select("doc_id", "t", shingle_hashes(tokens(F.col("text")), sizes).alias("hs"))
-    hits = hashed.select("doc_id", "t", F.size("hs").alias("runs"), F.explode("hs").alias("h")).join(sketches, "h").filter("runs >= need")
-    candidates = stage(hits.select(F.col("doc_id").alias("c_id"), F.col("t").alias("c_t"), "item_id").distinct())
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("t"), text.alias("text"))
+    hashed = keyed.select("doc_id", "t", matched_hashes(sizes, _sent(sketches, sent))("text").alias("m"))
+    hits = hashed.select("doc_id", "t", "m.runs", F.explode("m.hs").alias("h")).join(sketches, "h").filter("runs >= need")
+    candidates = stage(hits.select(F.col("doc_id").alias("c_id"), F.col("t").alias("c_t"), F.col("item_id").alias("c_item")).distinct())
 
     which = candidates.select("c_id", "c_t").distinct()
-    texts = keyed.join(which, keyed["doc_id"].eqNullSafe(which["c_id"]) & (keyed["t"] == which["c_t"]), "left_semi")
-    held = texts.select("doc_id", "t", F.explode(F.array_distinct(shingles(tokens(F.col("text")), sizes))).alias("s"))
-    found = held.join(listed, "s").select("doc_id", "t", "item_id", "q", "s").distinct().groupBy("doc_id", "t", "item_id", "q").agg(F.count(F.lit(1)).alias("found"))
-    sure = found.join(candidates, found["doc_id"].eqNullSafe(candidates["c_id"]) & (found["t"] == candidates["c_t"]) & (found["item_id"].eqNullSafe(candidates["item_id"])), "left_semi")
-    best = sure.groupBy("doc_id", "item_id", "q").agg(F.max("found").alias("found")).filter(F.col("found") >= needed(F.col("q"), share))
+    texts = keyed.join(which, keyed["doc_id"].eqNullSafe(which["c_id"]) & (keyed["t"] == which["c_t"]), "left_semi").distinct()
+    held = texts.select("doc_id", "t", F.explode(matched_texts(sizes, _sent(listed, sent))("text")).alias("s"))
+    found = held.join(listed.select("item_id", "s", "q").distinct(), "s").groupBy("doc_id", "t", "item_id", "q").agg(F.count(F.lit(1)).alias("found"))
+    pair = found["doc_id"].eqNullSafe(candidates["c_id"]) & (found["t"] == candidates["c_t"]) & found["item_id"].eqNullSafe(candidates["c_item"])
+    best = found.join(candidates, pair, "left_semi").groupBy("doc_id", "item_id", "q").agg(F.max("found").alias("found"))
+    best = best.filter(F.col("found") >= needed(F.col("q"), share))
     return best.select("doc_id", "item_id", F.col("q").alias("shingles"), "found", (F.col("found") / F.col("q")).alias("containment"))
