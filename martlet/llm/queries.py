@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.llm import cascade, containment, forest, linetree, mixing, rules, simhash, toxicity
+from martlet.llm import cascade, containment, forest, linetree, mixing, pii, rules, simhash, toxicity
 from martlet.llm.common import table
 
 # The host and path rules of the URL query.
@@ -24,6 +24,10 @@ def op2_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
     return forest.neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_private(table(spark, folder, "documents"))
+
+
 def op4_simhash_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -53,6 +57,7 @@ def op10_minhash_containment(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_projection_forest": op2_projection_forest,
+    "op3_weak_supervision": op3_weak_supervision,
     "op4_simhash_blocks": op4_simhash_blocks,
     "op6_url_cascade": op6_url_cascade,
     "op7_toxic_lexicon": op7_toxic_lexicon,
