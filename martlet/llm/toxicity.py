@@ -5,7 +5,7 @@ digits and signs that stand for letters.  The lexicon starts from common insults
 is extended by words and stems of the labelled rows; each entry weighs its log odds of
 standing in a toxic line.  A hit counts as a whole word (a stem as its beginning) only,
 and not inside an exception phrase.  The sum of weights is divided by the logarithm of the text's length and
-turned into a probability by a logistic model of that one number.
+turned into a probability by a logistic model, together with the heaviest hit.
 
 Matching runs in Arrow batches where the texts are; only the lexicon (bounded by
 `WORDS`) goes to the tasks.
@@ -76,10 +76,10 @@ def _automaton(weights: dict[str, float], exceptions: list[str]) -> ahocorasick.
     return found
 
 
-def weigh(text: str, automaton: ahocorasick.Automaton) -> float:
-    """Sum of the weights of the lexicon's words in the text; every hit counts, those inside exceptions do not."""
+def weigh(text: str, automaton: ahocorasick.Automaton) -> tuple[float, float]:
+    """Sum and maximum of the weights of the lexicon's words in the text; every hit counts, those inside exceptions do not."""
     if not text or not len(automaton):
-        return 0.0
+        return 0.0, 0.0
     folded = fold(text)
     hits, spared, size = [], [], len(folded)
     for end, (length, weight, stem) in automaton.iter(folded):
@@ -88,38 +88,40 @@ def weigh(text: str, automaton: ahocorasick.Automaton) -> float:
             continue
         (spared if weight is None else hits).append((start, end, weight))
     if not spared:
-        return math.fsum(w for _, _, w in hits)
-    total, at = [], 0
+        return math.fsum(w for _, _, w in hits), max((w for _, _, w in hits), default=0.0)
+    total, at = [0.0], 0
     spared.sort()
     for start, end, weight in sorted(hits):
         while at < len(spared) and spared[at][1] < start:
             at += 1
         if not (at < len(spared) and spared[at][0] <= start and end <= spared[at][1]):
             total.append(weight)
-    return math.fsum(total)
+    return math.fsum(total), max(total)
 
 
 def weight_of(weights: dict[str, float], exceptions: list[str]):
-    """A column function: weighted hits of a text column.  Tasks build the automaton once."""
+    """A column function: {total, top} of the weighted hits of a text column.  Tasks build the automaton once."""
 
-    @F.pandas_udf("double")
-    def summed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<total: double, top: double>")
+    def summed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = _automaton(weights, exceptions)
         for texts in batches:
-            yield pd.Series([weigh(t, automaton) for t in texts], dtype="float64")
+            yield pd.DataFrame([weigh(t, automaton) for t in texts], columns=["total", "top"], dtype="float64")
 
     return summed
 
 
-def normalised(weight: Column, text: Column) -> Column:
-    """The sum of weights by the logarithm of the text's length."""
-    return weight / F.log(F.length(F.coalesce(text, F.lit(""))) / 6.0 + math.e)
+def evidence(hits: Column, text: Column) -> list[Column]:
+    """The sum of weights by the logarithm of the text's length, and the heaviest hit."""
+    return [hits["total"] / F.log(F.length(F.coalesce(text, F.lit(""))) / 6.0 + math.e), hits["top"]]
 
 
 def _entries(words: Column) -> Column:
     """What a line offers the lexicon: its words, and their stems of 4 to 8 letters with a star."""
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in range(4, 9)]
-    return F.array_distinct(F.concat(words, *stems))
+    def stems(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    return F.array_distinct(F.concat(words, *[stems(n) for n in range(4, 9)]))
 
 
 def learn_lexicon(labelled: DataFrame, insults: list[str], most: int = WORDS) -> dict[str, float]:
@@ -174,14 +176,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, m
     both = ones not in (0, rows)
     weights = learn_lexicon(labelled, insults) if both else dict.fromkeys(insults, PRIOR)
     weigher = weight_of(weights, exceptions)
-    slope, intercept = 4.0, math.log(0.05 / 0.95)
+    slopes, intercept = [4.0, 0.5], math.log(0.05 / 0.95)
     if both:
-        x = normalised(weigher(F.col("text")), F.col("text"))
-        fitted = stage(labelled.select("label", F.array(x).alias("x"))).select("label", array_to_vector("x").alias("x"))
+        weighed = stage(labelled.select("label", "text", weigher("text").alias("hits")))
+        fitted = weighed.select("label", array_to_vector(F.array(*evidence(F.col("hits"), F.col("text")))).alias("x"))
         model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-3, maxIter=100).fit(fitted)
-        slope, intercept = float(model.coefficients[0]), float(model.intercept)
-    scored = docs.select("doc_id", "text", weigher(F.coalesce("text", F.lit(""))).alias("weight"))
-    z = F.lit(slope) * normalised(F.col("weight"), F.col("text")) + F.lit(intercept)
-    return (scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), (1.0 / (1.0 + F.exp(-z))).alias("score"), "weight")
+        slopes, intercept = [float(c) for c in model.coefficients], float(model.intercept)
+    scored = docs.select("doc_id", "text", weigher(F.coalesce("text", F.lit(""))).alias("hits"))
+    z = F.lit(intercept)
+    for slope, x in zip(slopes, evidence(F.col("hits"), F.col("text"))):
+        z = z + F.lit(slope) * x
+    return (scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), (1.0 / (1.0 + F.exp(-z))).alias("score"), F.col("hits.total").alias("weight"))
             .withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
             .select("doc_id", "held_out", "score", "predicted", "weight"))
