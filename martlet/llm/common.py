@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import uuid
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,14 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(hashes: DataFrame, most: int):
+    """The different values of the column h, sorted as unsigned numbers, as a broadcast; None if they are more than `most`."""
+    hashes = stage(hashes.select("h").distinct())
+    if hashes.count() > most:
+        return None
+    return hashes.sparkSession.sparkContext.broadcast(np.sort(hashes.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import ship, stage
+from martlet.llm.common import sent, ship, stage
 
 ship(__name__)
 
@@ -134,15 +134,7 @@ def sketch(listed: DataFrame, share: float) -> DataFrame:
     return smallest.select("item_id", "need", F.col("u").bitwiseXOR(F.lit(-(1 << 63))).alias("h"))
 
 
-def _sent(hashes: DataFrame, most: int):
-    """The different hashes, sorted, as a broadcast; None if they are more than `most`."""
-    hashes = stage(hashes.select("h").distinct())
-    if hashes.count() > most:
-        return None
-    return hashes.sparkSession.sparkContext.broadcast(np.sort(hashes.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
-
-
-def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE, sent: int = SENT) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE, most_sent: int = SENT) -> DataFrame:
     """doc_id, item_id, shingles (of the item), found (of them in the document), containment: pairs of at least `share`.
 
     An item of fewer than five words is one shingle of all its words; an item without
@@ -162,13 +154,13 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE, sen
 
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("t"), text.alias("text"))
-    hashed = keyed.select("doc_id", "t", matched_hashes(sizes, _sent(sketches, sent))("text").alias("m"))
+    hashed = keyed.select("doc_id", "t", matched_hashes(sizes, sent(sketches, most_sent))("text").alias("m"))
     hits = hashed.select("doc_id", "t", "m.runs", F.explode("m.hs").alias("h")).join(sketches, "h").filter("runs >= need")
     candidates = stage(hits.select(F.col("doc_id").alias("c_id"), F.col("t").alias("c_t"), F.col("item_id").alias("c_item")).distinct())
 
     which = candidates.select("c_id", "c_t").distinct()
     texts = keyed.join(which, keyed["doc_id"].eqNullSafe(which["c_id"]) & (keyed["t"] == which["c_t"]), "left_semi").distinct()
-    held = texts.select("doc_id", "t", F.explode(matched_texts(sizes, _sent(listed, sent))("text")).alias("s"))
+    held = texts.select("doc_id", "t", F.explode(matched_texts(sizes, sent(listed, most_sent))("text")).alias("s"))
     found = held.join(listed.select("item_id", "s", "q").distinct(), "s").groupBy("doc_id", "t", "item_id", "q").agg(F.count(F.lit(1)).alias("found"))
     pair = found["doc_id"].eqNullSafe(candidates["c_id"]) & (found["t"] == candidates["c_t"]) & found["item_id"].eqNullSafe(candidates["c_item"])
     best = found.join(candidates, pair, "left_semi").groupBy("doc_id", "item_id", "q").agg(F.max("found").alias("found"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.llm import cascade, containment, forest, linetree, mixing, pii, rules, simhash, toxicity
+from martlet.llm import cascade, containment, forest, linetree, mixing, pii, rules, simhash, templates, toxicity
 from martlet.llm.common import table
 
 # The host and path rules of the URL query.
@@ -32,6 +32,10 @@ def op4_simhash_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_site_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.main_texts(table(spark, folder, "pages"))
+
+
 def op6_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return cascade.judge(table(spark, folder, "pages"), rules, HOST_WORDS)
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_projection_forest": op2_projection_forest,
     "op3_weak_supervision": op3_weak_supervision,
     "op4_simhash_blocks": op4_simhash_blocks,
+    "op5_site_templates": op5_site_templates,
     "op6_url_cascade": op6_url_cascade,
     "op7_toxic_lexicon": op7_toxic_lexicon,
     "op8_line_templates": op8_line_templates,
