@@ -14,14 +14,17 @@ leaves at most 2**17 different fingerprints to a task, however large the table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from martlet.llm.common import lower_ascii, ship, stage, words_of
+from martlet.llm.common import ship, stage
 from martlet.llm.components import components
 
 ship(__name__)
@@ -29,7 +32,8 @@ ship(__name__)
 DISTANCE, SHINGLE = 3, 3
 PAIRED = 64      # up to so many fingerprints under a key are compared by a join
 GROUP = 16_384   # beyond so many the key is refined
-LANES = (1 << 32) | 1
+CHUNK = 100_000  # shingles counted at a time
+digest = xxhash.xxh64_digest
 
 
 def _signed(mask: int) -> int:
@@ -46,38 +50,33 @@ KEYS = _masks(list(range(64)))
 FINER = [[m | f for f in _masks([b for b in range(64) if not m >> b & 1])] for m in KEYS]
 
 
-def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
-    """XXH64 (seed 42) of each run of n words, space-joined; of all words, if there are fewer; none without words."""
-    words = words_of(lower_ascii(text))
+def fingerprint_of(text: str | None) -> int:
+    """The 64 bits of a text; a bit is set if more than half the shingles' XXH64 (seed 42) have it.
 
-    def hashed(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n),
-                           lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])))
-        return (F.when(F.size(w) >= n, runs).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " "))))
-                .otherwise(F.array().cast("array<bigint>")))
+    Words are the runs between ASCII white space, A-Z in lower case; shingles are runs
+    of three words, space-joined, or all words if there are fewer.  No words: 0.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()   # bytes: ASCII letters and white space only
+    if len(words) < SHINGLE:
+        return xxhash.xxh64_intdigest(b" ".join(words), 42) if words else 0
+    counts, n = np.zeros(64, np.int64), len(words) - SHINGLE + 1
+    for at in range(0, n, CHUNK):
+        part = words[at:at + CHUNK + SHINGLE - 1]
+        runs = map(b" ".join, zip(*[part[k:] for k in range(SHINGLE)]))
+        digests = b"".join([digest(run, 42) for run in runs])
+        counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
-    # The words are an element of a one-row array so that they are split once and not per use.
-    return F.flatten(F.transform(F.array(words), hashed))
 
+@F.pandas_udf(T.LongType())
+def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series(np.array([fingerprint_of(t) for t in texts], dtype=np.uint64).view(np.int64))
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) and rows, one row per different (doc_id, text).
 
-    A bit is set if more than half the shingles have it.  Counts of two bits share a
-    long, 32 bits each, so 32 sums make the fingerprint; they are summed map-side.
-    Null and blank texts have fingerprint 0.  Rows that repeat an id with its text are
-    one document (`rows` counts them); an id with two texts is two documents.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    hashed = docs.select("doc_id", F.xxhash64(text).alias("a"), F.hash(text).alias("b"), F.explode_outer(shingle_hashes(F.col("text"))).alias("h"))
-    lanes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANES))).alias(f"c{k}") for k in range(32)]
-    summed = hashed.groupBy("doc_id", "a", "b").agg(F.count("h").alias("n"), *lanes)
-    bits = F.lit(0).cast("long")
-    for k in range(32):
-        low, high = F.col(f"c{k}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright(f"c{k}", 32)
-        bits = bits.bitwiseOR(F.when(low * 2 > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-        bits = bits.bitwiseOR(F.when(high * 2 > F.col("n"), F.lit(_signed(1 << (k + 32)))).otherwise(F.lit(0)).cast("long"))
-    return summed.select("doc_id", bits.alias("fp"))
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and fp (the 64 bits as a long) of every row; null and blank texts have fingerprint 0."""
+    return docs.select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fp"))
 
 
 def _filed(prints: DataFrame) -> DataFrame:
@@ -133,7 +132,7 @@ def near_duplicates(docs: DataFrame, paired: int = PAIRED, group: int = GROUP) -
     component_id is the smallest doc_id reachable over links, the document's own
     included.  Documents without words have fingerprint zero and link like any other.
     Null ids take part in links but are never a component_id (null if a component has
-    no other id).  One row per different (doc_id, text); an empty table gives none.
+    no other id).  One row per input row; an empty table gives none.
     """
     prints = stage(fingerprints(docs))
     roots = components(links(prints, paired, group))
