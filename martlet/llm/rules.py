@@ -140,6 +140,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     return docs.join(chosen, docs["doc_id"] == chosen["__known"]).drop("__known")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE) -> DataFrame:
+    """The rows of `docs` whose text scores at least `threshold`, all columns as they are.
+
+    Null and blank texts are judged like any other; repeated rows alike.  The text is
+    read once for the fit, where it is labelled, and once to score; nothing is shuffled.
+    """
+    known = training_rows(docs.select("doc_id", "text"), labels, "quality", most)
+    labelled = stage(with_statistics(known).drop("doc_id", "text"))
+    scored = with_statistics(docs).filter(fit(labelled).score() >= threshold)
+    return scored.select(*docs.columns)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`, from its text alone.
 
