@@ -58,7 +58,9 @@ def out_of_range(c: Column, lo=None, hi=None) -> Column:
 
 
 def invalid_date(text: Column, earliest: date, latest: date) -> Column:
-    day = text.try_cast("date")
+    """A date is written YYYY-MM-DD in full; anything that merely begins with one is not."""
+    written = F.when(text.cast("string").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text)
+    day = written.try_cast("date")
     return F.coalesce((day < F.lit(earliest)) | (day > F.lit(latest)), F.lit(True))
 
 

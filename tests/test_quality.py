@@ -25,9 +25,9 @@ def test_range_on_one_side_and_null(spark):
 
 
 def test_dates(spark):
-    got = flags(spark, "string", ["2024-01-01", "2099-01-01", "not-a-date", "2023-06-15", None, "2000-01-01", "1999-12-31"],
+    got = flags(spark, "string", ["2024-01-01", "2099-01-01", "not-a-date", "2023-06-15", None, "2000-01-01", "1999-12-31", "2024", "2024-05", "2024-05-06 junk"],
                 lambda c: q.invalid_date(c, date(2000, 1, 1), AS_OF))
-    assert got == [False, True, True, False, True, False, True]
+    assert got == [False, True, True, False, True, False, True, True, True, True]
 
 
 def test_category(spark):
