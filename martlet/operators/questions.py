@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -41,12 +42,40 @@ def sql_is_safe(statement: Column) -> Column:
 
 def guarded_query(spark: SparkSession, statement: str, **tables: DataFrame) -> DataFrame:
     """Runs one statement over the named tables (written {name}) if it only reads, and refuses it otherwise."""
-    upper = statement.upper()
-    if not upper.strip().startswith(tuple(READ_ONLY_STARTS)) or any(w in upper for w in FORBIDDEN):
+    checked = spark.createDataFrame([(statement,)], "statement string").select(sql_is_safe(F.col("statement"))).first()[0]
+    if not checked:
         raise ValueError("Refused: not a read-only SELECT or WITH statement.")
+    named = {f"__guarded_{name}": df for name, df in tables.items()}
+    plain = statement.format(**{name: f"__guarded_{name}" for name in tables})
+    refused = _beyond_tables(spark, plain, set(named))
+    if refused:
+        raise ValueError(f"Refused: {refused}.")
     return spark.sql(statement, **tables)
 
 
+# Functions that call code or reach outside the tables.
+CALLING = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "session_user",
+           "user", "version", "read_files", "read_kafka", "spark_partition_id"}
+
+
+def _beyond_tables(spark: SparkSession, statement: str, known: set[str]) -> str:
+    """What the parsed statement reads or runs besides the known tables; empty if nothing."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    tree = plan.treeString()
+    own = set(re.findall(r"^\W*CTE \[(.*?)\]", tree, re.M))
+    allowed = known | {name.strip() for names in own for name in names.split(",")}
+    for names in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree):
+        if names.strip() not in allowed:
+            return f"it reads {names}"
+    if re.search(r"ScriptTransformation|ScriptInputOutputSchema|UnresolvedTableValuedFunction", tree):
+        return "it runs a script or a table function"
+    called = set(re.findall(r"'([A-Za-z_0-9.]+)\(", tree)) | set(re.findall(r"\b([a-z_0-9]+)\s*\(", statement.lower()))
+    for name in sorted(called):
+        if name.lower().rsplit(".", 1)[-1] in CALLING:
+            return f"it calls {name}"
+    return ""
+
+
 # --- questions ---------------------------------------------------------------
 
 def _mentions(question: Column, alternatives) -> Column:
@@ -80,11 +109,17 @@ def answer_worst_region(sales: DataFrame) -> DataFrame:
     return per_region.orderBy("revenue", "region")
 
 
-def answer_losing_products(sales: DataFrame, products: DataFrame) -> DataFrame:
+def losing_products(sales: DataFrame, products: DataFrame) -> DataFrame:
+    """All products with a loss or a margin below 5 %."""
     totals = totals_by(sales, products, PAIR, ["revenue", "profit", "orders"])
     thin = (F.col("revenue") > 0) & (F.col("profit") < F.col("revenue") * F.lit(THIN_MARGIN).cast("decimal(4,2)"))
     negative = (F.col("revenue") < 0) & (F.col("profit") > F.col("revenue") * F.lit(THIN_MARGIN).cast("decimal(4,2)"))
-    return totals.where((F.col("profit") < 0) | thin | negative).orderBy("profit", *PAIR).limit(LOSING_PRODUCTS)
+    return totals.where((F.col("profit") < 0) | thin | negative)
+
+
+def answer_losing_products(sales: DataFrame, products: DataFrame) -> DataFrame:
+    """The worst of them; how many there are is `losing_products`."""
+    return losing_products(sales, products).orderBy("profit", *PAIR).limit(LOSING_PRODUCTS)
 
 
 def answer_churn_risk(segmented: DataFrame) -> DataFrame:
@@ -149,7 +184,8 @@ def answers(sales: DataFrame, products: DataFrame, segmented: DataFrame) -> Data
         answer_losing_products(sales, products),
         text(c("product_name"), " (", c("category"), "): Rs.", rounded(c("profit")), " profit on Rs.", rounded(c("revenue")),
              " revenue, ", c("orders"), " orders"),
-        c("profit"), c("product_name"), c("category"))
+        c("profit"), c("product_name"), c("category")).withColumn(
+            "n", losing_products(sales, products).agg(F.count("*").alias("all")).scalar())
     churn = answer_churn_risk(segmented).agg(
         F.sum("customers").alias("total"),
         F.array_sort(F.collect_list(text(c("customer_segment"), ": ", c("customers"), " customers"))).alias("lines"))
@@ -185,7 +221,7 @@ def answers(sales: DataFrame, products: DataFrame, segmented: DataFrame) -> Data
                 F.when(c("this_month").isNotNull(), text(
                     "Revenue ", F.when(c("change_pct") >= 0, "grew").otherwise("declined"), " by ",
                     tenths(F.abs(F.round(c("change_pct") * 10))), "% from ", c("last_month"), " to ", c("this_month"), "."))
-                .otherwise("Not enough months of data to compare."),
+                .otherwise("A comparison needs orders in two months."),
                 F.when(c("this_month").isNotNull(), F.array(
                     text(c("this_month"), ": Rs.", rounded(c("this_revenue")), " revenue, ", c("this_orders"), " orders"),
                     text(c("last_month"), ": Rs.", rounded(c("last_revenue")), " revenue, ", c("last_orders"), " orders")))

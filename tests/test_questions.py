@@ -27,6 +27,31 @@ def test_guarded_query(spark, shop):
             qu.guarded_query(spark, statement, sales=sales)
 
 
+@pytest.mark.parametrize("statement", [
+    "SELECT reflect('java.lang.Math', 'abs', -3)", "SELECT java_method('java.lang.Math', 'abs', -3) FROM {sales}",
+    "SELECT TRANSFORM (revenue) USING 'cat' AS (r STRING) FROM {sales}", "SELECT * FROM csv.`/etc/passwd`", "SELECT * FROM orders",
+    "SELECT * FROM {sales} WHERE revenue IN (SELECT revenue FROM other)", "WITH t AS (SELECT * FROM hidden) SELECT * FROM t, {sales}",
+    "SELECT * FROM range(10)"])
+def test_guarded_query_reads_the_named_tables_only(spark, shop, statement):
+    with pytest.raises(ValueError):
+        qu.guarded_query(spark, statement, sales=shop.sales({"revenue": 5}))
+
+
+def test_guarded_query_takes_subqueries_and_named_parts(spark, shop):
+    sales = shop.sales({"revenue": 5, "region": "North"}, {"revenue": 7, "region": "South"})
+    statement = ("WITH best AS (SELECT region, SUM(revenue) AS r FROM {sales} GROUP BY region) "
+                 "SELECT region FROM best WHERE r = (SELECT MAX(r) FROM best) AND r > (SELECT MIN(revenue) FROM {sales})")
+    assert [r.region for r in qu.guarded_query(spark, statement, sales=sales).collect()] == ["South"]
+
+
+def test_losing_products_are_counted_before_the_list_is_cut(shop):
+    sales = shop.sales(*[{"product_id": i, "revenue": 10, "cost": 20 + i} for i in range(12)])
+    goods = shop.products(*[(i, f"p{i}", "c") for i in range(12)])
+    members = shop.customers((1,)).withColumn("customer_segment", F.lit("Loyal"))
+    answer = qu.answers(sales, goods, members).where("intent = 'losing_products'").first()
+    assert answer.answer.startswith("12 products") and len(answer.evidence) == qu.LOSING_PRODUCTS
+
+
 ASKED = {
     "What were our best-selling products?": "best_sellers", "Which region performed worst?": "worst_region",
     "Which products are losing money?": "losing_products", "Which customers are likely to churn?": "churn_risk",
@@ -63,7 +88,7 @@ def test_answers(asked, shop):
 
 def test_answers_without_data(asked, shop):
     got = qu.answer_questions(asked, shop.sales(), shop.products(), shop.customers())
-    assert {r.intent: r.answer for r in got.collect()}["month_over_month"] == "Not enough months of data to compare."
+    assert {r.intent: r.answer for r in got.collect()}["month_over_month"] == "A comparison needs orders in two months."
 
 
 @pytest.mark.parametrize("revenue,cost,listed", [(100, 95, False), (100, "95.01", True), (0, 0, False), (0, 1, True)])
