@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exact
+from .products import sums
 
 # Window, thresholds, metric names and texts.
 WINDOW = 14
@@ -24,8 +25,7 @@ _AMOUNT = "decimal(24,2)"
 def daily_metrics(sales: DataFrame, customers: DataFrame) -> DataFrame:
     """One row per calendar day from the first to the last order; days without orders are 0."""
     daily = sales.groupBy("order_date").agg(
-        F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"), F.count("*").alias("orders"),
-        exact.count_if(F.col("return_status") == "Returned").alias("returns")).where(F.col("order_date").isNotNull())
+        *sums(sales, ["revenue", "profit", "orders"]), *[c.alias("returns") for c in sums(sales, ["returned"])]).where(F.col("order_date").isNotNull())
     # A day with orders is followed by its gap days, up to the next day with orders.
     following = F.lead("order_date").over(Window.orderBy("order_date"))
     last_gap_day = F.coalesce(F.date_sub("next", 1), F.col("order_date"))

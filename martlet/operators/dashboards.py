@@ -9,7 +9,8 @@ from ..functions.shared import latest
 
 
 def home_summary(sales: DataFrame, customers: DataFrame) -> DataFrame:
-    sums = sales.agg(F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"), F.count("revenue").alias("n"))
+    n = F.sum("orders") if "orders" in sales.columns else F.count("revenue")
+    sums = sales.agg(F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"), n.alias("n"))
     zero = F.lit(0.0)
     return sums.select(
         F.coalesce("revenue", F.lit(0)).alias("total_revenue"),

@@ -47,8 +47,8 @@ def _needed(measures: list[str]) -> list[str]:
     return [n for n in [*_SUMS, *_CUSTOMER_SUMS] if n in names]
 
 
-def kpis(fact: DataFrame, group_by: list[str], measures: list[str]) -> DataFrame:
-    """The measures for every combination of the grouping columns (one row if there are none).
+def kpis(fact: DataFrame, group_by: list[str], measures: list[str], where: Column | None = None) -> DataFrame:
+    """The measures for every combination of the grouping columns (one row if there are none), over the rows that `where` keeps.
 
     Customer measures are counted from one row per group and customer, so the
     distinct count is spread over customers and a hot group stays divided.
@@ -56,6 +56,7 @@ def kpis(fact: DataFrame, group_by: list[str], measures: list[str]) -> DataFrame
     unknown = [m for m in measures if m not in _RATIOS and m not in _SUMS and m not in _CUSTOMER_SUMS]
     if unknown:
         raise ValueError(f"unknown measures: {unknown}")
+    fact = fact.where(where) if where is not None else fact
     needed = _needed(measures)
     per_customer = [n for n in needed if n in _CUSTOMER_SUMS]
     if per_customer:
@@ -102,27 +103,50 @@ def date_table(fact: DataFrame) -> DataFrame:
     )
 
 
-def prior_month(fact: DataFrame, measure: str) -> DataFrame:
-    """Monthly total of revenue or profit, that of the calendar month before, and the growth.
+def prior_month(fact: DataFrame, measure: str, group_by: list[str] | None = None, where: Column | None = None) -> DataFrame:
+    """Monthly total of revenue or profit, that of the same dates one month earlier, and the growth, per group.
 
-    A gap month leaves the prior value blank; it is not the previous row.
+    Every month of the calendar from the first to the last order has a row (of each
+    group, every month that has a total or a prior one): a month without orders has no
+    total, but still its prior value and a growth of -1.  A month that the calendar
+    holds only in part, the last one, is compared with the same days of the month before.
     """
     if measure not in ("revenue", "profit"):
         raise ValueError("measure must be revenue or profit")
-    monthly = fact.groupBy(F.trunc("order_date", "month").alias("month")).agg(F.sum(measure).alias("current"))
-    shifted = monthly.select(F.add_months("month", 1).alias("month"), F.col("current").alias("prior"))
-    growth = exact.fraction(F.col("current") - F.col("prior"), F.col("prior"))
-    return monthly.join(shifted, "month", "left").select(
-        "month", F.col("current").alias(f"total_{measure}"), F.col("prior").alias(f"{measure}_prior_month"),
+    groups = group_by or []
+    span = fact.agg(F.struct(F.min("order_date").alias("lo"), F.max("order_date").alias("hi")).alias("span"))
+    kept = fact.where(where) if where is not None else fact
+    daily = kept.where(F.col("order_date").isNotNull()).groupBy(*groups, "order_date").agg(F.sum(measure).alias("amount"))
+    current = daily.groupBy(*groups, F.trunc("order_date", "month").alias("month")).agg(F.sum("amount").alias("current"))
+    ends = attach(daily, "span", span)
+    hi = F.col("span.hi")
+    month = F.add_months(F.trunc("order_date", "month"), 1)
+    whole = (month < F.trunc(hi, "month")) | (hi == F.last_day(hi))
+    same_days = (month == F.trunc(hi, "month")) & (F.dayofmonth("order_date") <= F.dayofmonth(hi))
+    shifted = ends.where((month <= F.trunc(hi, "month")) & (whole | same_days)).groupBy(*groups, month.alias("month")).agg(
+        F.sum("amount").alias("prior"))
+    both = current.join(shifted, [*groups, "month"], "full")
+    if not groups:
+        months = date_table(fact).select(F.trunc("date", "month").alias("month")).distinct()
+        both = months.join(both, "month", "left")
+    growth = exact.fraction(F.coalesce("current", F.lit(0)) - F.col("prior"), F.col("prior"))
+    return both.select(
+        *groups, "month", F.col("current").alias(f"total_{measure}"), F.col("prior").alias(f"{measure}_prior_month"),
         growth.alias(f"{measure}_mom_growth"))
 
 
-def new_customers(fact: DataFrame, customers: DataFrame) -> DataFrame:
-    """Customers by signup month, for the months of the date table and days inside its span."""
+def new_customers(fact: DataFrame, customers: DataFrame, group_by: list[str] | None = None) -> DataFrame:
+    """Customers by signup month, for the months of the date table and days inside its span.
+
+    `group_by` names columns of the customers; a group then has the months in which it has signups.
+    """
+    groups = group_by or []
     span = fact.agg(F.struct(F.min("order_date").alias("lo"), F.max("order_date").alias("hi")).alias("span"))
     inside = attach(customers, "span", span).where(F.col("signup_date").between(F.col("span.lo"), F.col("span.hi")))
-    signups = inside.groupBy(F.trunc("signup_date", "month").alias("month")).agg(
+    signups = inside.groupBy(*groups, F.trunc("signup_date", "month").alias("month")).agg(
         F.countDistinct("customer_id").alias("new_customers"))
+    if groups:
+        return signups
     months = date_table(fact).select(F.trunc("date", "month").alias("month")).distinct()
     return months.join(signups, "month", "left").select("month", F.coalesce("new_customers", F.lit(0)).alias("new_customers"))
 

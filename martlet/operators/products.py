@@ -14,8 +14,11 @@ from ..functions import exact
 PAIR = ["product_name", "category"]
 MINIMUM_ORDERS = 5
 
+AMOUNT = "decimal(24,2)"
+
 _MEASURES = {
     "revenue": lambda: F.sum("revenue"),
+    "quantity": lambda: F.sum("quantity"),
     "profit": lambda: F.sum("profit"),
     "orders": lambda: F.count("*"),
     "returned": lambda: exact.count_if(F.col("return_status") == "Returned"),
@@ -33,25 +36,53 @@ def totals_by(sales: DataFrame, products: DataFrame, keys: list[str], measures:
               extra_keys: list[str] | None = None) -> DataFrame:
     """Sums of the measures per product attribute (and per `extra_keys` of the fact).
 
-    `sales` may be a summary that already carries the attributes; products are then not read.
+    `sales` may be a summary that already carries the attributes; products are then not
+    read, and cells of products that the product table lacks (blank attributes) are left out.
     """
     extra_keys = extra_keys or []
     if all(k in sales.columns for k in keys):
-        return sales.groupBy(*keys, *extra_keys).agg(*sums(sales, measures))
-    per_product = sales.groupBy("product_id", *extra_keys).agg(*sums(sales, measures))
-    named = per_product.join(products.select("product_id", *keys), "product_id")
+        known = sales.dropna(subset=keys) if keys else sales
+        return known.groupBy(*keys, *extra_keys).agg(*sums(sales, measures))
+    named = named_cells(sales, products, keys, measures, extra_keys, "inner")
     return named.groupBy(*keys, *extra_keys).agg(*[F.sum(m).alias(m) for m in measures])
 
 
+def named_cells(sales: DataFrame, products: DataFrame, keys: list[str], measures: list[str], extra_keys: list[str],
+                how: str) -> DataFrame:
+    """Sums per product and `extra_keys`, with product attributes; the only join is made on these sums.
+
+    A fact without profit gives it all the same if it has quantities: the cost of a
+    product's lines is its unit cost times the sum of their quantities, exactly.
+    """
+    derived = "profit" in measures and "profit" not in sales.columns
+    summed = list(dict.fromkeys([m for m in measures if m != "profit"] + ["revenue", "quantity"])) if derived else measures
+    per_product = sales.groupBy("product_id", *extra_keys).agg(*sums(sales, summed))
+    columns = [*keys, F.col("cost").alias("unit_cost")] if derived else keys
+    named = per_product.join(products.select("product_id", *columns), "product_id", how)
+    if derived:
+        named = named.withColumn("profit", (F.col("revenue") - F.col("unit_cost") * F.col("quantity")).cast(AMOUNT))
+    return named.select("product_id", *keys, *extra_keys, *measures)
+
+
+def profit_cells(sales: DataFrame, products: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Revenue, profit and orders per product and `keys`: a summary that metrics over `keys` sum further.
+
+    Lines of products that the product table lacks have no profit, but keep revenue and orders.
+    """
+    return named_cells(sales, products, [], ["revenue", "profit", "orders"], keys or [], "left")
+
+
 def monthly_summary(sales: DataFrame, products: DataFrame, measures: list[str] | None = None) -> DataFrame:
     """Sums per product name, category, region and month (`order_date` is its first day).
 
     Reports that roll the fact up in several ways read this instead, once it is
-    stored.  Its size follows the names, regions and months there are, not the
+    stored.  Lines of unknown products are kept under blank names.  Its size follows the names, regions and months there are, not the
     number of orders, and every measure in it can be summed further.
     """
     lines = sales.withColumn("order_date", F.trunc("order_date", "month"))
-    return totals_by(lines, products, PAIR, measures or list(_MEASURES), ["region", "order_date"])
+    wanted = measures or [m for m in _MEASURES if m != "quantity"]
+    cells = named_cells(lines, products, PAIR, wanted, ["region", "order_date"], "left")
+    return cells.groupBy(*PAIR, "region", "order_date").agg(*[F.sum(m).alias(m) for m in wanted])
 
 
 def top_products(sales: DataFrame, products: DataFrame, n: int = 10, by: str = "revenue") -> DataFrame:

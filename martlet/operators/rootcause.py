@@ -5,9 +5,10 @@ from __future__ import annotations
 import calendar
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exact
+from ..functions.order_stats import attach
 from .sales import in_range
 
 METRICS = ("revenue", "profit", "cost", "quantity")
@@ -67,26 +68,32 @@ def _changes(sales: DataFrame, products: DataFrame, period_a: str, period_b: str
     """
     a, b = month_bounds(period_a), month_bounds(period_b)
     in_a, in_b = F.col("order_date").between(*map(F.lit, a)), F.col("order_date").between(*map(F.lit, b))
-    amount = _amount(metric)
-    cells = sales.where(in_a | in_b).groupBy("product_id", "region", "payment_method", "return_status").agg(
-        F.sum(F.when(in_a, amount)).alias("before"), F.sum(F.when(in_b, amount)).alias("after"))
-    named = cells.join(products.select("product_id", "category"), "product_id")
+    derived = _checked(metric) in ("profit", "cost") and metric not in sales.columns
+    read = ["revenue", "quantity"] if derived else [metric]
+    cells = sales.where(in_a | in_b).groupBy("product_id", "region", "payment_method", "return_status").agg(*[
+        F.sum(F.when(hit, _amount(m))).alias(f"{name}_{m}") for m in read for name, hit in (("before", in_a), ("after", in_b))])
+    # The product table gives the category and, for a fact without it, the cost; an unknown product has neither.
+    named = cells.join(products.select("product_id", "category", F.col("cost").alias("unit_cost")), "product_id", "left")
+    for name in ("before", "after"):
+        cost = F.col("unit_cost") * F.col(f"{name}_quantity") if derived else None
+        value = F.col(f"{name}_{metric}") if not derived else cost if metric == "cost" else F.col(f"{name}_revenue") - cost
+        named = named.withColumn(name, value.cast("decimal(28,2)"))
     laid_out = named.select("before", "after", F.explode(F.array(*[
         F.struct(F.lit(d).alias("dimension_type"), F.col(d).alias("dimension_value")) for d in DIMENSIONS])).alias("slice"))
     zero = F.lit(0).cast("decimal(12,2)")
-    return laid_out.groupBy("slice.dimension_type", "slice.dimension_value").agg(
+    # Lines of unknown products have no category; they count in every other dimension and in the total.
+    known = (F.col("slice.dimension_type") != "category") | F.col("slice.dimension_value").isNotNull()
+    return laid_out.where(known).groupBy("slice.dimension_type", "slice.dimension_value").agg(
         F.coalesce(F.sum("before"), zero).alias("before"), F.coalesce(F.sum("after"), zero).alias("after"))
 
 
 def compare_periods(sales: DataFrame, products: DataFrame, period_a: str, period_b: str, metric: str = "revenue") -> DataFrame:
     """Slices that moved by at least 1 % of the first period's total, largest decline first."""
     changes = _changes(sales, products, period_a, period_b, metric)
-    # Every dimension splits the same total, so each adds up to it.
-    one_dimension = Window.partitionBy("dimension_type")
-    moved = changes.withColumns({
-        "change": F.col("after") - F.col("before"),
-        "total_a": F.sum("before").over(one_dimension), "total_b": F.sum("after").over(one_dimension),
-    })
+    # The total is the slice of the region's dimension taken as a whole: every line has its place in it.
+    totals = changes.where(F.col("dimension_type") == "region").agg(F.struct(F.sum("before").alias("a"), F.sum("after").alias("b")).alias("sums"))
+    moved = attach(changes.withColumn("change", F.col("after") - F.col("before")), "sums", totals).withColumns(
+        {"total_a": F.col("sums.a"), "total_b": F.col("sums.b")})
     relevant = moved.where(F.abs("change") * 100 >= F.abs("total_a"))
     per_slice = exact.half_up(exact.cents(F.col("change")), exact.cents(F.col("before")), 1000).cast("double") / 10
     of_total = exact.money_percent(F.col("change"), F.col("total_b") - F.col("total_a"))

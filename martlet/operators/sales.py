@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exact
+from .products import sums as sums_of
 
 # Discount bracket labels and their upper bounds.
 DISCOUNT_BRACKETS = [("No discount", "0"), ("1-10%", "0.10"), ("11-20%", "0.20")]
@@ -47,9 +48,7 @@ def average_order_value(sales: DataFrame, start=None, end=None) -> DataFrame:
 
 
 def _revenue_by(sales: DataFrame, key: Column, name: str) -> DataFrame:
-    return sales.groupBy(key.alias(name)).agg(
-        F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"), F.count("*").alias("orders")
-    )
+    return sales.groupBy(key.alias(name)).agg(*sums_of(sales, ["revenue", "profit", "orders"]))
 
 
 def monthly_revenue(sales: DataFrame) -> DataFrame:
@@ -91,10 +90,10 @@ def discount_bracket(discount: Column) -> Column:
 
 
 def discount_analysis(sales: DataFrame) -> DataFrame:
+    """`sales` may be cells that hold profit and orders per discount."""
+    profits = F.sum(F.when(F.col("profit").isNotNull(), F.col("orders"))) if "orders" in sales.columns else F.count("profit")
     per_bracket = sales.groupBy(discount_bracket(F.col("discount")).alias("discount_bracket")).agg(
-        F.count("*").alias("orders"), F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"),
-        F.count("profit").alias("profits"), F.min("discount").alias("lowest"),
-    )
+        *sums_of(sales, ["revenue", "profit", "orders"]), profits.alias("profits"), F.min("discount").alias("lowest"))
     return per_bracket.orderBy("lowest").select(
         "discount_bracket", "orders", "revenue",
         exact.mean_money(F.col("profit"), F.col("profits")).alias("avg_profit_per_order"),
@@ -111,7 +110,8 @@ def order_count(sales: DataFrame) -> DataFrame:
 
 
 def sales_summary(sales: DataFrame) -> DataFrame:
-    sums = sales.agg(F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"), F.count("revenue").alias("n"))
+    n = F.sum("orders") if "orders" in sales.columns else F.count("revenue")
+    sums = sales.agg(F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"), n.alias("n"))
     return sums.select(
         F.coalesce("revenue", F.lit(0)).alias("total_revenue"),
         F.coalesce("profit", F.lit(0)).alias("total_profit"),

@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 START, END = date(1996, 3, 1), date(1998, 2, 28)
-PRODUCT_FACT = ("product_id", "revenue", "profit")
+PRODUCT_FACT = ("product_id", "revenue", "quantity")
 EXECUTIVE_FACT = ("customer_id", "revenue", "profit", "order_date")
 
 
@@ -30,31 +30,42 @@ def add(name: str, build: Callable[[Star], DataFrame]) -> None:
     QUERIES[name] = lambda spark, folder: portable(build(Star(spark, folder)))
 
 
+def _cells(t: Star, *keys: str) -> DataFrame:
+    """Revenue, profit and orders per product and keys (`order_date` by month): what profit metrics read instead of lines."""
+    fact = t.sales(*PRODUCT_FACT, *keys)
+    if "order_date" in keys:
+        fact = fact.withColumn("order_date", F.trunc("order_date", "month"))
+    return products.profit_cells(fact, t.products(), list(keys))
+
+
+def _cells_in_range(t: Star) -> DataFrame:
+    fact = sales.in_range(t.sales(*PRODUCT_FACT, "order_date", start=START, end=END), START, END)
+    return products.profit_cells(fact, t.products())
+
+
 # Sales
 add("date_range_filter", lambda t: sales.in_range(
     t.sales("order_id", "order_date", "revenue", "profit", start=START, end=END), START, END))
 add("total_revenue", lambda t: sales.total_revenue(t.sales("revenue")))
-add("total_profit", lambda t: sales.total_profit(t.sales("profit")))
+add("total_profit", lambda t: sales.total_profit(_cells(t)))
 add("total_revenue_in_range", lambda t: sales.total_revenue(
     t.sales("revenue", "order_date", start=START, end=END), START, END))
-add("total_profit_in_range", lambda t: sales.total_profit(
-    t.sales("profit", "order_date", start=START, end=END), START, END))
-add("profit_margin", lambda t: sales.profit_margin(t.sales("revenue", "profit")))
-add("profit_margin_in_range", lambda t: sales.profit_margin(
-    t.sales("revenue", "profit", "order_date", start=START, end=END), START, END))
+add("total_profit_in_range", lambda t: sales.total_profit(_cells_in_range(t)))
+add("profit_margin", lambda t: sales.profit_margin(_cells(t)))
+add("profit_margin_in_range", lambda t: sales.profit_margin(_cells_in_range(t)))
 add("average_order_value", lambda t: sales.average_order_value(t.sales("revenue")))
 add("average_order_value_in_range", lambda t: sales.average_order_value(
     t.sales("revenue", "order_date", start=START, end=END), START, END))
-add("monthly_revenue", lambda t: sales.monthly_revenue(t.sales("order_date", "revenue", "profit")))
-add("quarterly_revenue", lambda t: sales.quarterly_revenue(t.sales("order_date", "revenue", "profit")))
+add("monthly_revenue", lambda t: sales.monthly_revenue(_cells(t, "order_date")))
+add("quarterly_revenue", lambda t: sales.quarterly_revenue(_cells(t, "order_date")))
 add("revenue_growth_mom", lambda t: sales.revenue_growth_mom(t.sales("order_date", "revenue")))
 add("recent_growth", lambda t: sales.recent_growth(t.sales("order_date", "revenue")))
-add("revenue_by_region", lambda t: sales.revenue_by_region(t.sales("region", "revenue", "profit")))
+add("revenue_by_region", lambda t: sales.revenue_by_region(_cells(t, "region")))
 add("revenue_by_product", lambda t: sales_by_product(t))
-add("discount_analysis", lambda t: sales.discount_analysis(t.sales("discount", "revenue", "profit")))
+add("discount_analysis", lambda t: sales.discount_analysis(_cells(t, "discount")))
 add("discount_bracket", lambda t: sales.with_discount_bracket(t.sales("order_id", "discount")))
 add("order_count", lambda t: sales.order_count(t.sales("order_id")))
-add("sales_summary", lambda t: sales.sales_summary(t.sales("revenue", "profit")))
+add("sales_summary", lambda t: sales.sales_summary(_cells(t)))
 
 
 def sales_by_product(t: Star) -> DataFrame:
@@ -96,7 +107,7 @@ add("delivery_time_by_category", lambda t: operations.delivery_time_by_category(
 add("operations_summary", lambda t: operations.operations_summary(t.sales("delivery_days", "return_status")))
 
 # Summary pages
-add("home_summary", lambda t: dashboards.home_summary(t.sales("revenue", "profit"), t.customers()))
+add("home_summary", lambda t: dashboards.home_summary(_cells(t), t.customers()))
 add("executive_summary", lambda t: dashboards.executive_summary(t.sales(*EXECUTIVE_FACT), t.customers()))
 
 
@@ -325,6 +336,9 @@ CATEGORY_KPIS = ["total_revenue", "total_profit", "total_orders", "total_custome
 
 def _kpi(measure: str) -> Callable[[Star], DataFrame]:
     def build(t: Star) -> DataFrame:
+        if "profit" in KPI_COLUMNS[measure]:
+            cells = _cells(t, "region", "order_date").withColumnRenamed("order_date", "month")
+            return measures.kpis(cells, ["region", "month"], [measure])
         fact = t.sales("region", "order_date", *KPI_COLUMNS[measure])
         return measures.kpis(fact.withColumn("month", F.trunc("order_date", "month")), ["region", "month"], [measure])
     return build
@@ -336,18 +350,24 @@ def kpi_all_by_category(t: Star) -> DataFrame:
     return measures.kpis(fact, ["category"], CATEGORY_KPIS)
 
 
+def _profit_by_month(t: Star) -> DataFrame:
+    daily = products.profit_cells(t.sales(*PRODUCT_FACT, "order_date"), t.products(), ["order_date"])
+    return measures.prior_month(daily, "profit")
+
+
 for _name in KPI_COLUMNS:
     add(f"kpi_{_name}", _kpi(_name))
 add("kpi_all_by_category", kpi_all_by_category)
 add("kpi_churn_rate_90", lambda t: measures.churn_rate_90(t.sales("region", "customer_id", "order_date"), ["region"]))
 add("date_table", lambda t: measures.date_table(t.sales("order_date")))
 add("kpi_revenue_mom_growth", lambda t: measures.prior_month(t.sales("order_date", "revenue"), "revenue"))
-add("kpi_profit_mom_growth", lambda t: measures.prior_month(t.sales("order_date", "profit"), "profit"))
+add("kpi_profit_mom_growth", lambda t: _profit_by_month(t))
+add("kpi_revenue_mom_growth_by_region", lambda t: measures.prior_month(t.sales("region", "order_date", "revenue"), "revenue", ["region"]))
 add("kpi_revenue_prior_month", lambda t: measures.prior_month(t.sales("order_date", "revenue"), "revenue").drop(
     "revenue_mom_growth"))
-add("kpi_profit_prior_month", lambda t: measures.prior_month(t.sales("order_date", "profit"), "profit").drop(
-    "profit_mom_growth"))
+add("kpi_profit_prior_month", lambda t: _profit_by_month(t).drop("profit_mom_growth"))
 add("kpi_new_customers", lambda t: measures.new_customers(t.sales("order_date"), t.customers()))
+add("kpi_new_customers_by_region", lambda t: measures.new_customers(t.sales("order_date"), t.customers(), ["region"]))
 add("revenue_rank", lambda t: measures.revenue_rank(t.sales("product_id", "revenue"), t.products()).drop("top10_flag"))
 add("top10_flag", lambda t: measures.revenue_rank(t.sales("product_id", "revenue"), t.products()).select(
     "product_name", "top10_flag"))
@@ -473,7 +493,9 @@ add("churn_model_io", churn_model_io)
 
 # Anomalies
 def _daily(t: Star) -> DataFrame:
-    return anomalies.daily_metrics(t.sales("order_date", "revenue", "profit", "return_status"), t.customers())
+    fact = t.sales(*PRODUCT_FACT, "order_date", "return_status")
+    cells = products.named_cells(fact, t.products(), [], ["revenue", "profit", "orders", "returned"], ["order_date"], "left")
+    return anomalies.daily_metrics(cells, t.customers())
 
 
 def _anomalies(t: Star, daily: DataFrame | None = None) -> DataFrame:
@@ -504,7 +526,8 @@ FIRST, LAST = rootcause.month_bounds(PERIOD_A)[0], rootcause.month_bounds(PERIOD
 
 
 def _period_fact(t: Star, metric: str) -> DataFrame:
-    return t.sales("order_date", "product_id", "region", "payment_method", "return_status", metric, start=FIRST, end=LAST)
+    amounts = ("revenue", "quantity") if metric == "profit" else (metric,)
+    return t.sales("order_date", "product_id", "region", "payment_method", "return_status", *amounts, start=FIRST, end=LAST)
 
 
 def _contributors(t: Star, metric: str = "revenue") -> DataFrame:
@@ -540,7 +563,7 @@ add("auto_periods", lambda t: rootcause.auto_periods(t.sales("order_date")))
 def recommendation_cards(t: Star) -> DataFrame:
     """The fact is read for two stored intermediates, a monthly summary and the segments, and not again per rule."""
     folder = _fresh(t, "cards")
-    fact = t.sales("product_id", "order_date", "revenue", "profit", "region", "delivery_days", "return_status")
+    fact = t.sales(*PRODUCT_FACT, "order_date", "region", "delivery_days", "return_status")
     summary = writers.stage(products.monthly_summary(fact, t.products()), f"{folder}/summary")
     members = writers.stage(_segments(t), f"{folder}/segments")
     spending = members.select("customer_id", F.col("monetary").alias("revenue"))
@@ -563,11 +586,12 @@ GUARDED = "SELECT region, payment_method, COUNT(*) AS orders, SUM(revenue) AS re
 
 def answer_questions(t: Star) -> DataFrame:
     folder = _fresh(t, "answers")
-    fact = t.sales("product_id", "order_date", "region", "revenue", "profit")
+    fact = t.sales(*PRODUCT_FACT, "order_date", "region")
     summary = writers.stage(products.monthly_summary(fact, t.products(), ["revenue", "profit", "orders"]), f"{folder}/summary")
     members = writers.stage(_segmented_customers(t), f"{folder}/customers")
     answered = questions.answer_questions(raw.questions(t), summary, t.products(), members)
-    return answered.select("conv_id", "turn", "intent", "answer", F.array_join("evidence", " | ").alias("evidence"))
+    return answered.select("conv_id", "turn", "intent", "answer", F.array_join("evidence", " | ").alias("evidence"),
+                           "explanation", "recommendation", "confidence", "note")
 
 
 add("sql_is_safe", lambda t: raw.statements(t).select(
@@ -576,8 +600,8 @@ add("guarded_query", lambda t: questions.guarded_query(
     t.spark, GUARDED, sales=t.sales("region", "payment_method", "revenue")))
 add("classify_questions", lambda t: questions.classify_questions(raw.questions(t)))
 add("answer_best_sellers", lambda t: questions.answer_best_sellers(t.sales("product_id", "revenue"), t.products()))
-add("answer_worst_region", lambda t: questions.answer_worst_region(t.sales("region", "revenue", "profit")))
+add("answer_worst_region", lambda t: questions.answer_worst_region(_cells(t, "region")))
 add("answer_losing_products", lambda t: questions.answer_losing_products(t.sales(*PRODUCT_FACT), t.products()))
 add("answer_churn_risk", lambda t: questions.answer_churn_risk(_segmented_customers(t)))
-add("answer_mom", lambda t: questions.answer_mom(t.sales("order_date", "revenue", "profit")))
+add("answer_mom", lambda t: questions.answer_mom(_cells(t, "order_date")))
 add("answer_questions", answer_questions)

@@ -74,10 +74,10 @@ def changes(metric: str) -> str:
         f"SELECT '{d}' AS dimension_type, {d} AS dimension_value, {unit} AS v, order_date FROM both_months"
         for d in ("region", "category", "payment_method", "return_status"))
     return f"""
-both_months AS (SELECT s.*, p.category FROM sales s JOIN products p ON s.product_id = p.product_id WHERE s.{IN_A} OR s.{IN_B}),
+both_months AS (SELECT s.*, p.category FROM sales s LEFT JOIN products p ON s.product_id = p.product_id WHERE s.{IN_A} OR s.{IN_B}),
 total AS (SELECT COALESCE(SUM({unit}) FILTER (WHERE {IN_A}), 0) AS a, COALESCE(SUM({unit}) FILTER (WHERE {IN_B}), 0) AS b FROM sales),
 slices AS (SELECT dimension_type, dimension_value, COALESCE(SUM(v) FILTER (WHERE {IN_A}), 0) AS x, COALESCE(SUM(v) FILTER (WHERE {IN_B}), 0) AS y
-           FROM ({parts}) u GROUP BY 1, 2),
+           FROM ({parts}) u WHERE dimension_type <> 'category' OR dimension_value IS NOT NULL GROUP BY 1, 2),
 contributors AS (SELECT dimension_type, dimension_value, {money('x')} AS before, {money('y')} AS after, {money('(y - x)')} AS change,
                         COALESCE(CAST({half_up('y - x', 'x', 1000)} AS DOUBLE) / 10, 0) AS pct_change,
                         COALESCE({pct('y - x', '(SELECT b - a FROM total)')}, 0) AS pct_of_total_change
@@ -199,7 +199,8 @@ by_month AS (SELECT CAST(date_trunc('month', order_date) AS DATE) AS month, SUM(
              FROM sales GROUP BY 1, date_trunc('month', order_date)),
 mom AS (SELECT t.month AS this_month, t.r AS tr, t.orders AS t_orders, l.month AS last_month, l.r AS lr, l.orders AS l_orders
         FROM by_month t JOIN by_month l ON t.i = 1 AND l.i = 2)"""
-LOSING = "SELECT * FROM pairs WHERE g < 0 OR (r > 0 AND 20 * g < r) ORDER BY g, product_name, category LIMIT 8"
+LOSING_ALL = "SELECT * FROM pairs WHERE g < 0 OR (r > 0 AND 20 * g < r)"
+LOSING = LOSING_ALL + " ORDER BY g, product_name, category LIMIT 8"
 CHANGE = half_up("tr - lr", "lr", 1000)
 
 
@@ -216,7 +217,7 @@ ANSWERS = "best AS (SELECT * FROM pairs ORDER BY r DESC, product_name, category
             f"string_agg(concat(region, ': Rs.', {rs('r')}, ' revenue, Rs.', {rs('g')}, ' profit, ', orders, ' orders'), ' | ' ORDER BY r, region)",
             "by_region"),
         row("losing_products", "CASE WHEN COUNT(*) = 0 THEN 'No product loses money or earns less than 5%.' ELSE "
-            "concat(COUNT(*), ' products lose money or earn less than 5%; the worst is ', first(product_name ORDER BY g, product_name, category), '.') END",
+            "concat((SELECT COUNT(*) FROM (" + LOSING_ALL + ") every), ' products lose money or earn less than 5%; the worst is ', first(product_name ORDER BY g, product_name, category), '.') END",
             f"COALESCE(string_agg(concat(product_name, ' (', category, '): Rs.', {rs('g')}, ' profit on Rs.', {rs('r')}, ' revenue, ', orders, ' orders'), ' | ' ORDER BY g, product_name, category), '')",
             "losing_8"),
         row("churn_risk", "concat(SUM(n), ' customers are in a segment at risk of leaving.')",
@@ -231,6 +232,22 @@ ANSWERS = "best AS (SELECT * FROM pairs ORDER BY r DESC, product_name, category
         row("unknown", "'There is no template for this question yet.'", "''", "(SELECT 1) o"),
     ]) + ")"
 
+# What an answer says about itself does not depend on the data.
+WORDS = [
+    ("best_sellers", "Products ranked by revenue over all orders.", "Keep these products in stock and feature them.", "High: every order was counted.", ""),
+    ("worst_region", "Regions ranked by revenue over the whole period.",
+     "Compare its product mix and marketing with other regions before moving budget.", "High: plain sums.", ""),
+    ("losing_products", "Listed are products with a negative profit or a margin below 5% of revenue.",
+     "Review their price and cost; consider dropping those that keep losing.", "High: plain sums.", ""),
+    ("churn_risk", "Based on the segments At Risk and Dormant.", "Start with At Risk customers: they spent well and are easier to win back.",
+     "Medium to high: segments follow fixed rules; model scores are probabilities.", ""),
+    ("month_over_month", "Total revenue of the two latest months.", "After a decline, compare the periods by slice to find its source.", "High: plain sums.", ""),
+    ("root_cause", "", "", "N/A", "Compare two periods by slice to see what moved."),
+    ("recommendations", "", "", "N/A", "See the recommendation cards."),
+    ("unknown", "", "", "N/A", "Answered are best sellers, worst region, losing products, churn risk and month over month."),
+]
+WORDING = " UNION ALL ".join("SELECT " + ", ".join(f"'{v}' AS {n}" for v, n in zip(w, ("intent", "explanation", "recommendation", "confidence", "note"))) for w in WORDS)
+
 ANOMALY = "metric, date, actual_value, expected_value, z_score, flagged_by, possible_contributors"
 
 SQL = {
@@ -308,7 +325,7 @@ SELECT segment AS customer_segment, {big('COUNT(*)')} AS customers FROM segments
 SELECT this_month, {money('tr')} AS this_revenue, {big('t_orders')} AS this_orders, last_month, {money('lr')} AS last_revenue,
        {big('l_orders')} AS last_orders, COALESCE(CAST({CHANGE} AS DOUBLE) / 10, 0) AS change_pct FROM mom""", BY_REGION),
     "answer_questions": star(f"""
-SELECT q.conv_id, q.turn, q.intent, a.answer, a.evidence
-FROM (SELECT conv_id, turn, {INTENT} AS intent FROM questions) q LEFT JOIN answers a ON a.intent = q.intent""",
+SELECT q.conv_id, q.turn, q.intent, a.answer, a.evidence, w.explanation, w.recommendation, w.confidence, w.note
+FROM (SELECT conv_id, turn, {INTENT} AS intent FROM questions) q LEFT JOIN answers a ON a.intent = q.intent LEFT JOIN ({WORDING}) w ON w.intent = q.intent""",
                              QUESTIONS, PAIRS, RFM, BY_REGION, ANSWERS),
 }

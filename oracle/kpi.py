@@ -20,18 +20,24 @@ CELLS = """cells AS (SELECT region, CAST(date_trunc('month', order_date) AS DATE
                             MAX(order_date) AS last_order
                      FROM sales GROUP BY 1, 2, 3)"""
 BACK = "COUNT(*) FILTER (WHERE n > 1)"
-MONTHLY = """monthly AS (SELECT CAST(date_trunc('month', order_date) AS DATE) AS month,
-                SUM(CAST(revenue * 100 AS BIGINT)) AS revenue, SUM(CAST(profit * 100 AS BIGINT)) AS profit
-         FROM sales GROUP BY 1)"""
-
 
 def prior(measure: str) -> str:
     return star(f"""
-SELECT c.month, {money(f'c.{measure}')} AS total_{measure}, {money(f'p.{measure}')} AS {measure}_prior_month,
-       {ratio(money(f'(c.{measure} - p.{measure})'), money(f'p.{measure}'))} AS {measure}_mom_growth
-FROM monthly c LEFT JOIN monthly p ON p.month = CAST(c.month - INTERVAL 1 MONTH AS DATE)""", MONTHLY)
+SELECT month, {money(measure)} AS total_{measure}, {money(f'{measure}_prior')} AS {measure}_prior_month,
+       {ratio(money(f'(COALESCE({measure}, 0) - {measure}_prior)'), money(f'{measure}_prior'))} AS {measure}_mom_growth
+FROM shifted""", DAYS, SHIFTED)
 
 
+# Every calendar day takes the amounts of the same date one month earlier; a calendar month that is there in full takes the whole month.
+SHIFTED = """
+per_day AS (SELECT order_date, SUM(CAST(revenue * 100 AS BIGINT)) AS revenue, SUM(CAST(profit * 100 AS BIGINT)) AS profit FROM sales GROUP BY 1),
+months AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, MAX(date) = last_day(MAX(date)) AS complete, MAX(day(date)) AS last_dom FROM days GROUP BY 1),
+totals AS (SELECT m.month, SUM(p.revenue) AS revenue, SUM(p.profit) AS profit
+           FROM months m LEFT JOIN per_day p ON date_trunc('month', p.order_date) = m.month GROUP BY 1),
+priors AS (SELECT m.month, SUM(p.revenue) AS revenue_prior, SUM(p.profit) AS profit_prior
+           FROM months m LEFT JOIN per_day p ON date_trunc('month', p.order_date) = m.month - INTERVAL 1 MONTH AND (complete OR day(p.order_date) <= last_dom)
+           GROUP BY 1),
+shifted AS (SELECT * FROM totals JOIN priors USING (month))"""
 DAYS = "days AS (SELECT CAST(unnest(generate_series(MIN(order_date), MAX(order_date), INTERVAL 1 DAY)) AS DATE) AS date FROM sales)"
 RANKED = """
   SELECT product_name, revenue_c, rank() OVER (ORDER BY revenue_c DESC) AS r
@@ -68,12 +74,18 @@ SELECT date, CAST(year(date) AS BIGINT) AS year, CAST(month(date) AS BIGINT) AS
        strftime(date, '%b %Y') AS month_name, concat('Q', quarter(date), ' ', year(date)) AS quarter FROM days""", DAYS),
     "kpi_revenue_mom_growth": prior("revenue"),
     "kpi_profit_mom_growth": prior("profit"),
-    "kpi_revenue_prior_month": star(f"""
-SELECT c.month, {money('c.revenue')} AS total_revenue, {money('p.revenue')} AS revenue_prior_month
-FROM monthly c LEFT JOIN monthly p ON p.month = CAST(c.month - INTERVAL 1 MONTH AS DATE)""", MONTHLY),
-    "kpi_profit_prior_month": star(f"""
-SELECT c.month, {money('c.profit')} AS total_profit, {money('p.profit')} AS profit_prior_month
-FROM monthly c LEFT JOIN monthly p ON p.month = CAST(c.month - INTERVAL 1 MONTH AS DATE)""", MONTHLY),
+    "kpi_revenue_prior_month": star(f"SELECT month, {money('revenue')} AS total_revenue, {money('revenue_prior')} AS revenue_prior_month FROM shifted", DAYS, SHIFTED),
+    "kpi_profit_prior_month": star(f"SELECT month, {money('profit')} AS total_profit, {money('profit_prior')} AS profit_prior_month FROM shifted", DAYS, SHIFTED),
+    "kpi_revenue_mom_growth_by_region": star(f"""
+SELECT region, month, {money('c')} AS total_revenue, {money('p')} AS revenue_prior_month,
+       {ratio(money('(COALESCE(c, 0) - p)'), money('p'))} AS revenue_mom_growth
+FROM (SELECT region, month, SUM(revenue) AS c FROM (SELECT region, CAST(date_trunc('month', order_date) AS DATE) AS month, CAST(revenue * 100 AS BIGINT) AS revenue FROM sales) x GROUP BY 1, 2) t
+FULL JOIN (SELECT s.region, m.month, SUM(CAST(s.revenue * 100 AS BIGINT)) AS p
+           FROM months m JOIN sales s ON date_trunc('month', s.order_date) = m.month - INTERVAL 1 MONTH AND (complete OR day(s.order_date) <= last_dom) GROUP BY 1, 2) u
+USING (region, month)""", DAYS, SHIFTED),
+    "kpi_new_customers_by_region": star(f"""
+SELECT c.region, CAST(date_trunc('month', d.date) AS DATE) AS month, {big('COUNT(DISTINCT c.customer_id)')} AS new_customers
+FROM days d JOIN customers c ON c.signup_date = d.date GROUP BY 1, 2""", DAYS),
     "kpi_new_customers": star(f"""
 SELECT CAST(date_trunc('month', d.date) AS DATE) AS month, {big('COUNT(DISTINCT c.customer_id)')} AS new_customers
 FROM days d LEFT JOIN customers c ON c.signup_date = d.date GROUP BY 1""", DAYS),

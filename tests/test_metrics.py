@@ -1,6 +1,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import day, rows_of, value_of
 from martlet.operators import customers as cu, dashboards, measures, operations as op, products as pr, sales as sa
@@ -69,7 +70,39 @@ def test_growth_compares_with_the_previous_month_present(shop):
     assert [r.revenue_growth_pct for r in sa.revenue_growth_mom(rows).collect()] == [None, 50.0, -100.0, None]
     assert [r.month.month for r in sa.recent_growth(rows, 2).collect()] == [4, 5]
     prior = {r.month.month: (r.revenue_prior_month, r.revenue_mom_growth) for r in measures.prior_month(rows, "revenue").collect()}
-    assert prior == {1: (None, 0.0), 3: (None, 0.0), 4: (150, -1.0), 5: (0, 0.0)}
+    assert prior == {1: (None, 0.0), 2: (100, -1.0), 3: (None, 0.0), 4: (150, -1.0), 5: (0, 0.0)}
+
+
+def test_prior_month_by_group_of_the_same_dates(shop):
+    """A gap month keeps its prior value; the last month, there in part, is compared with the same days."""
+    sales = shop.sales(
+        {"order_date": "2024-01-10", "revenue": 100, "region": "North"}, {"order_date": "2024-01-31", "revenue": 7, "region": "South"},
+        {"order_date": "2024-03-05", "revenue": 40, "region": "North"}, {"order_date": "2024-03-25", "revenue": 60, "region": "North"},
+        {"order_date": "2024-04-10", "revenue": 80, "region": "South"})
+    got = {r.month.month: (r.total_revenue, r.revenue_prior_month, r.revenue_mom_growth) for r in measures.prior_month(sales, "revenue").collect()}
+    assert got == {1: (107, None, 0.0), 2: (None, 107, -1.0), 3: (100, None, 0.0), 4: (80, 40, 1.0)}
+    by = {(r.region, r.month.month): (r.total_revenue, r.revenue_prior_month) for r in measures.prior_month(sales, "revenue", ["region"]).collect()}
+    assert by == {("North", 1): (100, None), ("South", 1): (7, None), ("North", 2): (None, 100), ("South", 2): (None, 7),
+                  ("North", 3): (100, None), ("North", 4): (None, 40), ("South", 4): (80, None)}
+    only = measures.prior_month(sales, "revenue", where=F.col("region") == "South")
+    assert {r.month.month: r.revenue_prior_month for r in only.collect()} == {1: None, 2: 7, 3: None, 4: None}
+
+
+def test_filtered_kpis(six):
+    from_south = measures.kpis(six, [], ["total_orders"], F.col("region") == "South")
+    assert value_of(from_south) == 1
+
+
+def test_profit_from_quantities_equals_stored_profit(shop):
+    sales = shop.sales(*[{"product_id": i % 4, "revenue": 30 + i, "quantity": i % 5, "cost": (i % 4 + 1) * (i % 5), "order_date": f"2024-0{1 + i % 3}-03"}
+                         for i in range(40)])
+    goods = shop.products(*[(k, f"p{k % 3}", f"c{k % 2}", k + 1, 9) for k in range(4)])
+    bare = sales.drop("profit", "cost")
+    for report in (pr.category_performance, pr.top_products, pr.most_profitable_products, pr.low_margin_products, pr.monthly_summary):
+        a, b = (sorted(map(tuple, report(x, goods).collect()), key=str) for x in (sales, bare))
+        assert a == b
+    cells = pr.profit_cells(bare, goods)
+    assert rows_of(sa.sales_summary(cells)) == rows_of(sa.sales_summary(sales))
 
 
 def test_discount_brackets(six):

@@ -59,3 +59,25 @@ def test_nothing_before_and_unknown_names(two_months):
         rc.compare_periods(*two_months, "2024-01", "2024-02", "revenue) FROM x; --")
     with pytest.raises(ValueError):
         rc.period_breakdown(*two_months, day("2024-01-01"), day("2024-01-31"), "customer_id")
+
+
+def test_lines_of_unknown_products_count_everywhere_but_in_the_category(shop):
+    sales = shop.sales(
+        {"product_id": 1, "order_date": "2024-01-05", "revenue": 100, "region": "North"},
+        {"product_id": 9, "order_date": "2024-01-06", "revenue": 50, "region": "North"},
+        {"product_id": 1, "order_date": "2024-02-05", "revenue": 10, "region": "North"})
+    goods = shop.products((1, "a", "Toys"))
+    got = {(r["dimension_type"], r["dimension_value"]): (float(r["before"]), float(r["after"]))
+           for r in rc.compare_periods(sales, goods, "2024-01", "2024-02").collect()}
+    assert got["region", "North"] == (150.0, 10.0) and got["category", "Toys"] == (100.0, 10.0)
+    assert not any(value is None for _, value in got)
+    total = rc.compare_totals(sales, "2024-01", "2024-02").first()
+    assert (float(total["total_a"]), float(total["total_b"])) == (150.0, 10.0)
+
+
+def test_profit_changes_from_quantities_equal_those_of_stored_profit(shop):
+    sales = shop.sales(*[{"product_id": 1 + i % 3, "order_date": f"2024-0{1 + i % 2}-05", "revenue": 20 + i, "quantity": 1 + i % 4,
+                          "cost": (1 + i % 3) * (1 + i % 4)} for i in range(24)])
+    goods = shop.products(*[(k, f"p{k}", f"c{k % 2}", k, 9) for k in (1, 2, 3)])
+    stored = rc.compare_periods(sales, goods, "2024-01", "2024-02", "profit").collect()
+    assert rc.compare_periods(sales.drop("profit", "cost"), goods, "2024-01", "2024-02", "profit").collect() == stored
