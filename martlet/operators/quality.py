@@ -8,7 +8,7 @@ rows, reasons and counts stay available.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
 from functools import reduce
 
@@ -192,6 +192,17 @@ def _trim_lines(columns: list[str]) -> list[LogLine]:
     return [LogLine(c, TRIM, (f"trim_{c}",)) for c in columns]
 
 
+UNREADABLE = "unreadable_value"
+
+
+def _with_unreadable(audit: Audit, raw: DataFrame) -> Audit:
+    """Rows with text that the reader could not take for a value of its column are rejected for it."""
+    if "unreadable" not in raw.columns:
+        return audit
+    return replace(audit, rows=audit.rows.withColumn(FLAG + UNREADABLE, F.size("unreadable") > 0).drop("unreadable"), rejecting=[*audit.rejecting, UNREADABLE],
+                   lines=[*audit.lines, LogLine("*", "flag_unreadable_value", (UNREADABLE,))])
+
+
 def audit_customers(raw: DataFrame, as_of: date, regions: list[str] = VALID_REGIONS) -> Audit:
     texts = ["name", "city", "region"]
     rows = mark_later_copies(trim_text(raw, texts), ["customer_id"], _first_seen(raw, "customer_id"),
@@ -201,11 +212,11 @@ def audit_customers(raw: DataFrame, as_of: date, regions: list[str] = VALID_REGI
         FLAG + "date": invalid_date(F.col("signup_date"), EARLIEST_DATE, as_of),
         FLAG + "region": invalid_category(F.col("region"), regions),
     })
-    return Audit(
+    return _with_unreadable(Audit(
         "customers", rows, CUSTOMERS.names, ["duplicate_key", "age", "date", "region"],
         [*_trim_lines(texts), LogLine("customer_id", DUPLICATE_KEY, ("duplicate_key",)), LogLine("age", AGE, ("age",)),
          LogLine("signup_date", DATE, ("date",)), LogLine("region", CATEGORY, ("region",))],
-        "duplicate_key", expected_blank=["customer_segment"], dates=["signup_date"])
+        "duplicate_key", expected_blank=["customer_segment"], dates=["signup_date"]), raw)
 
 
 def audit_products(raw: DataFrame) -> Audit:
@@ -214,11 +225,11 @@ def audit_products(raw: DataFrame) -> Audit:
                              FLAG + "duplicate_key")
     rows = rows.withColumn(FLAG + "price", price_rule(F.col("price"), F.col("cost")))
     rows = _mark_outliers(rows, raw, "price", FLAG + "outlier")
-    return Audit(
+    return _with_unreadable(Audit(
         "products", rows, PRODUCTS.names, ["duplicate_key", "price"],
         [*_trim_lines(texts), LogLine("product_id", DUPLICATE_KEY, ("duplicate_key",)),
          LogLine("price/cost", PRICE, ("price",)), LogLine("price", OUTLIER, ("outlier",), PRICE_OUTLIER_DETAIL)],
-        "duplicate_key", outlier="outlier")
+        "duplicate_key", outlier="outlier"), raw)
 
 
 def mark_foreign_keys(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
@@ -246,7 +257,7 @@ def audit_orders(raw: DataFrame, customers: DataFrame, products: DataFrame, as_o
         FLAG + "status": invalid_category(F.col("return_status"), VALID_RETURN_STATUS),
     })
     rows = _mark_outliers(rows, raw, "revenue", FLAG + "outlier")
-    return Audit(
+    return _with_unreadable(Audit(
         "orders", rows, ORDERS.names,
         ["full_duplicate", "orphan_customer", "orphan_product", "date", "numeric", "status"],
         [*_trim_lines(texts), LogLine("*", FULL_DUPLICATE, ("full_duplicate",)),
@@ -255,7 +266,7 @@ def audit_orders(raw: DataFrame, customers: DataFrame, products: DataFrame, as_o
          LogLine("quantity/revenue/cost/discount/delivery_days", NUMERIC, ("numeric",)),
          LogLine("return_status", CATEGORY, ("status",)),
          LogLine("revenue", OUTLIER, ("outlier",), REVENUE_OUTLIER_DETAIL)],
-        "full_duplicate", outlier="outlier", dates=["order_date"])
+        "full_duplicate", outlier="outlier", dates=["order_date"]), raw)
 
 
 def _first_seen(raw: DataFrame, key: str) -> list[str]:

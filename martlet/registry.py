@@ -7,7 +7,7 @@ from collections.abc import Callable
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions.copies import mark_later_copies
 from .functions.exact import portable
@@ -273,15 +273,22 @@ def _loaded(t: Star) -> tuple[quality.StarAudit, str, DataFrame]:
 
 
 def read_star(t: Star) -> DataFrame:
-    """Raw tables written as CSV, read back with declared types, summed up."""
+    """Raw tables written as CSV and read back: values present and a checksum of their texts, per column."""
     folder = _fresh(t, "raw")
     writers.write_csv_star({n: df.select(*RAW[n].names) for n, df in _raw_tables(t).items()}, folder)
     tables = readers.read_star(t.spark, folder)
-    amounts = {"customers": "age", "products": "price", "orders": "revenue"}
-    return _union([
-        df.agg(F.lit(n).alias("table_name"), F.count("*").alias("row_count"),
-               F.sum(F.col(amounts[n]).cast("decimal(12,2)")).alias("total"), F.countDistinct("seq").alias("places"))
-        for n, df in tables.items()])
+    parts = []
+    for n, df in tables.items():
+        texts = {c: F.col(c).cast("string") for c in RAW[n].names} | {"unreadable": F.when(F.size("unreadable") > 0, F.lit("yes"))}
+        cells = df.agg(F.countDistinct("seq").alias("places"), F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.count(x).alias("present"), F.coalesce(F.sum(_digest(x)), F.lit(0)).alias("checksum"))
+            for c, x in texts.items()]).alias("cells"))
+        parts.append(cells.select("places", F.explode("cells").alias("c")).select(F.lit(n).alias("table_name"), "places", "c.*"))
+    return _union(parts)
+
+
+def _digest(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
 def read_cleaned(t: Star) -> DataFrame:
@@ -309,10 +316,23 @@ def write_quality_outputs(t: Star) -> DataFrame:
     return _union([df.agg(F.lit(n).alias("dataset"), F.count("*").alias("stored_rows")) for n, df in out.items()])
 
 
-def profile_upload(t: Star) -> DataFrame:
+def _upload(t: Star) -> str:
     folder = _fresh(t, "upload")
     writers.write_csv_star({"orders": raw.raw_orders(t).select(*RAW["orders"].names)}, folder)
-    return readers.profile_upload(t.spark, f"{folder}/orders.csv")
+    return f"{folder}/orders.csv"
+
+
+def profile_upload(t: Star) -> DataFrame:
+    return readers.profile_upload(t.spark, _upload(t))
+
+
+def preview_upload(t: Star) -> DataFrame:
+    """How many rows and columns the preview shows, and whether each shown row is one of the upload."""
+    path = _upload(t)
+    shown = readers.preview_upload(t.spark, path)
+    known = shown.join(raw.raw_orders(t).select("order_id"), "order_id", "left_semi")
+    return shown.agg(F.count("*").alias("shown_rows"), F.lit(len(shown.columns)).cast("bigint").alias("shown_columns"),
+                     known.agg(F.count("*").alias("n")).scalar().alias("known_rows"))
 
 
 add("read_star", read_star)
@@ -321,6 +341,7 @@ add("append_cleaned", append_cleaned)
 add("load_reconcile", load_reconcile)
 add("write_quality_outputs", write_quality_outputs)
 add("profile_upload", profile_upload)
+add("preview_upload", preview_upload)
 
 
 # KPI measures, by region and month unless named otherwise

@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .schemas import RAW, STAR
 
+# Quotes inside quoted text are doubled, white space is kept, and a header that contradicts the columns read is an error.
+CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "enforceSchema": "false"}
 
-def read_star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The three raw CSV tables with a declared schema; dates stay text until checked.
+
+def read_star(spark: SparkSession, folder: str, multi_line: bool = True) -> dict[str, DataFrame]:
+    """The three raw CSV tables, columns found by their name in the header; dates stay text until checked.
 
     `seq` gives every row its place of ingest (file, block, row), which is what
-    "the first of several copies" refers to.
+    "the first of several copies" refers to.  `unreadable` lists the columns whose text
+    is not of the declared type; their value is null, and the audits reject the row.  A
+    column that the file lacks is null throughout.  Line breaks inside quotes need
+    `multi_line`, for which a file is read by one task; without it large files are split.
     """
     tables = {}
     for name, schema in RAW.items():
-        rows = spark.read.schema(schema).option("header", True).csv(f"{folder}/{name}.csv")
-        tables[name] = rows.withColumn("seq", F.struct(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row")))
+        rows = spark.read.options(**CSV, multiLine=str(multi_line).lower()).csv(f"{folder}/{name}.csv")
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("row"))
+        present = {f.name: F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast("string") for f in schema.fields}
+        typed = {f.name: _typed(present[f.name], f.dataType) for f in schema.fields}
+        bad = [F.when(present[n].isNotNull() & value.isNull(), F.lit(n)) for n, value in typed.items()]
+        tables[name] = rows.select(*[v.alias(n) for n, v in typed.items()], F.array_compact(F.array(*bad)).alias("unreadable"), place.alias("seq"))
     return tables
 
 
+def _typed(text: Column, kind: T.DataType) -> Column:
+    """The value of a text; null if it is not written as one.  Whole numbers may carry a zero fraction (33.0)."""
+    if isinstance(kind, T.StringType):
+        return text
+    number = F.trim(text).try_cast("decimal(38,10)")
+    if isinstance(kind, T.IntegralType):
+        whole = F.when(number == F.floor(number), number.cast("decimal(28,0)").cast("string"))
+        return whole.try_cast(kind.simpleString())
+    return F.trim(text).try_cast(kind.simpleString())
+
+
 def read_cleaned(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One cleaned table; a missing one is an error."""
     if table not in STAR:
@@ -47,4 +67,4 @@ def preview_upload(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
 def _uploaded(spark: SparkSession, path: str) -> DataFrame:
     if not path.endswith(".csv"):
         raise ValueError("Only .csv files are accepted.")
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return spark.read.options(**CSV, multiLine="true", inferSchema="true").csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from functools import reduce
 
@@ -12,9 +13,13 @@ from ..operators.quality import StarAudit, with_overall_score
 from .schemas import KEYS
 
 
+# Text is written as it stands: white space kept, quotes doubled, line breaks in quotes.
+WRITTEN_CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_csv_star(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+        df.write.mode("overwrite").options(**WRITTEN_CSV).csv(f"{folder}/{name}.csv")
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
@@ -27,29 +32,55 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append_cleaned(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Appends customers, products, then orders; rows whose key is already stored are left out.
-
-    Orders are partitioned by month.  The rebalance hint lets AQE cut an
-    overfull month into several files and join small ones.  Returns the rows
-    now stored per table, read back from storage.
+    """Appends customers, products, then orders, so that a key stands for one row in the store.
+
+    A row that is stored already as it is, or comes several times alike, is taken
+    once.  Conflicts are kept out of the store and recorded (`conflicts`): keys that
+    the batch has with different contents, and keys whose stored row differs from the
+    batch's.  Orders are partitioned by month.  The rebalance hint lets AQE cut an
+    overfull month into several files and join small ones.  Returns the rows now
+    stored and the conflicting keys of this batch per table, read back from storage.
     """
+    batch = uuid.uuid4().hex
     for name in ("customers", "products", "orders"):
-        df, path = tables[name], f"{folder}/{name}"
+        path, key = f"{folder}/{name}", KEYS[name]
+        columns = tables[name].columns
+        df = tables[name].withColumn("__content", F.xxhash64(*columns))
         stored = _existing(spark, path)
+        # One narrow row per key decides; full rows meet only these decisions.
+        per_key = df.groupBy(key).agg(F.min("__content").alias("lo"), F.max("__content").alias("hi"))
         if stored is not None:
-            df = df.join(stored.select(KEYS[name]), KEYS[name], "left_anti")
+            held = stored.select(F.col(key).alias("__key"), F.xxhash64(*columns).alias("held"))
+            per_key = per_key.join(held, per_key[key].eqNullSafe(held["__key"]), "left").drop("__key")
+        else:
+            per_key = per_key.withColumn("held", F.lit(None).cast("bigint"))
+        kind = F.when(F.col("lo") != F.col("hi"), "differs_in_batch").when(F.col("held") != F.col("lo"), "differs_from_store")
+        verdicts = stage(per_key.select(F.col(key).alias("__key"), kind.alias("kind"), F.col("held").isNotNull().alias("known")),
+                         f"{folder}/_verdicts/{batch}/{name}")
+        clashes = verdicts.where("kind IS NOT NULL").select(
+            F.lit(batch).alias("batch"), F.lit(name).alias("table_name"), F.col("__key").cast("string").alias("row_key"), "kind")
+        clashes.write.mode("append").parquet(f"{folder}/_conflicts")
+        refused = verdicts.where("kind IS NOT NULL OR known")
+        df = df.join(refused, df[key].eqNullSafe(refused["__key"]), "left_anti").dropDuplicates([key]).select(*columns)
         if name == "orders":
             df = df.withColumn("order_month", F.trunc("order_date", "month")).hint("rebalance", "order_month")
             df.write.mode("append").partitionBy("order_month").parquet(path)
         else:
             df.write.mode("append").parquet(path)
+    clashes = conflicts(spark, folder).where(F.col("batch") == batch)
     counts = [
-        spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("table_name"), F.count("*").alias("stored_rows"))
+        spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("table_name"), F.count("*").alias("stored_rows")).withColumn(
+            "conflicts", clashes.where(F.col("table_name") == name).agg(F.count("*").alias("n")).scalar())
         for name in ("customers", "products", "orders")
     ]
     return reduce(DataFrame.unionByName, counts)
 
 
+def conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """batch, table_name, row_key and kind of every key that was kept out of the store."""
+    return spark.read.parquet(f"{folder}/_conflicts")
+
+
 def write_quality_outputs(spark: SparkSession, audit: StarAudit, folder: str) -> dict[str, DataFrame]:
     """Cleaned and rejected rows, change log and report, each as a dataset.
 

@@ -230,6 +230,17 @@ UPLOADED = {
     "payment_method": "string", "delivery_days": "int", "return_status": "string",
 }
 
+RAW_COLUMNS = {
+    "customers": "customer_id name age city region signup_date customer_segment",
+    "products": "product_id product_name category sub_category cost price",
+    "orders": "order_id customer_id product_id order_date quantity revenue cost discount profit region payment_method delivery_days return_status",
+}
+
+
+def digest(column: str) -> str:
+    return f"CAST('0x' || substr(md5(CAST({column} AS VARCHAR)), 1, 8) AS BIGINT)"
+
+
 SQL = {
     "dq_missing": raw(" UNION ALL ".join([
         missing("raw_customers", "customers", COLUMNS["c2"]), missing("raw_products", "products", COLUMNS["p2"]),
@@ -273,11 +284,14 @@ SELECT *, CAST((2 * CAST(SUM(CAST(ROUND(quality_score_pct * 100) AS BIGINT)) OVE
     "load_total_revenue": checked(f"SELECT {money(cs('revenue'))} AS load_total_revenue FROM o2 WHERE NOT bad"),
     "constraint_violations": raw("\nUNION ALL ".join(CONSTRAINTS)),
     "read_star": raw(" UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, {big('COUNT(*)')} AS row_count, {money(cs(c))} AS total, {big('COUNT(*)')} AS places "
-        f"FROM raw_{t}" for t, c in (("customers", "age"), ("products", "price"), ("orders", "revenue")))),
+        f"SELECT '{t}' AS table_name, (SELECT COUNT(*) FROM raw_{t}) AS places, '{c}' AS column_name, {big(f'COUNT({c})')} AS present, "
+        f"{big(f'COALESCE(SUM({digest(c)}), 0)')} AS checksum FROM raw_{t}"
+        for t, columns in RAW_COLUMNS.items() for c in columns.split()) + " UNION ALL " + " UNION ALL ".join(
+        f"SELECT '{t}', COUNT(*), 'unreadable', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM raw_{t}" for t in RAW_COLUMNS)),
+    "preview_upload": raw("SELECT CAST(LEAST(20, COUNT(*)) AS BIGINT) AS shown_rows, CAST(13 AS BIGINT) AS shown_columns, CAST(LEAST(20, COUNT(*)) AS BIGINT) AS known_rows FROM raw_orders"),
     "read_cleaned": checked(CLEAN["customers"]),
     "append_cleaned": checked(" UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, {big(c)} AS stored_rows" for t, c in CLEAN_COUNTS)),
+        f"SELECT '{t}' AS table_name, {big(c)} AS stored_rows, CAST(0 AS BIGINT) AS conflicts" for t, c in CLEAN_COUNTS)),
     "load_reconcile": checked(" UNION ALL ".join(
         f"SELECT '{t}' AS table_name, {big(c)} AS expected, {big(c)} AS actual, 'OK' AS status" for t, c in CLEAN_COUNTS)),
     "write_quality_outputs": checked(" UNION ALL ".join([
