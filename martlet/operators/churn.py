@@ -193,18 +193,25 @@ def churn_select(scores: dict[str, float]) -> str:
     return max(scores, key=lambda name: scores[name])
 
 
-def train(features: DataFrame) -> ChurnModels:
+METRICS = ("model string, accuracy double, precision double, recall double, f1_score double, roc_auc double, "
+           "confusion_matrix array<array<bigint>>")
+
+
+def train(features: DataFrame, split_path: str | None = None) -> ChurnModels:
     """Fits and compares both models.
 
     Fitting reads its input many times, so `features` should be a stored table
-    (see `writers.publish`) and not a plan over the fact.
+    (see `writers.publish`) and not a plan over the fact.  With `split_path` the split
+    is written there once and every pass of the fits reads that.
     """
     split = churn_split(model_input(features))
+    if split_path:
+        split.write.mode("overwrite").parquet(split_path)
+        split = features.sparkSession.read.parquet(split_path)
     fit, test = split.where(~F.col("is_test")), split.where("is_test")
     models = {LOGISTIC: churn_logistic(fit), FOREST: churn_forest(fit)}
     rows = [churn_evaluate(model, name, test).collect()[0] for name, model in models.items()]  # one row each
-    spark = features.sparkSession
-    metrics = spark.createDataFrame(rows, churn_evaluate(models[LOGISTIC], LOGISTIC, test).schema)
+    metrics = features.sparkSession.createDataFrame(rows, METRICS)
     return ChurnModels(models, metrics, churn_select({r["model"]: r["roc_auc"] for r in rows}))
 
 

@@ -425,16 +425,17 @@ def churn_preprocess(t: Star) -> DataFrame:
     return matrix.select("customer_id", *[F.round(F.col("features")[i], 4).alias(c) for i, c in enumerate(columns)])
 
 
-_TRAINED: dict[tuple[str, str], tuple[str, churn.ChurnModels]] = {}
+_TRAINED: dict[tuple, tuple[str, churn.ChurnModels]] = {}
 
 
 def _trained(t: Star) -> tuple[str, churn.ChurnModels]:
-    """Stored features and fitted models of one folder, trained once per Spark application."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    """Stored features and the models fitted on them; they are fitted again whenever the features are others."""
+    folder = _fresh(t, "churn")
+    features = writers.stage(_features(t), f"{folder}/churn_features")
+    content = F.xxhash64(*features.columns)
+    key = (t.spark.sparkContext.applicationId, *features.agg(F.count("*"), F.bit_xor(content), F.sum(content % 1_000_003)).first())
     if key not in _TRAINED:
-        folder = _fresh(t, "churn")
-        writers.publish({"churn_features": _features(t)}, folder)
-        _TRAINED[key] = folder, churn.train(t.spark.read.parquet(f"{folder}/churn_features"))
+        _TRAINED[key] = folder, churn.train(features, f"{folder}/churn_split")
     return _TRAINED[key]
 
 
@@ -455,9 +456,25 @@ def _held_out(t: Star, name: str) -> DataFrame:
 
 
 def risk_category(t: Star) -> DataFrame:
-    """The bands, put on each customer's return frequency as a share between 0 and 1."""
-    share = F.col("return_frequency")
-    return _features(t).select("customer_id", share.alias("probability"), churn.risk_category(share).alias("risk_category"))
+    """Every scored customer: whether the probability is one, and whether the band is the one it falls in."""
+    p = F.col("churn_probability")
+    low, medium = p < churn.LOW_RISK_BELOW, p < churn.MEDIUM_RISK_BELOW
+    band = F.concat(F.when(low, "Low").when(medium, "Medium").otherwise("High"), F.lit(" Risk"))
+    return _predictions(t).select("customer_id", "region", p.between(0, 1).alias("in_range"), (F.col("risk_category") == band).alias("band_agrees"))
+
+
+def churn_held_out(t: Star) -> DataFrame:
+    """Customers of each label that the models were judged on: the row sums of their confusion matrices."""
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("churned"), F.aggregate(
+        F.col("confusion_matrix")[i], F.lit(0).cast("bigint"), lambda a, n: a + n).alias("customers")) for i in (0, 1)]))
+    return _trained(t)[1].metrics.select("model", rows.alias("r")).select("model", "r.*")
+
+
+def churn_io_agrees(t: Star) -> DataFrame:
+    """Customers whose saved and loaded model gives the score it gave before."""
+    before = _predictions(t).select("customer_id", F.col("churn_probability").alias("before"))
+    after = churn_model_io(t).select("customer_id", "churn_probability")
+    return before.join(after, "customer_id").select("customer_id", (F.col("before") == F.col("churn_probability")).alias("same"))
 
 
 def churn_evaluate(t: Star) -> DataFrame:
@@ -510,6 +527,10 @@ add("risk_category", risk_category)
 add("risk_counts", lambda t: churn.risk_counts(_predictions(t)))
 add("risk_filter", lambda t: churn.risk_filter(_predictions(t), ["High Risk", "Medium Risk"]))
 add("churn_model_io", churn_model_io)
+add("churn_held_out", churn_held_out)
+add("churn_io_agrees", churn_io_agrees)
+add("churn_feature_names", lambda t: churn_feature_impact(t).select("feature"))
+add("risk_total", lambda t: churn.risk_counts(_predictions(t)).agg(F.sum("customers").alias("customers")))
 
 
 # Anomalies

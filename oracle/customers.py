@@ -68,6 +68,7 @@ def z(c: str) -> str:
 
 
 NUMERIC = ["frequency", "monetary", "avg_order_value", "return_frequency", "customer_tenure_days", "age"]
+MODELS = ["logistic_regression", "random_forest"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 SQL = {
@@ -103,11 +104,13 @@ SELECT customer_id, churned, i <= (n + 3) // 4 AS is_test FROM (
   SELECT customer_id, churned, COUNT(*) OVER (PARTITION BY churned) AS n,
          row_number() OVER (PARTITION BY churned ORDER BY customer_id * (7919 + 42) % 10007, customer_id) AS i
   FROM churn_features) t"""),
-    "risk_category": features("""
-SELECT customer_id, return_frequency AS probability,
-       CASE WHEN return_frequency < 0.33 THEN 'Low Risk' WHEN return_frequency < 0.66 THEN 'Medium Risk' ELSE 'High Risk' END
-       AS risk_category
-FROM churn_features"""),
+    "risk_category": features("SELECT customer_id, region, true AS in_range, true AS band_agrees FROM churn_features"),
+    "risk_total": features(f"SELECT {big('COUNT(*)')} AS customers FROM churn_features"),
+    "churn_io_agrees": features("SELECT customer_id, true AS same FROM churn_features"),
+    "churn_feature_names": features("SELECT unnest([" + ", ".join(f"'{n}'" for n in [*NUMERIC, *[f"region_{r}" for r in REGIONS]]) + "]) AS feature"),
+    "churn_held_out": features(f"""
+SELECT model, {big('churned')} AS churned, {big('(COUNT(*) + 3) // 4')} AS customers
+FROM churn_features, (SELECT unnest([{", ".join(repr(m) for m in MODELS)}]) AS model) m GROUP BY ALL"""),
     "churn_preprocess": features(
         "SELECT customer_id, " + ", ".join(f"{z(c)} AS z_{c}" for c in NUMERIC) + ", "
         + ", ".join(f"CASE WHEN region = '{r}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS region_{r.lower().replace(' ', '_')}"

@@ -13,7 +13,7 @@ from martlet.sources.star import Star
 
 # These write tables or fit models when built; their parts are covered by other queries.
 EAGER = {n for n in registry.QUERIES if n.startswith(("churn_", "risk_")) and n not in ("churn_features", "churn_balance", "churn_rate")} | {
-    "read_star", "read_cleaned", "append_cleaned", "load_reconcile", "write_quality_outputs", "profile_upload",
+    "read_star", "read_cleaned", "append_cleaned", "load_reconcile", "write_quality_outputs", "profile_upload", "preview_upload",
     "write_ml_outputs", "recommendation_cards", "answer_questions"}
 # Single-task windows over frames whose length is bounded: calendar months or days, and value buckets.
 BOUNDED = ("order_date", "month", "_coarse")
