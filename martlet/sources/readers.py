@@ -49,6 +49,11 @@ def read_cleaned(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}").select(*STAR[table].names)
 
 
+def read_segmented(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored customers with the segment that the last run gave them."""
+    return spark.read.parquet(f"{folder}/customers_segmented").select(*STAR["customers"].names)
+
+
 def profile_upload(spark: SparkSession, path: str) -> DataFrame:
     """Column name, inferred type, rows and missing values of a CSV file."""
     uploaded = _uploaded(spark, path)

@@ -2,7 +2,7 @@
 
 from conftest import SMALL
 from martlet import registry
-from martlet.operators import churn, segments as sg
+from martlet.operators import churn, quality, segments as sg
 from martlet.plans import batch
 from martlet.sources import raw, writers
 from martlet.sources.schemas import RAW
@@ -20,6 +20,8 @@ def test_from_files_to_reports(spark, tmp_path, monkeypatch):
     expected = {a.table: a.cleaned().count() for a in registry.star_audit(star)}
     assert {r.table_name: (r.expected, r.actual, r.status) for r in check.collect()} == {
         t: (n, n, "OK") for t, n in expected.items()}
+    of_orders = check.where("table_name = 'orders'").first()
+    assert of_orders.orphans == 0 and of_orders.total_revenue == quality.load_total_revenue(registry.star_audit(star).orders.cleaned()).first()[0]
     segmented = results["customers_segmented"]
     assert segmented.count() == expected["customers"]
     assert {r.customer_segment for r in segmented.select("customer_segment").distinct().collect()} <= {*sg.DESCRIPTIONS, sg.NO_ORDERS}

@@ -81,6 +81,24 @@ def test_conflicting_keys_stay_out_of_the_store(spark, files, tmp_path):
     assert sorted((r.row_key, r.kind) for r in writers.conflicts(spark, target).collect()) == [("c", "differs_from_store"), ("z", "differs_in_batch")]
 
 
+def test_load_report_of_repeated_and_changed_batches(spark, files, tmp_path):
+    from datetime import date
+    from pathlib import Path
+    from martlet.plans import batch
+    out = str(tmp_path / "loaded")
+
+    def loaded():
+        rows = batch.load(spark, files, out, date(2026, 1, 1), quality.VALID_REGIONS).collect()
+        return {r.table_name: (r.expected, r.actual, r.status, r.orphans, r.total_revenue) for r in rows}
+
+    first = loaded()
+    assert first["orders"][:4] == (2, 2, "OK", 0) and float(first["orders"][4]) == 2.5 and first["customers"] == (1, 1, "OK", None, None)
+    assert loaded() == first
+    orders = Path(files) / "orders.csv"
+    orders.write_text(orders.read_text().replace("a,1,1,2024-02-01,1,", "a,1,1,2024-02-01,7,"))
+    assert loaded()["orders"][:3] == (2, 1, "MISMATCH")
+
+
 def test_csv_as_people_write_it(spark, files, tmp_path):
     """Reordered columns, doubled quotes, line breaks in quotes, text in number columns, padded text."""
     from pathlib import Path
