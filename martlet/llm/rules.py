@@ -148,8 +148,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most:
     """
     known = training_rows(docs.select("doc_id", "text"), labels, "quality", most)
     labelled = stage(with_statistics(known).drop("doc_id", "text"))
-    scored = with_statistics(docs).filter(fit(labelled).score() >= threshold)
-    return scored.select(*docs.columns)
+    # A filter on the score alone would be moved below the statistics, which would then be
+    # computed again for every term of every rule; the row number keeps it above them.
+    scored = with_statistics(docs).withColumn("__score", fit(labelled).score()).withColumn("__row", F.monotonically_increasing_id())
+    return scored.filter((F.col("__score") >= threshold) & (F.col("__row") >= 0)).select(*docs.columns)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE) -> DataFrame:
