@@ -37,12 +37,13 @@ from martlet.llm.common import ship, stage
 ship(__name__)
 
 TREES = 8
-LEAF = 512           # classes a leaf should hold
+LEAF = 512           # classes a leaf should hold at least,
+VISITS = 32          # and so many that a query need not open more leaves than this
 DEEPEST = 14         # levels of a tree at most: 2**14 leaves
 SAMPLE = 65_536      # classes the medians are fitted on, at most
-SEARCHED = 10_000    # filed classes (over all trees) that a query's leaves hold at least,
-SHARE = 0.9          # and the share of all classes they hold at least
-BLOCK = 4_096        # rows of a leaf, and queries, that one task scores at a time
+SEARCHED = 12_000    # filed classes (over all trees) that a query's leaves hold at least,
+SHARE = 1.0          # and as many as this share of all classes
+BLOCK = 16_384       # rows of a leaf, and queries, that one task scores at a time
 
 
 def usable(vector: Column) -> Column:
@@ -167,8 +168,9 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
     kind = classes.schema["v"].dataType.simpleString()
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     total, longest = classes.agg(F.count(F.lit(1)), F.max(norm)).first()
-    depth = max(1, min(DEEPEST, math.ceil(math.log2(max(2.0, total / leaf)))))
     enough = max(searched, math.ceil(share * total))
+    size = max(leaf, share * total / VISITS)   # a query opens few leaves, each of which gives back few rows
+    depth = max(1, min(DEEPEST, math.floor(math.log2(max(2.0, total / size)))))
     chosen = classes.orderBy(F.xxhash64("c"), "c").limit(sample).select("v").toPandas()
     forest = fit(_matrix(chosen["v"]), float(longest), depth, trees, seed)
     model = spark.sparkContext.broadcast(forest)
@@ -216,8 +218,8 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
         ids, x = held["id"].to_numpy(np.int64), _matrix(held["v"])
         keep = min(k + 1, len(ids))
         parts = []
-        for at in range(0, len(queries), 512):
-            part = queries.iloc[at:at + 512]
+        for at in range(0, len(queries), 256):
+            part = queries.iloc[at:at + 256]
             scores = _matrix(part["v"]) @ x.T
             # All that reach the keep-th score stay, so that equal scores are told apart by id later.
             least = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep, None]
