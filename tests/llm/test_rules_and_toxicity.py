@@ -62,3 +62,15 @@ def test_rules_say_what_their_columns_say(spark):
     assert rule.text() == "bars <= 0.1 and distinct > 0.5"
     stats = rules.with_statistics(spark.createDataFrame([(1, "a b c d"), (2, "a a a a"), (3, "a | b |"), (4, None)], "doc_id long, text string"))
     assert {r["doc_id"] for r in stats.filter(rule.column()).collect()} == {1}
+
+
+def test_statistics_are_computed_once_per_document(spark):
+    """The quality stage filters on the score above the statistics, not with a copy of them for each term."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    kept = rules.keep_good(docs, labels)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "5000")
+    try:
+        assert kept._jdf.queryExecution().executedPlan().toString().count("array_distinct") == 1
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rules.score_quality(docs, labels).filter("predicted = 1").collect()}
