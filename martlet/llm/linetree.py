@@ -10,8 +10,9 @@ Templates found in at least `MIN_DOCS` documents are dropped from all of them bu
 one with the smallest id, so that what copies share survives once.
 
 Lines are handled as hashes: one table of (document, line number, leaf, line) is
-written, different lines are counted before they are compared, and only leaves with
-several different lines are looked at token by token.  A line that a third of the
+written, with the masked text beside the hashes; different lines are counted before
+they are compared, and only leaves with several different lines are looked at token by
+token.  A line that a third of the
 documents have is one row there; its documents are counted map-side.
 """
 
@@ -42,9 +43,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     return line.select("*", n).select("*", F.xxhash64("n", F.substring_index("line", " ", LEADING)).alias("leaf"), F.xxhash64("line").alias("body"))
 
 
-def _generalised(docs: DataFrame, wide: DataFrame, constant: float, agree: float) -> DataFrame:
+def _generalised(lines: DataFrame, wide: DataFrame, constant: float, agree: float) -> DataFrame:
     """(leaf, body) of the lines that belong to the template of their leaf.  `wide`: leaf and bodies, its different lines."""
-    lines = _lines(docs).join(wide, "leaf").groupBy("leaf", "body", "n", "bodies").agg(F.first("line").alias("line"))
+    lines = lines.select("leaf", "body", "n", "line").join(wide, "leaf").groupBy("leaf", "body", "n", "bodies").agg(F.first("line").alias("line"))
     cells = stage(lines.select("leaf", "body", "n", "bodies", F.posexplode(F.split("line", " ")).alias("pos", "token")))
     counted = cells.groupBy("leaf", "n", "bodies", "pos", "token").agg(F.count(F.lit(1)).alias("lines"))
     fixed = counted.filter("lines * 2 > bodies")
@@ -56,12 +57,12 @@ def _generalised(docs: DataFrame, wide: DataFrame, constant: float, agree: float
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, agree: float = AGREE) -> DataFrame:
     """(doc_id, t, pos) of the lines to drop; t is the hash of the document's text."""
-    lines = stage(_lines(docs).select("doc_id", "t", "pos", "leaf", "body"))
+    lines = stage(_lines(docs))
     holders = lines.select("leaf", "body", "doc_id", "t").distinct()
     bodies = stage(holders.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("docs")))
     wide = stage(bodies.groupBy("leaf").agg(F.count(F.lit(1)).alias("bodies"), F.sum("docs").alias("docs"))
                  .filter((F.col("bodies") > 1) & (F.col("docs") >= min_docs)).select("leaf", "bodies"))
-    joined = stage(_generalised(docs, wide, constant, agree))
+    joined = stage(_generalised(lines, wide, constant, agree))
     # Lines that can recur at all: those of a template of several lines, and those that recur themselves.
     joined_key = joined.withColumn("template", F.lit(True))
     told = bodies.join(joined_key, ["leaf", "body"], "left").filter(F.col("template") | (F.col("docs") >= min_docs))
