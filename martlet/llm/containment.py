@@ -10,6 +10,9 @@ least one hash of the sketch, whatever the document's length: no pair is lost.
 Documents with too few shingles for an item are not compared with it.  Candidates
 are verified by counting the item's shingles, as text, in the document.
 
+An item is an id with its text: rows that repeat an id (or have none) with other
+texts are items of their own from the sketch to the verification.
+
 Shingles are hashed in Arrow batches where the texts are.  While the sketches are at
 most `SENT` hashes they go to the tasks, and a document gives back only the hashes it
 shares with them.  Beyond that it gives all its hashes, and they meet the sketches in
@@ -110,13 +113,13 @@ def item_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     memo = WordHashes()
     for items in batches:
         rows = []
-        for item, text in zip(items["item_id"], items["text"]):
+        for item, k, text in zip(items["item_id"], items["k"], items["text"]):
             words = tokens(text)
             n = min(SHINGLE, len(words))
             if n:
                 hs = run_hashes(words, n, memo).view(np.int64)
-                rows += [(item, n, s, int(h)) for s, h in {" ".join(words[i:i + n]): h for i, h in enumerate(hs)}.items()]
-        yield pd.DataFrame(rows, columns=["item_id", "n", "s", "h"])
+                rows += [(item, k, n, s, int(h)) for s, h in {" ".join(words[i:i + n]): h for i, h in enumerate(hs)}.items()]
+        yield pd.DataFrame(rows, columns=["item_id", "k", "n", "s", "h"])
 
 
 def needed(n: Column, share: float) -> Column:
@@ -125,44 +128,51 @@ def needed(n: Column, share: float) -> Column:
 
 
 def sketch(listed: DataFrame, share: float) -> DataFrame:
-    """(item_id, need, h): the smallest hashes of each item, in unsigned order.  `listed` has item_id, q (its shingles) and h."""
+    """(item_id, k, need, h): the smallest hashes of each item, in unsigned order.  `listed` has item_id, k (hash of its text), q (its shingles) and h."""
     unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
     upper = (F.pow(F.lit(2.0), F.floor(F.log2(F.col("q").cast("double"))) + 1) - 1).cast("long")
-    per = listed.select("item_id", "q", (upper - needed(upper, share) + 1).cast("int").alias("depth"), unsigned.alias("u"))
-    per = per.groupBy("item_id", "q", "depth").agg(F.sort_array(F.collect_set("u")).alias("us"))
-    smallest = per.select("item_id", needed(F.col("q"), share).alias("need"), F.explode(F.slice("us", F.lit(1), F.col("depth"))).alias("u"))
-    return smallest.select("item_id", "need", F.col("u").bitwiseXOR(F.lit(-(1 << 63))).alias("h"))
-
+    per = listed.select("item_id", "k", "q", (upper - needed(upper, share) + 1).cast("int").alias("depth"), unsigned.alias("u"))
+    per = per.groupBy("item_id", "k", "q", "depth").agg(F.sort_array(F.collect_set("u")).alias("us"))
+    smallest = per.select("item_id", "k", needed(F.col("q"), share).alias("need"), F.explode(F.slice("us", F.lit(1), F.col("depth"))).alias("u"))
+    return smallest.select("item_id", "k", "need", F.col("u").bitwiseXOR(F.lit(-(1 << 63))).alias("h"))
 
-def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE, most_sent: int = SENT) -> DataFrame:
-    """doc_id, item_id, shingles (of the item), found (of them in the document), containment: pairs of at least `share`.
 
-    An item of fewer than five words is one shingle of all its words; an item without
-    words is in no document.  Null texts have no words.  Rows that repeat an id with
-    its text are one; of an id with several texts the best is given.  Null ids are
-    given as null.  An empty table on either side gives no rows.  `docs` needs doc_id
-    and text, `items` item_id and text.
-    """
+def _pairs(docs: DataFrame, items: DataFrame, share: float, most_sent: int) -> DataFrame:
+    """(doc_id, t, item_id, q, found) of each text of a document and text of an item in it; t is the hash of the document's text."""
     id_type = items.schema["item_id"].dataType.simpleString()
-    shingles = items.select("item_id", "text").mapInPandas(item_shingles, f"item_id {id_type}, n int, s string, h long").distinct()
+    known = items.select("item_id", F.xxhash64("text").alias("k"), "text")
+    shingles = known.mapInPandas(item_shingles, f"item_id {id_type}, k long, n int, s string, h long").distinct()
     shingles = stage(shingles)
     sizes = [r["n"] for r in shingles.select("n").distinct().orderBy("n").collect()] or [SHINGLE]   # at most five
-    counted = shingles.groupBy("item_id").agg(F.countDistinct("s").alias("q"))
-    same = F.col("item_id").eqNullSafe(F.col("__item"))
-    listed = stage(shingles.join(counted.withColumnRenamed("item_id", "__item"), same).drop("__item"))
+    counted = shingles.groupBy("item_id", "k").agg(F.countDistinct("s").alias("q"))
+    same = F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("k") == F.col("__k"))
+    listed = stage(shingles.join(counted.withColumnsRenamed({"item_id": "__item", "k": "__k"}), same).drop("__item", "__k"))
     sketches = stage(sketch(listed, share))
 
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("t"), text.alias("text"))
     hashed = keyed.select("doc_id", "t", matched_hashes(sizes, sent(sketches, most_sent))("text").alias("m"))
     hits = hashed.select("doc_id", "t", "m.runs", F.explode("m.hs").alias("h")).join(sketches, "h").filter("runs >= need")
-    candidates = stage(hits.select(F.col("doc_id").alias("c_id"), F.col("t").alias("c_t"), F.col("item_id").alias("c_item")).distinct())
+    candidates = stage(hits.select(F.col("doc_id").alias("c_id"), F.col("t").alias("c_t"), F.col("item_id").alias("c_item"), F.col("k").alias("c_k")).distinct())
 
     which = candidates.select("c_id", "c_t").distinct()
     texts = keyed.join(which, keyed["doc_id"].eqNullSafe(which["c_id"]) & (keyed["t"] == which["c_t"]), "left_semi").distinct()
     held = texts.select("doc_id", "t", F.explode(matched_texts(sizes, sent(listed, most_sent))("text")).alias("s"))
-    found = held.join(listed.select("item_id", "s", "q").distinct(), "s").groupBy("doc_id", "t", "item_id", "q").agg(F.count(F.lit(1)).alias("found"))
-    pair = found["doc_id"].eqNullSafe(candidates["c_id"]) & (found["t"] == candidates["c_t"]) & found["item_id"].eqNullSafe(candidates["c_item"])
-    best = found.join(candidates, pair, "left_semi").groupBy("doc_id", "item_id", "q").agg(F.max("found").alias("found"))
-    best = best.filter(F.col("found") >= needed(F.col("q"), share))
-    return best.select("doc_id", "item_id", F.col("q").alias("shingles"), "found", (F.col("found") / F.col("q")).alias("containment"))
+    found = held.join(listed.select("item_id", "k", "s", "q").distinct(), "s").groupBy("doc_id", "t", "item_id", "k", "q").agg(F.count(F.lit(1)).alias("found"))
+    pair = (found["doc_id"].eqNullSafe(candidates["c_id"]) & (found["t"] == candidates["c_t"])
+            & found["item_id"].eqNullSafe(candidates["c_item"]) & (found["k"] == candidates["c_k"]))
+    return found.join(candidates, pair, "left_semi").filter(F.col("found") >= needed(F.col("q"), share)).select("doc_id", "t", "item_id", "q", "found")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE, most_sent: int = SENT) -> DataFrame:
+    """doc_id, item_id, shingles (of the item), found (of them in the document), containment: pairs of at least `share`.
+
+    An item of fewer than five words is one shingle of all its words; an item without
+    words is in no document.  Null texts have no words.  Rows that repeat an id with
+    its text are one; of an id with several texts, on either side, the best is given.
+    Null ids are given as null.  An empty table on either side gives no rows.  `docs`
+    needs doc_id and text, `items` item_id and text.
+    """
+    share_of = (F.col("found") / F.col("q")).alias("containment")
+    best = _pairs(docs, items, share, most_sent).groupBy("doc_id", "item_id").agg(F.max(F.struct(share_of, "found", "q")).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.q").alias("shingles"), "best.found", "best.containment")

@@ -50,3 +50,12 @@ def test_empty_sides(spark):
     assert containment.contained_items(docs.limit(0), items).collect() == []
     assert containment.contained_items(docs, items.limit(0)).collect() == []
     assert len(containment.contained_items(docs.union(docs), items.union(items)).collect()) == 1
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_texts_that_share_an_item_id_or_have_none_are_items_of_their_own(spark, sent):
+    texts = [" ".join(f"{name}{i}" for i in range(20)) for name in "abcd"]
+    items = spark.createDataFrame([(0, texts[0]), (0, texts[1]), (None, texts[2]), (None, texts[3])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)] + [(9, texts[0][:-20] + texts[1][:20])], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["shingles"], r["found"]) for r in containment.contained_items(docs, items, most_sent=sent).collect()}
+    assert got == {(0, 0, 16, 16), (1, 0, 16, 16), (2, None, 16, 16), (3, None, 16, 16)}
