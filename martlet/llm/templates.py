@@ -4,7 +4,8 @@ A page is read into a tree; each element's subtree is hashed by its tag, classes
 text.  The hashes are counted per host in Spark, over pages of different content, and
 subtrees that recur on many pages of a host are its template and are deleted.  What an
 `article` or `main` element holds is the author's and is exempt, so that a paragraph
-which copies of an article share stays.  Elements whose tag, class, id or role says
+which copies of an article share stays; so is every element around one, which would
+take the article with it.  Elements whose tag, class, id or role says
 that they are no text (menus, notices, adverts, forms, comments ...) are deleted too.
 Of the rest, the articles are given; the whole body where a page has none.
 
@@ -30,6 +31,7 @@ from martlet.llm.common import sent, ship, stage
 ship(__name__)
 
 MANY, SHARE = 5, 0.02   # a template recurs on so many different pages of its host, and on this share of them
+ENOUGH = 100            # so many pages are enough on a host of any size
 SENT = 1_000_000
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"<]*"|'[^'<]*')*+|[^>]*)>""", re.S)
@@ -56,12 +58,13 @@ NAMED_OUTSIDE = {"header", "masthead", "top"}
 
 
 class Node:
-    __slots__ = ("tag", "names", "parts", "hash", "own")
+    __slots__ = ("tag", "names", "parts", "hash", "own", "around")
 
     def __init__(self, tag: str, names: frozenset, own: bool):
         self.tag, self.names, self.own = tag, names, own   # own: inside an article or main
         self.parts: list = []
         self.hash = 0
+        self.around = False   # holds an article or main
 
 
 def _names(attributes: str) -> frozenset:
@@ -132,6 +135,10 @@ def parse(page: str, host: str) -> Node:
                 break
         node = Node(tag, _names(m[3]), stack[-1].own or tag in OWN)
         stack[-1].parts.append(node)
+        for outer in reversed(stack) if tag in OWN else ():
+            if outer.around:
+                break
+            outer.around = True
         if not m[3].endswith("/") or tag in BLOCKS:
             stack.append(node)
     close(0)
@@ -148,7 +155,7 @@ def _nodes(root: Node) -> Iterator[Node]:
 
 def subtree_hashes(root: Node) -> list[int]:
     """Hashes of the block subtrees that template removal may delete."""
-    return list({n.hash for n in _nodes(root) if n.tag in BLOCKS and not n.own and n.tag not in ("html", "body") and n.parts})
+    return list({n.hash for n in _nodes(root) if n.tag in BLOCKS and not n.own and not n.around and n.tag not in ("html", "body") and n.parts})
 
 
 def _is_text(node: Node) -> bool:
@@ -171,7 +178,7 @@ def main_text(root: Node, is_template: Callable[[int], bool]) -> str:
             for out in (blocks, owned) if inside else (blocks,):
                 out.append([]) if part is None else out[-1].append(part)
             continue
-        if not _is_text(part) or (not part.own and part.tag in BLOCKS and is_template(part.hash)):
+        if not _is_text(part) or (not part.own and not part.around and part.tag in BLOCKS and is_template(part.hash)):
             continue
         inside = inside or part.tag in OWN
         edge = [(None, inside)] if part.tag in BLOCKS else []
@@ -206,9 +213,11 @@ def _extracted(known):
     return extracted
 
 
-def main_texts(pages: DataFrame, many: int = MANY, share: float = SHARE, most_sent: int = SENT) -> DataFrame:
+def main_texts(pages: DataFrame, many: int = MANY, share: float = SHARE, most_sent: int = SENT, enough: int = ENOUGH) -> DataFrame:
     """page_id, url, text, n_chars for every row of `pages` (page_id, url, html).
 
+    A subtree is a template on `many` pages of its host that are a share of `share` of
+    them, or on `enough` (and `many`) whatever the host's size.
     Null html is an empty page; its text is empty, as is that of a page that is all
     template.  Null or malformed URLs share the empty host.  Rows with the same host
     and html count once as a page of the host; each is extracted.  An empty table
@@ -219,7 +228,7 @@ def main_texts(pages: DataFrame, many: int = MANY, share: float = SHARE, most_se
     seen = stage(read.select(F.xxhash64("host").alias("site"), content, _hashed()("html", "host").alias("hs")))
     sizes = seen.select("site", "content").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     counted = seen.select("site", "content", F.explode("hs").alias("h")).distinct().groupBy("site", "h").agg(F.count(F.lit(1)).alias("on"))
-    template = stage(counted.filter(F.col("on") >= many).join(sizes, "site").filter(F.col("on") >= F.col("pages") * share).select("h"))
+    template = stage(counted.filter(F.col("on") >= many).join(sizes, "site").filter((F.col("on") >= F.col("pages") * share) | (F.col("on") >= enough)).select("h"))
     known = sent(template, most_sent)
     if known:
         read = read.withColumn("own", F.lit(None).cast("array<long>"))

@@ -40,3 +40,17 @@ def test_recurring_subtrees_go_whichever_way_they_are_sent(spark, sent):
 def test_article_text_that_copies_share_stays(spark):
     df = spark.createDataFrame([(i, "http://h/", f"<nav>n</nav><article><p>same in all</p><p>{i}</p></article>") for i in range(12)], "page_id long, url string, html string")
     assert {r["text"] for r in templates.main_texts(df).collect()} == {f"same in all\n\n{i}" for i in range(12)}
+
+
+def test_a_wrapper_does_not_take_its_article_along(spark):
+    wrapped = "<div id=content><div class=inner><{0}><p>the article</p></{0}></div><div>menu</div></div>"
+    pages = [(i, f"http://{tag}/", f"<nav>{i}</nav>{wrapped.format(tag)}<p>date {i}</p>") for tag in ("article", "main") for i in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["text"] for r in templates.main_texts(df).collect()} == {"the article"}
+
+
+def test_the_pages_a_template_needs_stop_rising_with_the_host(spark):
+    given = [(i, "http://h/", ("<div>rare banner</div>" if i < 10 else "") + f"<p>own {i}</p>") for i in range(1000)]
+    df = spark.createDataFrame(given, "page_id long, url string, html string")
+    assert {r["text"] for r in templates.main_texts(df, enough=10).collect()} == {f"own {i}" for i in range(1000)}
+    assert sum("banner" in r["text"] for r in templates.main_texts(df, enough=11).collect()) == 10
