@@ -13,6 +13,8 @@ Parquet and read again as the next one's docs.  All but the last return the colu
 5. mixing: how often each document is taken, by source weights; documents taken zero
    times go, the others get size, source_size, target, copies and taken.
 
+Rows that repeat an id with another text, or have none, are documents of their own in
+the last two stages: benchmark goes by id and text, and mixing decides row by row.
 Empty tables pass through every stage.
 """
 
@@ -56,16 +58,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash containment (10): contaminated documents go."""
-    return drop_rows(docs, containment.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    leaks = containment.contaminated(docs, table(spark, sf_dir, "benchmark")).withColumnsRenamed({"doc_id": "__doc_id", "t": "__t"})
+    same = docs["doc_id"].eqNullSafe(leaks["__doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == leaks["__t"])
+    return docs.join(leaks, same, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pareto sampling (1)."""
-    taken = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(
-        *[F.max(c).alias(f"__{c}") for c in ("size", "source_size", "target", "copies", "taken")])
-    taken = taken.withColumnRenamed("doc_id", "__doc_id")
-    both = docs.drop("size", "source_size", "target", "copies", "taken").join(taken, docs["doc_id"].eqNullSafe(taken["__doc_id"])).drop("__doc_id")
-    return both.withColumnsRenamed({f"__{c}": c for c in ("size", "source_size", "target", "copies", "taken")})
+    taken = mixing.mix(docs, carry=True).filter("copies > 0")
+    added = ["size", "source_size", "target", "copies", "taken"]
+    own = [c for c in docs.columns if c.lower() not in added]
+    return taken.select(*[F.col("__row").getField(c).alias(c) for c in own], *added)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -164,6 +164,11 @@ def _pairs(docs: DataFrame, items: DataFrame, share: float, most_sent: int) -> D
     return found.join(candidates, pair, "left_semi").filter(F.col("found") >= needed(F.col("q"), share)).select("doc_id", "t", "item_id", "q", "found")
 
 
+def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, most_sent: int = SENT) -> DataFrame:
+    """(doc_id, t) of the documents that hold an item, t being the hash of the text (null as empty)."""
+    return _pairs(docs, items, share, most_sent).select("doc_id", "t").distinct()
+
+
 def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE, most_sent: int = SENT) -> DataFrame:
     """doc_id, item_id, shingles (of the item), found (of them in the document), containment: pairs of at least `share`.
 

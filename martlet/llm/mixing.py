@@ -70,7 +70,7 @@ def source_targets(sized: DataFrame, weights: Sequence[int], most: int) -> DataF
             .select("source", "source_size", "docs", "target", "certain", "goal", "fraction"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "mix", carry: bool = False) -> DataFrame:
     """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
 
     One row per input row.  Null text has size 0; null is a source of its own.  Rows
@@ -78,13 +78,20 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed
     An empty table gives no rows.  Only doc_id, text and source are read; the result
     depends on them and on `seed`.  `preference` of a document is 1 + s / (s + m)
     for s words and m the source's mean: longer documents are favoured, at most 2 to 1.
+
+    With `carry`, every row keeps all columns of `docs`, as the struct __row, and rows
+    without id are told apart by their texts, each with a random number of its own.
     """
-    slim = stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    carried, text_key = [], F.lit("")
+    if carry:
+        text_key = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text:"), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string"))).otherwise("")
+        carried = [F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("__row")]
+    slim = stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), text_key.alias("__text_key"), *carried))
     sources = stage(source_targets(slim, weights, most))
     mean = F.col("source_size") / F.col("docs")
     preference = F.when(F.col("size") > 0, 1.0 + F.col("size") / (F.col("size") + mean)).otherwise(1.0)
     odds = F.col("fraction") / (1.0 - F.col("fraction")) * preference
-    u = uniform(seed, F.col("doc_id"))
+    u = uniform(seed, F.coalesce(F.col("doc_id").cast("string"), F.col("__text_key")))
     rank = F.when(F.col("fraction") > 0, u / (1.0 - u) / odds).otherwise(0.0)
     bins = F.ceil(F.sqrt(F.col("docs").cast("double")))
     bin_of = F.least(F.floor(F.col("rank") / (1.0 + F.col("rank")) * bins), bins - 1)
@@ -99,10 +106,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed
     cut = stage(cut.select(F.col("source").alias("__source"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("cut_before")))
     placed = ranked.join(cut, ranked["source"].eqNullSafe(cut["__source"]), "left").drop("__source")
     whole = F.when(F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")), 1).otherwise(0)
-    ahead = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("rank", "doc_id", "__text_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     in_cut = placed.filter(F.col("bin") == F.col("cut_bin"))
     settled = placed.filter(F.col("cut_bin").isNull() | (F.col("bin") != F.col("cut_bin")))
     fits = F.col("cut_before") + ahead + F.col("size") / 2.0 <= F.col("goal")
     chosen = settled.withColumn("chosen", whole).unionByName(in_cut.withColumn("chosen", F.when(fits, 1).otherwise(0)))
     copies = (F.col("certain") + F.when(F.col("fraction") > 0, F.col("chosen")).otherwise(0)).cast("long")
-    return chosen.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return chosen.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *(["__row"] if carry else []))

@@ -78,3 +78,24 @@ def test_odd_rows_pass(spark):
                 assert out.columns == docs.columns
                 if name not in ("quality", "lines"):
                     docs = docs_next
+
+
+def test_benchmark_and_mixing_decide_rows_without_id_or_with_a_repeated_one_each(spark, tmp_path):
+    passage = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(None, f"clean words number {'abcdefgh'[i % 8] * (i + 1)} " + "and more " * (i % 7), "s" if i % 2 else None) for i in range(60)]
+    clean += [(7, "one clean text of this id", "s"), (None, None, "s")]
+    docs = spark.createDataFrame([*clean, (None, f"a {passage} b", "s"), (7, f"c {passage} d", None)], "doc_id long, text string, source string")
+    left = stage(corpus_pipeline.benchmark(spark, docs, str(tmp_path)))
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, left.collect())) == sorted(map(str, clean))
+
+    out = corpus_pipeline.mix(spark, left, str(tmp_path)).collect()
+    words = {c: 0 for c in ("s", None)}
+    sizes = {(d, t, s): len((t or "").split()) for d, t, s in clean}
+    totals = {s: sum(n for (_, _, of), n in sizes.items() if of == s) for s in words}
+    for r in out:
+        assert r["size"] == sizes[r["doc_id"], r["text"], r["source"]] and r["source_size"] == totals[r["source"]] and r["taken"] == r["size"] * r["copies"]
+        words[r["source"]] += r["taken"]
+    targets = {r["source"]: r["target"] for r in out}
+    assert 0 < len(out) < len(clean) and all(abs(words[s] - targets[s]) <= max(sizes.values()) for s in words)
