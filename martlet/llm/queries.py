@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.llm import cascade, containment, forest, linetree, mixing, pii, rules, simhash, templates, toxicity
+from martlet.llm import alignment, cascade, containment, forest, linetree, mixing, packing, pii, rules, simhash, templates, toxicity
 from martlet.llm.common import table
 
 # The host and path rules of the URL query.
@@ -58,6 +58,20 @@ def op10_minhash_containment(spark: SparkSession, folder: str) -> DataFrame:
     return containment.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_pointer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op13_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_projection_forest": op2_projection_forest,
@@ -69,4 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_templates": op8_line_templates,
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_minhash_containment": op10_minhash_containment,
+    "op11_pointer_alignment": op11_pointer_alignment,
+    "op13_pattern_packing": op13_pattern_packing,
 }
