@@ -81,4 +81,30 @@ SELECT doc_id, item_id, q AS shingles, COUNT(*) AS found, COUNT(*) / q::DOUBLE A
 FROM held JOIN listed USING (s) JOIN counted USING (item_id) GROUP BY doc_id, item_id, q HAVING COUNT(*) >= CEIL(q * 0.8::DECIMAL(9, 6))
 """
 
-SQL = {"op1_pareto_mix": MIX, "op6_url_cascade": URLS, "op8_line_templates": LINES, "op10_minhash_containment": LEAKS}
+PHRASES = r"""
+WITH texts AS (SELECT COALESCE(lang, 'und') AS lang, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+  SELECT lang, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS phrase
+  FROM listed, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(ws) >= n),
+totals AS (SELECT lang, COUNT(*)::BIGINT AS n FROM grams WHERE n = 1 GROUP BY lang),
+counted AS (SELECT lang, n, phrase, COUNT(*)::BIGINT AS f, string_split(phrase, ' ') AS ws FROM grams GROUP BY ALL HAVING COUNT(*) >= 30),
+cuts AS (SELECT lang, n, phrase, f, ws, unnest(range(1, n)) AS k FROM counted WHERE n > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.k, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.f) // (l.f + r.f))::BIGINT AS score
+  FROM cuts c JOIN counted l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.k], ' ')
+              JOIN counted r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.k + 1:], ' ')),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+spans AS (SELECT lang, ws, n, f, unnest(range(2, n)) AS m FROM counted WHERE n > 2),
+inner_ AS (SELECT lang, f, unnest(list_transform(range(1, n - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM spans),
+outer_ AS (SELECT lang, phrase, MAX(f) AS f FROM inner_ GROUP BY ALL),
+kept AS (
+  SELECT w.* FROM weakest w LEFT JOIN outer_ o ON o.lang = w.lang AND o.phrase = w.phrase
+  WHERE o.f IS NULL OR 100::HUGEINT * o.f < 80::HUGEINT * w.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, t.n, score
+FROM kept k JOIN totals t ON t.lang = k.lang
+QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+SQL = {"op1_pareto_mix": MIX, "op6_url_cascade": URLS, "op8_line_templates": LINES, "op10_minhash_containment": LEAKS, "op12_misra_gries_phrases": PHRASES}

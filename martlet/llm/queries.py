@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.llm import alignment, cascade, containment, forest, linetree, mixing, packing, pii, rules, simhash, templates, toxicity
+from martlet.llm import alignment, cascade, containment, forest, linetree, mixing, packing, phrases, pii, rules, simhash, templates, toxicity
 from martlet.llm.common import table
 
 # The host and path rules of the URL query.
@@ -68,6 +68,10 @@ def op11_pointer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op12_misra_gries_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 def op13_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -84,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_minhash_containment": op10_minhash_containment,
     "op11_pointer_alignment": op11_pointer_alignment,
+    "op12_misra_gries_phrases": op12_misra_gries_phrases,
     "op13_pattern_packing": op13_pattern_packing,
 }

@@ -56,7 +56,8 @@ def test_words_of_usual_letters_are_read_as_the_tokenizer_reads_them():
     words = packing.Words(PATH)
     assert words.fast is not None
     names = sorted(words.tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])
-    decoded = [bytes(packing.byte_of_char()[c] for c in n.removesuffix("</w>")).decode("utf-8", "ignore") for n, _ in names]
+    byte = packing.byte_of_char()
+    decoded = [bytes(byte[c] for c in n.removesuffix("</w>")).decode("utf-8", "ignore") for n, _ in names]
     tried = [w for w in decoded if packing.USUAL.fullmatch(w)] + [a + b for a, b in zip(decoded[::7], decoded[3::7]) if packing.USUAL.fullmatch(a + b)]
     assert len(tried) > 40_000
     assert [list(x) for x in words.read(tried)] == [e.ids for e in words.tokenizer.encode_batch(tried, add_special_tokens=False)]
