@@ -4,30 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from .records import read_split
 from .schemas import RAW, STAR
 
 # Quotes inside quoted text are doubled, white space is kept, and a header that contradicts the columns read is an error.
 CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "enforceSchema": "false"}
 
 
-def read_star(spark: SparkSession, folder: str, multi_line: bool = True) -> dict[str, DataFrame]:
+def read_star(spark: SparkSession, folder: str, one_task: bool = False) -> dict[str, DataFrame]:
     """The three raw CSV tables, columns found by their name in the header; dates stay text until checked.
 
     `seq` gives every row its place of ingest (file, block, row), which is what
     "the first of several copies" refers to.  `unreadable` lists the columns whose text
     is not of the declared type; their value is null, and the audits reject the row.  A
-    column that the file lacks is null throughout.  Line breaks inside quotes need
-    `multi_line`, for which a file is read by one task; without it large files are split.
+    column that the file lacks is null throughout.  Quoted text may hold line breaks;
+    a file is read by many tasks all the same (see `records`).  `one_task` reads a file
+    in one task, for files with single quotes inside unquoted text.
     """
     tables = {}
     for name, schema in RAW.items():
-        rows = spark.read.options(**CSV, multiLine=str(multi_line).lower()).csv(f"{folder}/{name}.csv")
-        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                         F.monotonically_increasing_id().alias("row"))
+        path = f"{folder}/{name}.csv"
+        if one_task:
+            rows = spark.read.options(**CSV, multiLine="true").csv(path)
+            place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                             F.monotonically_increasing_id().alias("row")).alias("seq")
+        else:
+            rows, place = read_split(spark, path, CSV), F.col("seq")
         present = {f.name: F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast("string") for f in schema.fields}
         typed = {f.name: _typed(present[f.name], f.dataType) for f in schema.fields}
         bad = [F.when(present[n].isNotNull() & value.isNull(), F.lit(n)) for n, value in typed.items()]
-        tables[name] = rows.select(*[v.alias(n) for n, v in typed.items()], F.array_compact(F.array(*bad)).alias("unreadable"), place.alias("seq"))
+        tables[name] = rows.select(*[v.alias(n) for n, v in typed.items()], F.array_compact(F.array(*bad)).alias("unreadable"), place)
     return tables
 
 
@@ -54,22 +60,43 @@ def read_segmented(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/customers_segmented").select(*STAR["customers"].names)
 
 
+# Types an uploaded column may have, in the order in which they are tried; dates and times only as usually written.
+TYPES = {"int": None, "bigint": None, "double": None, "date": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "timestamp": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9:.]+", "boolean": r"(?i)^(true|false)$"}
+
+
+def _read_as(text: Column, kind: str) -> Column:
+    written = F.when(text.rlike(TYPES[kind]), text) if TYPES[kind] else text
+    return written.try_cast(kind)
+
+
+def _type_of(text: Column) -> Column:
+    """Aggregate: the first type all values of a text column can be read as; a column without values is text."""
+    kind = F.lit("string")
+    for name in reversed(TYPES):
+        unread = F.count_if(text.isNotNull() & _read_as(text, name).isNull())
+        kind = F.when(unread == 0, F.lit(name)).otherwise(kind)
+    return F.when(F.count(text) == 0, F.lit("string")).otherwise(kind)
+
+
 def profile_upload(spark: SparkSession, path: str) -> DataFrame:
-    """Column name, inferred type, rows and missing values of a CSV file."""
+    """Column name, inferred type, rows and missing values of a CSV file: one aggregate over its records."""
     uploaded = _uploaded(spark, path)
     counts = uploaded.agg(
         F.count("*").alias("rows"),
-        F.array(*[F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("data_type"),
+        F.array(*[F.struct(F.lit(name).alias("column_name"), _type_of(F.col(f"`{name}`")).alias("data_type"),
                            F.count_if(F.col(f"`{name}`").isNull()).alias("missing"))
-                  for name, kind in uploaded.dtypes]).alias("profile"))
+                  for name in uploaded.columns]).alias("profile"))
     return counts.select("rows", F.explode("profile").alias("p")).select("p.*", "rows")
 
 
 def preview_upload(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
-    return _uploaded(spark, path).limit(n)
+    """The first `n` rows of the file, as text."""
+    if not path.endswith(".csv"):
+        raise ValueError("Only .csv files are accepted.")
+    return spark.read.options(**CSV, multiLine="true").csv(path).limit(n)
 
 
 def _uploaded(spark: SparkSession, path: str) -> DataFrame:
     if not path.endswith(".csv"):
         raise ValueError("Only .csv files are accepted.")
-    return spark.read.options(**CSV, multiLine="true", inferSchema="true").csv(path)
+    return read_split(spark, path, CSV).drop("seq")

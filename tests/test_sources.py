@@ -159,3 +159,71 @@ def test_shared_folder_is_the_one_the_session_names():
         shared_folder(Session("yarn"))
     local = Session("local[2]")
     assert shared_folder(local) == shared_folder(local)
+
+
+AWKWARD = ["plain", "a,b", 'say ""hi""', "two\nlines", "crlf\r\ninside", "\n\n", '""', "", " padded ", "é日本", "x" * 50, '"",""\n', "end\r"]
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+@pytest.mark.parametrize("block", [150, 1 << 20])
+def test_split_reading_equals_one_task(spark, tmp_path, ending, block):
+    """Records cut at every place by small blocks: quotes, breaks and empty lines as one task reads them."""
+    import random
+    from martlet.sources.records import read_split
+    random.seed(block)
+    (tmp_path / "in.csv").mkdir()
+    for part in range(2):
+        rows = ["id,text,more"]
+        for i in range(40):
+            values = [random.choice(AWKWARD) for _ in range(2)]
+            rows.append(",".join([str(part * 100 + i), *[f'"{v}"' if any(c in v for c in ',"\n\r') else v for v in values]]))
+            rows += [""] * random.choice([0, 0, 0, 1])
+        (tmp_path / "in.csv" / f"part-{part}.csv").write_bytes(ending.join(rows).encode() + (ending.encode() if part else b""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    expected = sorted(map(tuple, spark.read.options(**readers.CSV, multiLine="true").csv(f"{tmp_path}/in.csv").collect()), key=str)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        split = read_split(spark, f"{tmp_path}/in.csv", readers.CSV)
+        rows = split.collect()
+        assert sorted([(r.id, r.text, r.more) for r in rows], key=str) == expected and len(expected) == 80
+        ordered = sorted(rows, key=lambda r: (r.seq.file, r.seq.block, r.seq.row))
+        assert [int(r.id) for r in ordered] == sorted(int(r.id) for r in rows)   # places of ingest follow the files
+        if block < 1 << 20:
+            assert len({(r.seq.file, r.seq.block) for r in rows}) > 9                # many blocks hold beginnings
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    from martlet.sources.records import read_split
+    text = "id,text\n" + "".join(f'{i},"line {i}\nbreak"\n' for i in range(60_000))
+    (tmp_path / "big.csv").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        split = read_split(spark, f"{tmp_path}/big.csv", readers.CSV)
+        assert spark.read.option("lineSep", "\n").text(f"{tmp_path}/big.csv").rdd.getNumPartitions() > 15
+        got = split.agg(F.count("*"), F.sum("id"), F.count_if(F.col("text") == F.concat(F.lit("line "), "id", F.lit("\nbreak")))).first()
+        assert tuple(got) == (60_000, 60_000 * 59_999 // 2, 60_000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_without_breaks_in_quotes_nothing_is_shuffled(spark, files):
+    plan = readers.read_star(spark, files)["orders"]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_a_header_with_other_names_is_an_error(spark, tmp_path):
+    from martlet.sources.records import read_split
+    (tmp_path / "in.csv").mkdir()
+    (tmp_path / "in.csv" / "a.csv").write_text("id,text\n1,x\n")
+    (tmp_path / "in.csv" / "b.csv").write_text("text,id\ny,2\n")
+    with pytest.raises(Exception, match="header is not"):
+        read_split(spark, f"{tmp_path}/in.csv", readers.CSV).collect()
+
+
+def test_types_of_uploaded_columns(spark, tmp_path):
+    (tmp_path / "up.csv").write_text("a,b,c,d,e,f,g\n1,5000000000,1.5,2024-01-02,true,,x\n,2,3,2024-02-03,FALSE,,1\n")
+    got = {r.column_name: (r.data_type, r.missing, r.rows) for r in readers.profile_upload(spark, f"{tmp_path}/up.csv").collect()}
+    assert got == {"a": ("int", 1, 2), "b": ("bigint", 0, 2), "c": ("double", 0, 2), "d": ("date", 0, 2), "e": ("boolean", 0, 2), "f": ("string", 2, 2), "g": ("string", 0, 2)}
