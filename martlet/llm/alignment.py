@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -30,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martlet.llm.common import ship, stage
+from martlet.llm.common import kept_in_worker, ship, stage
 
 ship(__name__)
 
 SENT = 4_000_000       # counted pairs sent to the tasks at most (70 MB)
-SEGMENT = 2_000_000    # characters cut into chunks at a time
-KEPT = 600_000         # chunks a task remembers, at most so many and
+SEGMENT = 1_000_000    # characters cut into chunks at a time
+KEPT = 300_000         # chunks a Python worker remembers, at most so many and
 UNIT = 64              # chunks encoded at once
 KEPT_BYTES = 32 << 20  # so many bytes of them
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -263,11 +264,17 @@ class Aligned:
             self.owner, self.pair, self.times = self.owner[good], self.pair[good], times[good]
 
 
+def remembered(path_a: str, path_b: str, grouped: bool, counts=None, run: str = "") -> Chunks:
+    """The chunks of this Python worker, for the tasks of one pass; `run` tells one set of counts from another."""
+    vocabulary = kept_in_worker("vocabulary", (path_a, path_b), lambda: Vocabulary(path_a, path_b))
+    return kept_in_worker("chunks", (path_a, path_b, grouped, run, KEPT), lambda: Chunks(vocabulary, grouped, counts.value if counts else None))
+
+
 def _pairs_of(path_a: str, path_b: str):
     """Per batch, how many texts hold each pair of ids linked."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(Vocabulary(path_a, path_b), False)
+        chunks = remembered(path_a, path_b, False)
         for batch in batches:
             pair, docs = np.unique(Aligned(batch.column("text").to_pylist(), chunks).pair, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(docs)], ["pair", "docs"])
@@ -277,9 +284,10 @@ def _pairs_of(path_a: str, path_b: str):
 
 def _rows_of(path_a: str, path_b: str, counts):
     """Per text its numbers; with `counts` (a broadcast) also n_best and count_sum."""
+    run = uuid.uuid4().hex
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(Vocabulary(path_a, path_b), True, counts.value if counts else None)
+        chunks = remembered(path_a, path_b, True, counts, run)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             rows = Aligned(texts, chunks)
@@ -295,7 +303,7 @@ def _links_of(path_a: str, path_b: str):
     """Per batch and text (by its hash), the links of all rows that hold it."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(Vocabulary(path_a, path_b), False)
+        chunks = remembered(path_a, path_b, False)
         for batch in batches:
             times: dict[str, int] = {}
             for text in batch.column("text").to_pylist():

@@ -23,6 +23,19 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def kept_in_worker(name: str, of, make):
+    """In a task: what `make` gave this Python worker for `name`, made anew when `of` differs from last time.
+
+    A worker runs many tasks; vocabularies are read once in it, and at most one object
+    is held under a name.
+    """
+    held = vars(sys.modules.setdefault("_kept_in_worker", type(sys)("_kept_in_worker")))
+    if name not in held or held[name][0] != of:
+        held.pop(name, None)
+        held[name] = (of, make())
+    return held[name][1]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

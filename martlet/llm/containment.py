@@ -14,15 +14,18 @@ An item is an id with its text: rows that repeat an id (or have none) with other
 texts are items of their own from the sketch to the verification.
 
 Shingles are hashed in Arrow batches where the texts are.  While the sketches are at
-most `SENT` hashes they go to the tasks, and a document gives back only the hashes it
-shares with them.  Beyond that it gives all its hashes, and they meet the sketches in
-a shuffled join.
+most `SENT` hashes, and the items have at most `WORDS` different words, both go to the
+tasks: runs of words that no item has are not hashed at all, and a document gives back
+only the hashes it shares with the sketches.  Beyond that it gives all its hashes, and
+they meet the sketches in a shuffled join.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.llm.common import sent, ship, stage
+from martlet.llm.common import kept_in_worker, sent, ship, stage
 
 ship(__name__)
 
@@ -38,6 +41,8 @@ SHINGLE, SHARE = 5, 0.8
 SENT = 2_000_000   # hashes sent to the tasks at most (16 MB)
 TOKEN = re.compile(r"\w+")
 MEMO = 1_000_000   # word hashes a task remembers
+WORDS = 300_000    # different words of items sent to the tasks at most
+SOME = 1_000_000   # characters of documents looked at at once
 
 
 class WordHashes(dict):
@@ -75,24 +80,86 @@ def _among(hashes: np.ndarray, known: np.ndarray | None) -> np.ndarray:
     return known[at] == hashes
 
 
-def matched_hashes(sizes: list[int], known):
-    """Column function: {runs, hs} of a text, its number of runs and its different hashes among `known` (a broadcast, or None for all)."""
+class ItemWords(dict):
+    """Numbers of the words of all items, from 1 on; any other word is 0."""
+
+    def __init__(self, words: list[str]):
+        super().__init__((w, i + 1) for i, w in enumerate(words))
+        self.hashes = np.fromiter(chain([0], map(xxhash.xxh64_intdigest, words)), np.uint64, len(words) + 1)
+
+    def __missing__(self, word: str) -> int:
+        return 0
+
+    def runs(self, numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where n item words stand side by side, and the hashes of these runs (as by run_hashes)."""
+        known = np.cumsum(np.append(0, numbers > 0))
+        at = np.flatnonzero(known[n:] - known[:-n] == n) if numbers.size >= n else np.empty(0, np.int64)
+        runs = np.zeros(at.size, np.uint64)
+        for k in range(n):
+            runs = (runs ^ self.hashes[numbers[at + k]]) * np.uint64(0x9E3779B97F4A7C15)
+            runs ^= runs >> np.uint64(29)
+        return at, runs
+
+
+def found_in(texts: list[str], sizes: list[int], words: ItemWords, listed: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Per text its number of runs, and its different hashes among `listed`; all texts at once."""
+    cut = [tokens(t) for t in texts]
+    lengths = np.array([len(c) for c in cut], np.int64)
+    # A gap after each text keeps runs apart.
+    numbers = np.fromiter(chain.from_iterable(chain(map(words.__getitem__, c), (0,)) for c in cut), np.int64, int(lengths.sum()) + len(texts))
+    ends = np.cumsum(lengths + 1)
+    owners, found = [], []
+    for n in sizes:
+        at, runs = words.runs(numbers, n)
+        hit = _among(runs, listed)
+        owners.append(np.searchsorted(ends, at[hit], "right"))
+        found.append(runs[hit])
+    owner, found = np.concatenate(owners), np.concatenate(found)
+    order = np.lexsort((found, owner))
+    owner, found = owner[order], found[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (found[1:] != found[:-1]))[:owner.size]
+    owner, found = owner[new], found[new].view(np.int64)
+    return sum(np.maximum(lengths - n + 1, 0) for n in sizes), np.split(found, np.searchsorted(owner, np.arange(1, len(texts))))
+
+
+def matched_hashes(sizes: list[int], known, item_words):
+    """Column function: {runs, hs} of a text, its number of runs and its different hashes among `known`.
+
+    Runs of a text that hold a word of no item can't be an item's and aren't hashed.
+    `known` and `item_words` are broadcasts; where the items are too many for that, both
+    are None and all hashes are given.
+    """
+    run = uuid.uuid4().hex
 
     @F.pandas_udf("struct<runs: long, hs: array<long>>")
     def matched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memo, listed = WordHashes(), known.value if known else None
-        for texts in batches:
-            runs, hs = [], []
-            for text in texts:
-                words = tokens(text)
-                h = np.concatenate([run_hashes(words, n, memo) for n in sizes])
-                runs.append(h.size)
-                hs.append(np.unique(h[_among(h, listed)]).view(np.int64))
-            yield pd.DataFrame({"runs": runs, "hs": hs})
+        if known is None:
+            memo = WordHashes()
+            for texts in batches:
+                hs = [np.concatenate([run_hashes(words, n, memo) for n in sizes]) for words in map(tokens, texts)]
+                yield pd.DataFrame({"runs": [h.size for h in hs], "hs": [np.unique(h).view(np.int64) for h in hs]})
+        else:
+            words = kept_in_worker("item words", run, lambda: ItemWords(item_words.value))
+            for texts in batches:
+                parts = [found_in(some, sizes, words, known.value) for some in some_at_once(texts.tolist())]
+                yield pd.DataFrame({"runs": np.concatenate([runs for runs, _ in parts] or [np.empty(0, np.int64)]), "hs": [h for _, hs in parts for h in hs]})
 
     return matched
 
 
+def some_at_once(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, about SOME characters together."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size > SOME:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def matched_texts(sizes: list[int], known):
     """Column function: the different runs of a text, words joined by a space, whose hash is among `known`."""
 
@@ -148,10 +215,14 @@ def _pairs(docs: DataFrame, items: DataFrame, share: float, most_sent: int) -> D
     same = F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("k") == F.col("__k"))
     listed = stage(shingles.join(counted.withColumnsRenamed({"item_id": "__item", "k": "__k"}), same).drop("__item", "__k"))
     sketches = stage(sketch(listed, share))
+    known_to = sent(sketches, most_sent)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("t"), text.alias("text"))
-    hashed = keyed.select("doc_id", "t", matched_hashes(sizes, sent(sketches, most_sent))("text").alias("m"))
+    words = listed.select(F.explode(F.split("s", " ")).alias("word")).distinct()
+    few = [r["word"] for r in words.limit(WORDS + 1).collect()]
+    item_words = docs.sparkSession.sparkContext.broadcast(few) if len(few) <= WORDS else None
+    hashed = keyed.select("doc_id", "t", matched_hashes(sizes, known_to if item_words else None, item_words if known_to else None)("text").alias("m"))
     hits = hashed.select("doc_id", "t", "m.runs", F.explode("m.hs").alias("h")).join(sketches, "h").filter("runs >= need")
     candidates = stage(hits.select(F.col("doc_id").alias("c_id"), F.col("t").alias("c_t"), F.col("item_id").alias("c_item"), F.col("k").alias("c_k")).distinct())
 

@@ -33,15 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlet.llm.alignment import byte_of_char
-from martlet.llm.common import ship, stage
+from martlet.llm.common import kept_in_worker, ship, stage
 
 ship(__name__)
 
 CAPACITY = 2048
 BUCKET = 20_000     # pieces numbered by one window, about
 BLOCK = 1_000       # copies of one row written out at a time
-KEPT = 500_000      # words a task remembers at most
-SOME = 2_000_000    # characters encoded at once
+KEPT = 250_000      # words a Python worker remembers at most
+SOME = 1_000_000    # characters encoded at once
 ROUNDS = 20         # of the fit at most
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 # White space in Python alone, or beyond ASCII: texts with these are cut at ASCII white space only.
@@ -138,7 +138,7 @@ def _pieces_of(path: str, capacity: int, end: int):
     """One row per piece of a document: its place, length and the CRC-32 of its ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = Words(path), np.array([end], "<u4")
+        words, last = kept_in_worker("words", (path, KEPT), lambda: Words(path)), np.array([end], "<u4")
         for batch in batches:
             rows, starts, lengths, crcs, row = [], [], [], [], 0
             for some in some_at_once(batch.column("text").to_pylist()):

@@ -60,10 +60,10 @@ def plain(texts):
 
 
 @pytest.mark.parametrize("sent", [4_000_000, 0])
-@pytest.mark.parametrize("segment", [2_000_000, 40])
+@pytest.mark.parametrize("segment", [1_000_000, 40])
 def test_equal_to_brute_force(spark, monkeypatch, sent, segment):
     monkeypatch.setattr(alignment, "SEGMENT", segment)
-    monkeypatch.setattr(alignment, "KEPT", 600_000 if segment > 40 else 5)
+    monkeypatch.setattr(alignment, "KEPT", 300_000 if segment > 40 else 5)
     # Columns that clash with inner names do no harm; one id is repeated, one is missing.
     rows = [(i if i not in (3, 4) else None, t, 1, "t", 2) for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, pair int, t string, docs int").coalesce(2)

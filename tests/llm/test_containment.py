@@ -59,3 +59,23 @@ def test_texts_that_share_an_item_id_or_have_none_are_items_of_their_own(spark,
     docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)] + [(9, texts[0][:-20] + texts[1][:20])], "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["shingles"], r["found"]) for r in containment.contained_items(docs, items, most_sent=sent).collect()}
     assert got == {(0, 0, 16, 16), (1, 0, 16, 16), (2, None, 16, 16), (3, None, 16, 16)}
+
+
+def test_runs_of_item_words_hash_as_before():
+    import numpy as np
+    items = ["one two three four five six", "zwei drei", "a"]
+    words = containment.ItemWords(sorted({w for t in items for w in t.split()}))
+    texts = ["one two three four five six seven one two three four five", "", "zwei drei zwei drei", "a b a", "x " * 50 + "one two three four five", "six"]
+    memo = containment.WordHashes()
+    listed = np.sort(np.concatenate([containment.run_hashes(t.split(), n, memo) for t in items for n in (1, 2, 5)]))
+    runs, hs = containment.found_in(texts, [1, 2, 5], words, listed)
+    for text, n_runs, found in zip(texts, runs, hs):
+        own = np.concatenate([containment.run_hashes(containment.tokens(text), n, memo) for n in (1, 2, 5)])
+        assert n_runs == own.size and sorted(found.view(np.uint64).tolist()) == sorted(set(own[np.isin(own, listed)].tolist()))
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i % 977}x{i % 13}" for i in range(400_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:30])), (3, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words[250_000:250_040]))], "item_id long, text string")
+    assert [(r["doc_id"], r["found"]) for r in containment.contained_items(docs, items).collect()] == [(1, 36)]
