@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exact
-from ..functions.copies import mark_later_copies
+from ..functions.copies import mark_later_copies, mark_later_copies_of_few
 from ..functions.order_stats import iqr_fence, mark_outside
 from ..sources.schemas import CUSTOMERS, KEYS, ORDERS, PRODUCTS
 
@@ -249,7 +249,7 @@ def audit_orders(raw: DataFrame, customers: DataFrame, products: DataFrame, as_o
     """`customers` and `products` are the cleaned tables: a line of a rejected customer is rejected too."""
     texts = ["region", "payment_method", "return_status"]
     judged = [c for c in ORDERS.names if c != "order_id"]
-    rows = mark_later_copies(trim_text(raw, texts), judged, _first_seen(raw, "order_id"), FLAG + "full_duplicate")
+    rows = mark_later_copies_of_few(trim_text(raw, texts), judged, _first_seen(raw, "order_id"), FLAG + "full_duplicate")
     rows = mark_foreign_keys(rows, customers, products)
     rows = rows.withColumns({
         FLAG + "date": invalid_date(F.col("order_date"), EARLIEST_DATE, as_of),

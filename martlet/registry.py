@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .functions.copies import mark_later_copies
+from .functions.copies import mark_later_copies, mark_later_copies_of_few
 from .functions.exact import portable
 from .operators import (advice, anomalies, churn, customers, dashboards, measures, operations, products, quality,
                         questions, rootcause, sales, segments)
@@ -158,7 +158,7 @@ def dq_missing(t: Star) -> DataFrame:
 def dq_full_duplicates(t: Star) -> DataFrame:
     orders = raw.raw_orders(t)
     judged = [c for c in orders.columns if c not in ("order_id", "seq")]
-    return mark_later_copies(orders, judged, ["seq", "order_id"], "copy").where("copy").select("order_id", "seq")
+    return mark_later_copies_of_few(orders, judged, ["seq", "order_id"], "copy").where("copy").select("order_id", "seq")
 
 
 def dq_duplicate_key(t: Star) -> DataFrame:

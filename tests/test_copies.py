@@ -2,7 +2,7 @@
 
 import pytest
 
-from martlet.functions.copies import mark_later_copies
+from martlet.functions.copies import mark_later_copies, mark_later_copies_of_few
 
 
 def brute_force(rows, key, first):
@@ -29,3 +29,39 @@ def test_no_lane_holds_the_hot_group(spark):
     assert marked.where("NOT copy").count() == 1
     plan = marked._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(a#" in plan and "__lane" in plan and "__contender" in plan
+
+
+@pytest.mark.parametrize("bits", [6, 8, 22])
+def test_sieved_rows_are_marked_alike(spark, bits):
+    """Few bits let unique rows through to the comparison; the result is the same."""
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i}", None if i % 7 == 0 else i % 2, 600 - i) for i in range(600)]
+    rows += [(1000 + i, f"k{i}", i % 2, 5000) for i in range(1, 40, 4)] + [(2000, None, None, 1), (2001, None, None, 2)]
+    df = spark.createDataFrame(rows, "id int, a string, b int, seq int")
+    marked = mark_later_copies_of_few(df, ["a", "b"], ["seq", "id"], "copy", bits)
+    assert marked.columns == ["id", "a", "b", "seq", "copy"]
+    assert {r.id: r.copy for r in marked.collect()} == brute_force(rows, lambda r: r[1:3], lambda r: (r[3], r[0]))
+    empty = mark_later_copies_of_few(df.limit(0), ["a", "b"], ["seq", "id"], "copy", bits)
+    assert empty.collect() == []
+
+
+def test_unique_rows_are_not_shuffled_whole(spark):
+    """Only rows whose fingerprint occurs again reach an exchange with all their columns."""
+    import re
+    df = spark.range(20_000).selectExpr("id", "concat('wide text ', id) AS a", "id % 7 AS b").unionByName(spark.range(30).selectExpr("id + 90000 AS id", "concat('wide text ', id) AS a", "id % 7 AS b"))
+    marked = mark_later_copies_of_few(df, ["a", "b"], ["id"], "copy")
+    assert marked.where("copy").count() == 30
+    marked.collect()
+    plan = marked._jdf.queryExecution().executedPlan()
+    rows, left = [], [plan]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.nodeName().endswith("QueryStage"):
+            left.append(node.plan())
+            continue
+        if node.nodeName() == "Exchange" and re.search(r"a#", node.output().toString()):
+            rows.append(node.metrics().get("shuffleRecordsWritten").get().value())
+        kids = node.children()
+        left += [kids.apply(i) for i in range(kids.size())]
+    assert rows and max(rows) < 200
