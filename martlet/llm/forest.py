@@ -24,10 +24,12 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -173,11 +175,11 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
     depth = max(1, min(DEEPEST, math.floor(math.log2(max(2.0, total / size)))))
     chosen = classes.orderBy(F.xxhash64("c"), "c").limit(sample).select("v").toPandas()
     forest = fit(_matrix(chosen["v"]), float(longest), depth, trees, seed)
-    model = spark.sparkContext.broadcast(forest)
+    model = spark.sparkContext.broadcast(cloudpickle.dumps(forest))   # the class goes along by value
 
     @F.pandas_udf("array<int>")
     def filed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        f = model.value
+        f = pickle.loads(model.value)
         for vectors in batches:
             x = f.lengthened(_matrix(vectors), query=False)
             yield pd.Series(list(np.stack([f.leaves(x, t) for t in range(trees)], axis=1).astype(np.int32)))
@@ -189,7 +191,7 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
     counts = spark.sparkContext.broadcast(sizes)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f, n = model.value, counts.value
+        f, n = pickle.loads(model.value), counts.value
         for queries in batches:
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at:at + 256]

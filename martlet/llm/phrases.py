@@ -38,6 +38,7 @@ THRESHOLD = 30          # occurrences of a candidate at least
 INSIDE = 80             # percent of a phrase's occurrences that must lie inside a longer one for it to be dropped
 TOP = 2000
 SIEVE = 1 << 28         # bits of a sieve at most (32 MB)
+SHARES = 64             # parts in which a lang's phrases are first ranked
 CELL = 1 << 15          # bits of a sieve's cell
 CAPACITY = 500_000      # entries a summary is planned for
 HELD = 2_000_000        # hashes a task adds up before it sends them on
@@ -313,7 +314,10 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, inside: int = INSI
     held = (F.col("outer").cast("decimal(38,0)") * 100) >= (F.col("a").cast("decimal(38,0)") * inside)
     kept = weakest.join(inner, ["lang", "phrase"], "left").where(F.col("outer").isNull() | ~held)
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    # The cut at `top` is made in every task first.
-    best = kept.select("lang", "phrase", "a", "cut", F.row_number().over(order).alias("rank")).where(F.col("rank") <= top)
+    # A lang's phrases are cut at `top` in SHARES parts first, so that its last sort sees a bounded number of them.
+    shared = kept.select("lang", "phrase", "a", "cut", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)).alias("share"))
+    in_share = Window.partitionBy("lang", "share").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
+    few = shared.withColumn("place", F.row_number().over(in_share)).where(F.col("place") <= top)
+    best = few.select("lang", "phrase", "a", "cut", F.row_number().over(order).alias("rank")).where(F.col("rank") <= top)
     return best.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))

@@ -67,3 +67,14 @@ def test_recall_on_the_given_embeddings(spark):
     got, expected = answers(queries.op2_projection_forest(spark, folder)), brute(vectors)
     hits = sum(len({v for _, v, _ in got[q]} & {v for v, _ in best}) for q, best in expected.items())
     assert hits / sum(map(len, expected.values())) >= 0.9
+
+
+def test_a_fitted_forest_reaches_tasks_without_this_package(tmp_path):
+    import subprocess
+    import sys
+    from pyspark import cloudpickle
+    model = forest.fit(np.random.default_rng(0).normal(size=(200, 8)), 5.0, 3, 2, 1)
+    (tmp_path / "model").write_bytes(cloudpickle.dumps(model))
+    code = "import pickle, numpy as np; f = pickle.load(open('model', 'rb')); print(f.leaves(f.lengthened(np.ones((3, 8)), query=False), 0).shape)"
+    done = subprocess.run([sys.executable, "-P", "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    assert done.stdout.strip() == "(3,)", done.stderr
