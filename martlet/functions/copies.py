@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # A group of equal rows is spread over this many lanes before its first row is
 # chosen, so that a row copied a billion times is not numbered by one task.
 LANES = 4096
-# Bits that tell which fingerprints occur more than once: 512 KB in every task, however large the table.
-SIEVE_BITS = 22
 
 
 def mark_later_copies(df: DataFrame, keys: list[str], first: list[str], name: str, lanes: int = LANES) -> DataFrame:
@@ -26,36 +24,3 @@ def mark_later_copies(df: DataFrame, keys: list[str], first: list[str], name: st
     place = F.row_number().over(Window.partitionBy(*keys, contender).orderBy(*order))
     flagged: Column = ~(F.col(best) & (place == 1))
     return finals.withColumn(name, flagged).drop(lane, best, contender)
-
-
-def mark_later_copies_of_few(df: DataFrame, keys: list[str], first: list[str], name: str, bits: int = SIEVE_BITS) -> DataFrame:
-    """As mark_later_copies, for tables most of whose rows occur once: these stay where they are.
-
-    Fingerprints of the keys are counted first, eight bytes a row.  Those that occur
-    more than once set a bit; a row that finds its bit unset has no copy.  Only the
-    others are shuffled whole, and compared by the keys themselves, so fingerprints or
-    bits that different rows share change nothing but the work: the more copies a table
-    has, the more unique rows are shuffled with them.
-    """
-    fingerprint = F.xxhash64(*keys)
-    spot = fingerprint.bitwiseAND(F.lit((1 << bits) - 1))
-    words = _repeated(df.select(fingerprint.alias("fp")), bits).scalar()
-    word = F.get(words, F.shiftright(spot, 6).cast("int"))
-    may_repeat = F.getbit(word, spot.bitwiseAND(F.lit(63)).cast("int")) == 1
-    # Always true, but not known to be so: of a plain condition over computed columns the
-    # optimizer derives constraints in all spellings, which takes longer than the query.
-    known = F.monotonically_increasing_id() >= 0
-    alone = df.where(F.when(may_repeat, F.lit(False)).otherwise(known)).withColumn(name, F.lit(False))
-    return alone.unionByName(mark_later_copies(df.where(F.when(may_repeat, known).otherwise(F.lit(False))), keys, first, name))
-
-
-def _repeated(fingerprints: DataFrame, bits: int) -> DataFrame:
-    """One row with one array of words of 64 bits: the bits of the fingerprints (column fp) that occur more than once."""
-    again = fingerprints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    spot = F.col("fp").bitwiseAND(F.lit((1 << bits) - 1))
-    marked = again.groupBy(F.shiftright(spot, 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(fp & 63 AS INT))")).alias("set"))
-    # One row per word, whatever the table: 2 ** bits / 64.
-    every = fingerprints.sparkSession.range(1 << (bits - 6)).join(marked, F.col("id") == F.col("word"), "left")
-    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("set", F.lit(0).cast("long")).alias("set"))))
-    return every.agg(F.transform(ordered, lambda w: w["set"]).alias("words"))
