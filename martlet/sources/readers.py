@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .records import read_split
@@ -49,10 +50,30 @@ def _typed(text: Column, kind: T.DataType) -> Column:
 
 
 def read_cleaned(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One cleaned table; a missing one is an error."""
+    """One cleaned table; a missing one is an error.  Of a store that is loaded in batches, the batches that are complete."""
     if table not in STAR:
         raise ValueError(f"unknown table {table}")
-    return spark.read.parquet(f"{folder}/{table}").select(*STAR[table].names)
+    return read_stored(spark, folder, table).select(*STAR[table].names)
+
+
+def stored_batches(spark: SparkSession, folder: str) -> list[str] | None:
+    """The batches that are stored in whole; None for a folder that isn't loaded in batches.  One row per batch."""
+    try:
+        listed = spark.read.schema("batch string, stored_at timestamp").parquet(f"{folder}/_batches")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" in str(missing.getCondition()):
+            return None
+        raise
+    return [r["batch"] for r in listed.orderBy("stored_at", "batch").collect()]
+
+
+def read_stored(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table of the store with its partition columns."""
+    batches = stored_batches(spark, folder)
+    if batches is None:
+        return spark.read.parquet(f"{folder}/{table}")
+    places = [f"{folder}/{table}/batch={b}" for b in batches]
+    return spark.read.schema(STAR[table]).option("basePath", f"{folder}/{table}").parquet(*places)
 
 
 def read_segmented(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,10 +7,9 @@ from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
-
 from ..operators.quality import StarAudit, with_overall_score
-from .schemas import KEYS
+from .readers import read_stored, stored_batches
+from .schemas import KEYS, STAR
 
 
 # Text is written as it stands: white space kept, quotes doubled, line breaks in quotes.
@@ -22,63 +21,79 @@ def write_csv_star(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").options(**WRITTEN_CSV).csv(f"{folder}/{name}.csv")
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" in str(missing.getCondition()):
-            return None
-        raise
-
-
 def append_cleaned(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Appends customers, products, then orders, so that a key stands for one row in the store.
+    """Adds customers, products and orders as one batch, so that a key stands for one row in the store.
 
     A row that is stored already as it is, or comes several times alike, is taken
     once.  Conflicts are kept out of the store and recorded (`conflicts`): keys that
     the batch has with different contents, and keys whose stored row differs from the
-    batch's.  Orders are partitioned by month.  The rebalance hint lets AQE cut an
-    overfull month into several files and join small ones.  Returns the rows now
-    stored and the conflicting keys of this batch per table, read back from storage.
+    batch's.
+
+    All that a batch writes lies in folders of its own, which nobody reads until its
+    last write, one row in `_batches`, names it: a batch is stored in whole or not at
+    all, and one that was stopped is simply loaded again.  Beside the rows a batch
+    keeps its keys with a hash of each row's content, sorted by key.  What is stored is
+    looked up there, between the least and the greatest key that come, so that files of
+    other keys are passed over by their statistics and no stored row is read.  Orders
+    are partitioned by month; the rebalance hint lets AQE cut an overfull month into
+    several files and join small ones.  Returns the rows now stored and the conflicting
+    keys of this batch per table, read back from storage.
     """
     batch = uuid.uuid4().hex
     for name in ("customers", "products", "orders"):
-        path, key = f"{folder}/{name}", KEYS[name]
+        path, key = f"{folder}/{name}/batch={batch}", KEYS[name]
         columns = tables[name].columns
         df = tables[name].withColumn("__content", F.xxhash64(*columns))
-        stored = _existing(spark, path)
         # One narrow row per key decides; full rows meet only these decisions.
-        per_key = df.groupBy(key).agg(F.min("__content").alias("lo"), F.max("__content").alias("hi"))
-        if stored is not None:
-            held = stored.select(F.col(key).alias("__key"), F.xxhash64(*columns).alias("held"))
-            per_key = per_key.join(held, per_key[key].eqNullSafe(held["__key"]), "left").drop("__key")
+        per_key = stage(df.groupBy(F.col(key).alias("__key")).agg(F.min("__content").alias("lo"), F.max("__content").alias("hi")),
+                        f"{folder}/_verdicts/{batch}/{name}/keys")
+        held = stored_keys(spark, folder, name, *per_key.agg(F.min("__key"), F.max("__key")).first())
+        if held is not None:
+            per_key = per_key.join(held.select(F.col("row_key").alias("__held"), F.col("content").alias("held")), F.col("__key").eqNullSafe(F.col("__held")), "left").drop("__held")
         else:
             per_key = per_key.withColumn("held", F.lit(None).cast("bigint"))
         kind = F.when(F.col("lo") != F.col("hi"), "differs_in_batch").when(F.col("held") != F.col("lo"), "differs_from_store")
-        verdicts = stage(per_key.select(F.col(key).alias("__key"), kind.alias("kind"), F.col("held").isNotNull().alias("known")),
-                         f"{folder}/_verdicts/{batch}/{name}")
-        clashes = verdicts.where("kind IS NOT NULL").select(
-            F.lit(batch).alias("batch"), F.lit(name).alias("table_name"), F.col("__key").cast("string").alias("row_key"), "kind")
-        clashes.write.mode("append").parquet(f"{folder}/_conflicts")
-        refused = verdicts.where("kind IS NOT NULL OR known")
+        verdicts = stage(per_key.select("__key", F.col("lo").alias("content"), kind.alias("kind"), F.col("held").isNotNull().alias("known")),
+                         f"{folder}/_verdicts/{batch}/{name}/decided")
+        verdicts.where("kind IS NOT NULL").select(
+            F.lit(name).alias("table_name"), F.col("__key").cast("string").alias("row_key"), "kind").write.mode("append").parquet(f"{folder}/_conflicts/batch={batch}")
+        new = verdicts.where("kind IS NULL AND NOT known").select(F.col("__key").alias("row_key"), "content")
+        new.repartitionByRange("row_key").sortWithinPartitions("row_key").write.parquet(f"{folder}/_keys/{name}/batch={batch}")
+        refused = verdicts.where("kind IS NOT NULL OR known").select("__key")
         df = df.join(refused, df[key].eqNullSafe(refused["__key"]), "left_anti").dropDuplicates([key]).select(*columns)
         if name == "orders":
             df = df.withColumn("order_month", F.trunc("order_date", "month")).hint("rebalance", "order_month")
-            df.write.mode("append").partitionBy("order_month").parquet(path)
+            df.write.partitionBy("order_month").parquet(path)
         else:
-            df.write.mode("append").parquet(path)
+            df.write.parquet(path)
+    # From here on the batch counts.
+    spark.range(1).select(F.lit(batch).alias("batch"), F.current_timestamp().alias("stored_at")).write.mode("append").parquet(f"{folder}/_batches")
     clashes = conflicts(spark, folder).where(F.col("batch") == batch)
     counts = [
-        spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("table_name"), F.count("*").alias("stored_rows")).withColumn(
+        read_stored(spark, folder, name).agg(F.lit(name).alias("table_name"), F.count("*").alias("stored_rows")).withColumn(
             "conflicts", clashes.where(F.col("table_name") == name).agg(F.count("*").alias("n")).scalar())
         for name in ("customers", "products", "orders")
     ]
     return reduce(DataFrame.unionByName, counts)
 
 
+def stored_keys(spark: SparkSession, folder: str, table: str, least, greatest) -> DataFrame | None:
+    """row_key and content hash of the stored rows whose key lies in a range (null keys always); None while nothing is stored."""
+    batches = stored_batches(spark, folder)
+    if not batches:
+        return None
+    places = [f"{folder}/_keys/{table}/batch={b}" for b in batches]
+    kind = STAR[table][KEYS[table]].dataType.simpleString()
+    keys = spark.read.schema(f"row_key {kind}, content bigint").parquet(*places)
+    between = F.col("row_key").between(least, greatest) if least is not None else F.lit(False)
+    return keys.where(between | F.col("row_key").isNull())
+
+
 def conflicts(spark: SparkSession, folder: str) -> DataFrame:
     """batch, table_name, row_key and kind of every key that was kept out of the store."""
-    return spark.read.parquet(f"{folder}/_conflicts")
+    places = [f"{folder}/_conflicts/batch={b}" for b in stored_batches(spark, folder) or []]
+    found = spark.read.schema("table_name string, row_key string, kind string").option("basePath", f"{folder}/_conflicts").parquet(*places)
+    return found.select("batch", "table_name", "row_key", "kind")
 
 
 def write_quality_outputs(spark: SparkSession, audit: StarAudit, folder: str) -> dict[str, DataFrame]:

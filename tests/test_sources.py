@@ -45,8 +45,8 @@ def test_load_twice_adds_nothing(spark, files, tmp_path):
         assert rows_of(writers.append_cleaned(spark, clean, target)) == [(name, n, 0) for name, n in expected.items()]
     stored = readers.read_cleaned(spark, target, "orders")
     assert sorted(r.order_id for r in stored.collect()) == ["a", "c"]
-    assert (tmp_path / "store" / "orders" / "order_month=2024-03-01").is_dir()
-    pruned = spark.read.parquet(f"{target}/orders").where("order_month = DATE '2024-03-01'")
+    assert list((tmp_path / "store" / "orders").glob("batch=*/order_month=2024-03-01"))
+    pruned = readers.read_stored(spark, target, "orders").where("order_month = DATE '2024-03-01'")
     assert "PartitionFilters: [isnotnull(order_month" in pruned._jdf.queryExecution().executedPlan().toString()
 
 
@@ -227,3 +227,50 @@ def test_types_of_uploaded_columns(spark, tmp_path):
     (tmp_path / "up.csv").write_text("a,b,c,d,e,f,g\n1,5000000000,1.5,2024-01-02,true,,x\n,2,3,2024-02-03,FALSE,,1\n")
     got = {r.column_name: (r.data_type, r.missing, r.rows) for r in readers.profile_upload(spark, f"{tmp_path}/up.csv").collect()}
     assert got == {"a": ("int", 1, 2), "b": ("bigint", 0, 2), "c": ("double", 0, 2), "d": ("date", 0, 2), "e": ("boolean", 0, 2), "f": ("string", 2, 2), "g": ("string", 0, 2)}
+
+
+def _shop_batch(shop, first, n):
+    """Customers and products 1 to 3, and orders numbered from `first` on."""
+    return {"customers": shop.customers((1,), (2,), (3,)), "products": shop.products((1, "pen", "Office"), (2, "cup", "Home"), (3, "hat", "Wear")),
+            "orders": shop.sales(*[{"order_id": f"{first + i:06d}", "customer_id": 1 + i % 3, "product_id": 1 + i % 3, "order_date": f"2024-0{1 + i % 3}-01"} for i in range(n)])}
+
+
+def test_a_batch_stopped_between_two_tables_is_stored_in_whole_by_the_next_run(spark, shop, tmp_path, monkeypatch):
+    target = str(tmp_path / "store")
+    writers.append_cleaned(spark, _shop_batch(shop, 0, 10), target)
+    real, calls = writers.stage, []
+
+    def stopped(df, path):
+        calls.append(path)
+        if path.endswith("/orders/decided"):
+            raise RuntimeError("stopped")
+        return real(df, path)
+
+    monkeypatch.setattr(writers, "stage", stopped)
+    later = _shop_batch(shop, 100, 10) | {"customers": shop.customers((1,), (4,))}
+    with pytest.raises(RuntimeError, match="stopped"):
+        writers.append_cleaned(spark, later, target)
+    # Its customers are written, yet nobody sees them.
+    assert len(list((tmp_path / "store" / "customers").glob("batch=*"))) == 2
+    assert readers.read_cleaned(spark, target, "customers").count() == 3 and readers.read_cleaned(spark, target, "orders").count() == 10
+    monkeypatch.setattr(writers, "stage", real)
+    for _ in range(2):
+        got = {r.table_name: (r.stored_rows, r.conflicts) for r in writers.append_cleaned(spark, later, target).collect()}
+        assert got == {"customers": (4, 0), "products": (3, 0), "orders": (20, 0)}
+    assert readers.read_cleaned(spark, target, "customers").select("customer_id").distinct().count() == 4
+
+
+def test_a_batch_reads_only_keys_it_may_meet(spark, shop, tmp_path):
+    target = str(tmp_path / "store")
+    for first in (0, 10_000, 20_000):
+        writers.append_cleaned(spark, _shop_batch(shop, first, 300), target)
+    held = writers.stored_keys(spark, target, "orders", "010000", "010299")
+    rows = held.collect()
+    assert {r.row_key for r in rows} == {f"{10_000 + i:06d}" for i in range(300)}
+    plan = held._jdf.queryExecution().executedPlan()
+    assert "GreaterThanOrEqual(row_key,010000)" in plan.toString() and "revenue" not in plan.toString()
+    scan = plan
+    while scan.children().size():
+        scan = scan.children().apply(0)
+    # Of 900 stored keys the files of the other batches give no row.
+    assert scan.metrics().get("numOutputRows").get().value() <= 300
