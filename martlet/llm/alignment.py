@@ -9,7 +9,7 @@ and a B token whose bytes overlap: one for each stretch between two token ends.
 
 Neither tokenizer lets a token reach over the start of a run of white space, so a text
 is cut before each space that follows a visible character, and equal cuts ("chunks")
-are encoded and aligned once in a task.  `Vocabulary` refuses a B model for which this
+are encoded and aligned once while a Python worker remembers them.  `Vocabulary` refuses a B model for which this
 does not hold.
 
 Pass one counts per pair of ids the documents that hold it linked, pre-aggregated per
@@ -37,8 +37,8 @@ ship(__name__)
 
 SENT = 4_000_000       # counted pairs sent to the tasks at most (70 MB)
 SEGMENT = 1_000_000    # characters cut into chunks at a time
-KEPT = 300_000         # chunks a Python worker remembers, at most so many and
 UNIT = 64              # chunks encoded at once
+KEPT = 300_000         # chunks a Python worker remembers, at most so many and
 KEPT_BYTES = 32 << 20  # so many bytes of them
 CUT = re.compile(r"(?<=\S)(?= )")
 BLANK_BEFORE = re.compile(r"\s ")
@@ -136,7 +136,7 @@ class Numbered(dict):
 
 
 class Chunks:
-    """Aligned chunks a task remembers: numbers per chunk, and its links or (with `grouped`) the text of its groups."""
+    """Aligned chunks a Python worker remembers: numbers per chunk, and its links or (with `grouped`) the text of its groups."""
 
     def __init__(self, vocabulary: Vocabulary, grouped: bool, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         self.v, self.grouped, self.counts = vocabulary, grouped, counts
