@@ -53,29 +53,69 @@ def guarded_query(spark: SparkSession, statement: str, **tables: DataFrame) -> D
     return spark.sql(statement, **tables)
 
 
-# Functions that call code or reach outside the tables.
-CALLING = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "session_user",
-           "user", "version", "read_files", "read_kafka", "spark_partition_id"}
+# What a statement may be made of, by class of the parsed plan; anything else is refused.
+PLAN_NODES = {
+    "UnresolvedWith", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedRelation", "OneRowRelation", "Project", "Filter", "Join", "Aggregate",
+    "UnresolvedHaving", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Intersect", "Except", "WithWindowDefinition"}
+EXPRESSIONS = {
+    "Literal", "Alias", "UnresolvedAlias", "UnresolvedAttribute", "UnresolvedStar", "UnresolvedOrdinal", "UnresolvedFunction", "UnresolvedExtractValue",
+    "And", "Or", "Not", "EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "Between", "IsNull", "IsNotNull",
+    "In", "InSubquery", "ListQuery", "ScalarSubquery", "Exists", "Like", "ILike", "RLike", "Add", "Subtract", "Multiply", "Divide", "IntegralDivide", "Remainder",
+    "UnaryMinus", "UnaryPositive", "Concat", "Cast", "CaseWhen", "If", "SortOrder", "WindowExpression", "UnresolvedWindowExpression", "WindowSpecDefinition",
+    "SpecifiedWindowFrame", "UnspecifiedFrame", "UnboundedPreceding", "UnboundedFollowing", "CurrentRow", "WindowSpecReference"}
+FUNCTIONS = {
+    "+", "-", "*", "/", "%", "||", "abs", "add_months", "any_value", "avg", "between", "bool_and", "bool_or", "ceil", "ceiling", "char_length", "coalesce", "concat",
+    "concat_ws", "contains", "corr", "count", "count_if", "cume_dist", "current_date", "date", "date_add", "date_diff", "date_format", "date_part", "date_sub", "date_trunc",
+    "datediff", "day", "dayofmonth", "dayofweek", "dense_rank", "div", "endswith", "exp", "extract", "first", "first_value", "floor", "greatest", "hour", "if", "ifnull",
+    "initcap", "lag", "last", "last_day", "last_value", "lead", "least", "left", "length", "ln", "log", "lower", "ltrim", "make_date", "max", "max_by", "mean", "median",
+    "min", "min_by", "minute", "mod", "month", "months_between", "ntile", "nullif", "nvl", "percent_rank", "percentile", "percentile_approx", "pow", "power", "quarter",
+    "rank", "replace", "right", "round", "row_number", "rtrim", "sign", "split_part", "sqrt", "startswith", "std", "stddev", "stddev_pop", "stddev_samp", "substr", "substring",
+    "sum", "to_date", "trim", "trunc", "try_divide", "upper", "var_pop", "var_samp", "variance", "weekofyear", "year"}
+BUILT_IN = "org.apache.spark.sql.catalyst.expressions."
+
+
+def _items(spark: SparkSession, values) -> list:
+    return list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(values))
 
 
 def _beyond_tables(spark: SparkSession, statement: str, known: set[str]) -> str:
-    """What the parsed statement reads or runs besides the known tables; empty if nothing."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    tree = plan.treeString()
-    own = set(re.findall(r"^\W*CTE \[(.*?)\]", tree, re.M))
-    allowed = known | {name.strip() for names in own for name in names.split(",")}
-    for names in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree):
-        if names.strip() not in allowed:
-            return f"it reads {names}"
-    if re.search(r"ScriptTransformation|ScriptInputOutputSchema|UnresolvedTableValuedFunction", tree):
-        return "it runs a script or a table function"
-    called = set(re.findall(r"'([A-Za-z_0-9.]+)\(", tree)) | set(re.findall(r"\b([a-z_0-9]+)\s*\(", statement.lower()))
+    """What the parsed statement is made of besides the known tables and the listed nodes and functions; empty if nothing."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    except Exception:  # the parser's own error, whatever the statement holds
+        return "it is not one statement that can be parsed"
+    relations, own, called = set(), set(), set()
+    waiting = [(plan, PLAN_NODES)]
+    while waiting:
+        node, listed = waiting.pop()
+        kind = node.getClass().getSimpleName().rstrip("$")
+        if kind not in listed:
+            return f"it holds {kind}"
+        if kind == "UnresolvedRelation":
+            relations.add(".".join(_items(spark, node.multipartIdentifier())))
+        elif kind == "UnresolvedWith":
+            own |= {_items(spark, relation.productIterator().toSeq())[0] for relation in _items(spark, node.cteRelations())}
+        elif kind == "UnresolvedFunction":
+            called.add(".".join(_items(spark, node.nameParts())).lower())
+        if listed is PLAN_NODES:
+            waiting += [(inner, PLAN_NODES) for inner in _items(spark, node.innerChildren())]
+            waiting += [(expression, EXPRESSIONS) for expression in _items(spark, node.expressions())]
+        elif kind in ("ListQuery", "ScalarSubquery", "Exists"):
+            waiting.append((node.plan(), PLAN_NODES))
+        waiting += [(child, listed) for child in _items(spark, node.children())]
+    if relations - known - own:
+        return f"it reads {min(relations - known - own)}"
     for name in sorted(called):
-        if name.lower().rsplit(".", 1)[-1] in CALLING:
+        # A function of this session may bear the name of a listed one.
+        if name not in FUNCTIONS or not _built_in(spark, name):
             return f"it calls {name}"
     return ""
 
 
+def _built_in(spark: SparkSession, name: str) -> bool:
+    return (spark.catalog.getFunction(name).className or "").startswith(BUILT_IN)
+
+
 # --- questions ---------------------------------------------------------------
 
 def _mentions(question: Column, alternatives) -> Column:

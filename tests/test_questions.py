@@ -44,6 +44,31 @@ def test_guarded_query_takes_subqueries_and_named_parts(spark, shop):
     assert [r.region for r in qu.guarded_query(spark, statement, sales=sales).collect()] == ["South"]
 
 
+@pytest.mark.parametrize("statement", [
+    "SELECT SUM(revenue) FROM {sales}; SELECT 1", "SELECT no_such(revenue) FROM {sales}", "SELECT uuid() FROM {sales}", "SELECT system.builtin.sum(revenue) FROM {sales}",
+    "SELECT * FROM {sales} LATERAL VIEW explode(sequence(1, 9)) t AS n", "SELECT * FROM VALUES (1), (2)", "SELECT /*+ BROADCAST(s) */ * FROM {sales} AS s",
+    "SELECT * FROM parquet.`/tmp`", "SELECT * FROM {sales} WHERE EXISTS (SELECT input_file_name() FROM {sales})", "SELECT (revenue FROM {sales}", "SELECT tame(revenue) FROM {sales}",
+    "WITH a AS (SELECT version() AS v FROM {sales}) SELECT * FROM a", "SELECT CASE WHEN revenue > 1 THEN spark_partition_id() END FROM {sales}",
+    "SELECT SUM(revenue) OVER (ORDER BY rand()) FROM {sales}", "SELECT transform(array(1), x -> x) FROM {sales}"])
+def test_guarded_query_refuses_what_is_not_listed(spark, shop, statement):
+    spark.udf.register("tame", lambda v: 1, "int")
+    with pytest.raises(ValueError):
+        qu.guarded_query(spark, statement, sales=shop.sales({"revenue": 5}))
+
+
+@pytest.mark.parametrize("statement", [
+    "SELECT region, SUM(revenue) AS r, COUNT(*) AS n, COUNT(DISTINCT customer_id) AS c FROM {sales} WHERE order_date BETWEEN DATE '2024-01-01' AND current_date() "
+    "AND region LIKE 'N%' GROUP BY region HAVING SUM(revenue) > 1 ORDER BY r DESC, region LIMIT 5",
+    "WITH a AS (SELECT region, year(order_date) AS y, -revenue / 2 AS half FROM {sales}), b AS (SELECT * FROM a) SELECT a.region, CASE WHEN a.half < 0 THEN 'x' ELSE NULL END AS k, "
+    "CAST(a.half AS int) AS i, rank() OVER (PARTITION BY a.region ORDER BY a.half DESC) AS p FROM a LEFT JOIN b ON a.region = b.region AND b.y <> 3 WHERE a.region IN ('North', 'x') OR a.half IS NULL",
+    "SELECT DISTINCT region FROM {sales} UNION ALL SELECT region FROM {sales} s WHERE EXISTS (SELECT 1 FROM {sales} o WHERE o.region = s.region) AND NOT region IN (SELECT region FROM {sales} WHERE revenue < 0)",
+    "SELECT SUM(revenue) OVER (ORDER BY order_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running, extract(MONTH FROM order_date) AS m, round(revenue * 1.5, 1) AS x, "
+    "concat(region, '-', upper(payment_method)) || 'z' AS t FROM (SELECT * FROM {sales}) AS q",
+    "SELECT coalesce(nullif(region, ''), 'none') AS r, revenue % 2 AS odd, substring(region, 1, 2) AS s, trim(region) AS u FROM {sales} ORDER BY 1"])
+def test_guarded_query_runs_plain_questions(spark, shop, statement):
+    assert qu.guarded_query(spark, statement, sales=shop.sales({"revenue": 5, "region": "North"})).count() > 0
+
+
 def test_losing_products_are_counted_before_the_list_is_cut(shop):
     sales = shop.sales(*[{"product_id": i, "revenue": 10, "cost": 20 + i} for i in range(12)])
     goods = shop.products(*[(i, f"p{i}", "c") for i in range(12)])
