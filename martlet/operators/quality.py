@@ -8,6 +8,7 @@ rows, reasons and counts stay available.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import date
 from functools import reduce
@@ -133,6 +134,7 @@ class Audit:
     outlier: str | None = None
     expected_blank: list[str] = field(default_factory=list)
     dates: list[str] = field(default_factory=list)
+    counted: DataFrame | None = None   # the counters, where they were taken while the rows were written
 
     def rejected_flag(self) -> Column:
         return reduce(lambda a, b: a | b, [F.col(FLAG + c) for c in self.rejecting])
@@ -148,14 +150,15 @@ class Audit:
     def _audited_columns(self) -> list[str]:
         return [c for c in self.columns if c not in self.expected_blank]
 
-    def counts(self) -> DataFrame:
-        """One row: all counters of the table from a single pass."""
+    def counters(self) -> list[Column]:
         flags = sorted({f for line in self.lines for f in line.flags})
-        return self.rows.agg(
-            F.count("*").alias("total"), F.count_if(self.rejected_flag()).alias("invalid"),
-            *[F.count_if(F.col(FLAG + f)).alias(f"hit_{f}") for f in flags],
-            *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in self._audited_columns()],
-        )
+        return [F.count(F.lit(1)).alias("total"), F.count_if(self.rejected_flag()).alias("invalid"),
+                *[F.count_if(F.col(FLAG + f)).alias(f"hit_{f}") for f in flags],
+                *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in self._audited_columns()]]
+
+    def counts(self) -> DataFrame:
+        """One row: all counters of the table from a single pass, or from the write of its rows."""
+        return self.rows.agg(*self.counters()) if self.counted is None else self.counted
 
     def report(self, counts: DataFrame | None = None) -> DataFrame:
         columns = self._audited_columns()
@@ -278,6 +281,7 @@ class StarAudit:
     customers: Audit
     products: Audit
     orders: Audit
+    judge_orders: Callable[[DataFrame, DataFrame], Audit]   # the orders against other cleaned customers and products
 
     def __iter__(self):
         return iter((self.customers, self.products, self.orders))
@@ -286,7 +290,11 @@ class StarAudit:
 def audit_star(raw_customers: DataFrame, raw_products: DataFrame, raw_orders: DataFrame, as_of: date,
                regions: list[str] = VALID_REGIONS) -> StarAudit:
     c, p = audit_customers(raw_customers, as_of, regions), audit_products(raw_products)
-    return StarAudit(c, p, audit_orders(raw_orders, c.cleaned(), p.cleaned(), as_of))
+
+    def judge_orders(customers: DataFrame, products: DataFrame) -> Audit:
+        return audit_orders(raw_orders, customers, products, as_of)
+
+    return StarAudit(c, p, judge_orders(c.cleaned(), p.cleaned()), judge_orders)
 
 
 def transformation_log(audit: StarAudit) -> DataFrame:

@@ -267,7 +267,8 @@ def _fresh(t: Star, what: str) -> str:
 
 
 def _loaded(t: Star) -> tuple[quality.StarAudit, str, DataFrame]:
-    audit, folder = star_audit(t), _fresh(t, "cleaned")
+    folder = _fresh(t, "cleaned")
+    audit = writers.judge(star_audit(t), f"{folder}/judged")
     tables = {a.table: a.cleaned() for a in audit}
     return audit, folder, writers.append_cleaned(t.spark, tables, folder)
 

@@ -6,8 +6,9 @@ import uuid
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from ..operators.quality import StarAudit, with_overall_score
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+
+from ..operators.quality import Audit, StarAudit, with_overall_score
 from .readers import read_stored, stored_batches
 from .schemas import KEYS, STAR
 
@@ -96,23 +97,36 @@ def conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("batch", "table_name", "row_key", "kind")
 
 
+def judge(audit: StarAudit, folder: str) -> StarAudit:
+    """The audit with every table's judged rows written once, and its counters taken on that write.
+
+    Orders are judged against the stored customers and products, so no check runs
+    twice.  The counters stand where the rows leave for the files: the metric of a
+    task counts once, whatever is tried again.
+    """
+    def stored(part: Audit) -> Audit:
+        metrics = Observation()
+        rows = stage(part.rows.observe(metrics, *part.counters()), f"{folder}/{part.table}")
+        counts = {name: int(n) for name, n in metrics.get.items()}
+        counted = rows.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"`{name}` bigint" for name in counts))
+        return replace(part, rows=rows, counted=counted)
+
+    customers, products = stored(audit.customers), stored(audit.products)
+    orders = stored(audit.judge_orders(customers.cleaned(), products.cleaned()))
+    return replace(audit, customers=customers, products=products, orders=orders)
+
+
 def write_quality_outputs(spark: SparkSession, audit: StarAudit, folder: str) -> dict[str, DataFrame]:
     """Cleaned and rejected rows, change log and report, each as a dataset.
 
-    The checks of a table run once: its judged rows are written with their
-    flags, and all outputs are narrow reads of that written table, so a lost
-    executor costs a re-read, not a second audit.
+    The checks of a table run once (`judge`); all outputs are narrow reads of the
+    judged rows, so a lost executor costs a re-read, not a second audit.
     """
-    logs, reports = [], []
-    for part in audit:
-        judged = f"{folder}/judged/{part.table}"
-        part.rows.write.mode("overwrite").parquet(judged)
-        stored = replace(part, rows=spark.read.parquet(judged))
-        stored.cleaned().write.mode("overwrite").parquet(f"{folder}/cleaned/{part.table}")
-        stored.rejected().write.mode("overwrite").parquet(f"{folder}/rejected/{part.table}")
-        counts = stored.counts()
-        logs.append(stored.log(counts))
-        reports.append(stored.report(counts))
+    judged = judge(audit, f"{folder}/judged")
+    for part in judged:
+        part.cleaned().write.mode("overwrite").parquet(f"{folder}/cleaned/{part.table}")
+        part.rejected().write.mode("overwrite").parquet(f"{folder}/rejected/{part.table}")
+    logs, reports = [part.log() for part in judged], [part.report() for part in judged]
     reduce(DataFrame.unionByName, logs).write.mode("overwrite").parquet(f"{folder}/transformation_log")
     report = with_overall_score(reduce(DataFrame.unionByName, reports))
     report.write.mode("overwrite").json(f"{folder}/quality_report")

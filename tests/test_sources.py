@@ -64,6 +64,20 @@ def test_quality_outputs_come_from_the_stored_audit(spark, files, tmp_path):
     assert {tuple(r) for r in out["transformation_log"].collect()} == direct
 
 
+def test_judged_rows_are_counted_while_they_are_written(spark, files, tmp_path):
+    from datetime import date
+    raw = readers.read_star(spark, files)
+    for name, tables in (("given", raw), ("empty", {n: df.where("false") for n, df in raw.items()})):
+        direct = quality.audit_star(tables["customers"], tables["products"], tables["orders"], date(2026, 1, 1))
+        judged = writers.judge(direct, str(tmp_path / name))
+        for one, other in zip(judged, direct):
+            assert one.counts().first().asDict() == other.counts().first().asDict()
+            assert "Scan parquet" not in one.counts()._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, one.rows.collect())) == sorted(map(str, other.rows.collect()))
+        plan = judged.orders.cleaned()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
 def test_conflicting_keys_stay_out_of_the_store(spark, files, tmp_path):
     from datetime import date
     tables = readers.read_star(spark, files)
