@@ -54,3 +54,53 @@ def test_the_pages_a_template_needs_stop_rising_with_the_host(spark):
     df = spark.createDataFrame(given, "page_id long, url string, html string")
     assert {r["text"] for r in templates.main_texts(df, enough=10).collect()} == {f"own {i}" for i in range(1000)}
     assert sum("banner" in r["text"] for r in templates.main_texts(df, enough=11).collect()) == 10
+
+
+ARTICLE = "<h1>T</h1><p>the text</p>"
+
+
+@pytest.mark.parametrize("html", [
+    f"<div class='layout has-sidebar'><article>{ARTICLE}</article></div>",
+    f"<body class='single comments-open'><article>{ARTICLE}</article></body>",
+    f"<article class='post comments-open'>{ARTICLE}</article>",
+    f"<form id=aspnet><nav>n</nav><article>{ARTICLE}</article></form>",
+    f"<form id=aspnet><nav>n</nav><div>{ARTICLE}</div><footer>f</footer></form>",
+    f"<div class=has-sidebar><article>{ARTICLE}</article><div class=related><article>teaser</article></div><aside><article>a longer teaser than the text</article></aside></div>",
+    f"<article>{ARTICLE}</article><div class=related><article>a teaser that is longer than the text itself</article></div>",
+    f"<main>{ARTICLE}<section class=reader-responses><p>first!</p></section><div id=x><article class=comment>a comment longer than all of it</article></div></main>",
+    f"<script src=https://cdn/x/>var a=1;</script><div>{ARTICLE}</div>",
+    f"<noscript><div>{ARTICLE}</div>", f"<svg><article>{ARTICLE}</article>", f"<object><template>{ARTICLE}",
+    f"<svg/><style/>p</style><article>{ARTICLE}</article>",
+])
+def test_words_and_unclosed_elements_take_no_article_along(html):
+    assert templates.main_text(templates.parse(html, "h"), lambda h: False) == "T\n\nthe text"
+
+
+def test_formulas_are_text():
+    page = "<article><p>let <math><mi>x</mi><annotation>\\x</annotation></math> be</p></article>"
+    assert templates.main_text(templates.parse(page, "h"), lambda h: False) == "let x be"
+
+
+def test_bars_inside_articles_go_by_counting_and_copied_lists_stay(spark):
+    bar, author, copied = "<div>tell a friend</div>", "<section class=bio><p>Ann writes here</p></section>", "<p>see</p><ul><li>one</li></ul><p>end</p>"
+    own = [(i, f"<main><h1>{i}</h1>{bar}<p>own {i}</p>{author if i % 2 else ''}</main>", f"{i}\n\nown {i}") for i in range(12)]
+    copies = [(100 + i, f"<main><h1>{i}</h1>{copied}<p>{i}</p></main>", f"{i}\n\nsee\n\none\n\nend\n\n{i}") for i in range(12)]
+    few = [(200 + i, f"<main><p>few {i}</p><div>on four pages</div></main>", f"few {i}\n\non four pages") for i in range(4)]
+    given = own + copies + few
+    df = spark.createDataFrame([(i, "http://h/", page) for i, page, _ in given], "page_id long, url string, html string")
+    for sent in (1_000_000, 0):
+        assert {r["page_id"]: r["text"] for r in templates.main_texts(df, most_sent=sent).collect()} == {i: text for i, _, text in given}
+
+
+def test_templates_are_those_that_plain_counting_finds(spark):
+    pieces = [f"<div>piece {i}</div>" for i in range(9)]
+    pages = {(i, f"http://h{i % 2}/"): [p for j, p in enumerate(pieces) if i % (j + 2) == 0] for i in range(40)}
+    counts: dict = {}
+    for (i, url), parts in pages.items():
+        for p in parts:
+            counts.setdefault((url, p), set()).add(i)
+    df = spark.createDataFrame([(i, url, "".join(parts) + f"<p>{i}</p>") for (i, url), parts in pages.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in templates.main_texts(df, many=5, share=0.2).collect()}
+    for (i, url), parts in pages.items():
+        left = [p[5:-6] for p in parts if not (len(counts[url, p]) >= 5 and len(counts[url, p]) >= 20 * 0.2)]
+        assert got[i] == "\n\n".join([*left, str(i)])
