@@ -15,7 +15,6 @@ from martlet.plans.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ID = "__row_id"
 
 
 def ship(module: str) -> None:
@@ -72,14 +71,3 @@ def words_of(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """The fold that no label is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is in the column doc_id of `ids`; null equals null.  All columns of `docs` stay."""
-    other = ids.select(F.col("doc_id").alias(ID))
-    return docs.join(other, docs["doc_id"].eqNullSafe(other[ID]), "left_semi")
-
-
-def drop_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    other = ids.select(F.col("doc_id").alias(ID))
-    return docs.join(other, docs["doc_id"].eqNullSafe(other[ID]), "left_anti")

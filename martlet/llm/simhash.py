@@ -75,8 +75,9 @@ def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every row; null and blank texts have fingerprint 0."""
-    return docs.select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fp"))
+    """doc_id, fp (the 64 bits as a long) and t (hash of the text) of every row; null and blank texts have fingerprint 0."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", fingerprint(text).alias("fp"), F.xxhash64(text).alias("t"))
 
 
 def _filed(prints: DataFrame) -> DataFrame:
@@ -126,6 +127,21 @@ def links(prints: DataFrame, paired: int = PAIRED, group: int = GROUP) -> DataFr
     return pairs.unionByName(spans)
 
 
+def document_groups(docs: DataFrame, paired: int = PAIRED, group: int = GROUP) -> DataFrame:
+    """doc_id, t (hash of the text), fp, root and component_id of every document.
+
+    root, a fingerprint, names the component also where component_id doesn't: rows that
+    repeat an id with other texts can be in several components.
+    """
+    prints = stage(fingerprints(docs))
+    roots = components(links(prints, paired, group))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    nodes = stage(nodes.withColumn("root", F.coalesce("root", "fp")))
+    firsts = stage(nodes.groupBy("root").agg(F.min("first").alias("component_id")))
+    groups = stage(nodes.join(firsts, "root").select("fp", "root", "component_id"))
+    return prints.join(groups, "fp").select("doc_id", "t", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, paired: int = PAIRED, group: int = GROUP) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document.
 
@@ -134,10 +150,5 @@ def near_duplicates(docs: DataFrame, paired: int = PAIRED, group: int = GROUP) -
     Null ids take part in links but are never a component_id (null if a component has
     no other id).  One row per input row; an empty table gives none.
     """
-    prints = stage(fingerprints(docs))
-    roots = components(links(prints, paired, group))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    nodes = stage(nodes.withColumn("root", F.coalesce("root", "fp")))
-    firsts = stage(nodes.groupBy("root").agg(F.min("first").alias("component_id")))
-    groups = stage(nodes.join(firsts, "root").select("fp", "component_id"))
-    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = document_groups(docs, paired, group)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

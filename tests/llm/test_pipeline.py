@@ -14,8 +14,8 @@ from martlet.llm.oracle import SQL  # noqa: E402
 FOLDER = "/root/testdata/sf0.001"
 
 
-def test_every_query_is_one_of_the_ten():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(SQL) <= set(queries.QUERIES)
+def test_every_query_is_one_of_the_thirteen():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14)) and set(SQL) <= set(queries.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -99,3 +99,12 @@ def test_benchmark_and_mixing_decide_rows_without_id_or_with_a_repeated_one_each
         words[r["source"]] += r["taken"]
     targets = {r["source"]: r["target"] for r in out}
     assert 0 < len(out) < len(clean) and all(abs(words[s] - targets[s]) <= max(sizes.values()) for s in words)
+
+
+def test_near_duplicates_lose_no_text_under_a_repeated_id_and_rerun_alike(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in ("anna", "bert", "carl"))
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "w"), (2, a, "q"), (2, c, "z"), (None, b, "q"), (None, "no other one like it", "q"), (None, "no other one like it", "p"), (3, a, "q")]
+    stays = [(1, a, "w"), (1, b, "x"), (2, c, "z"), (None, "no other one like it", "p")]
+    for turn in (1, -1):
+        docs = spark.createDataFrame(rows[::turn], "doc_id long, text string, source string")
+        assert sorted(map(str, map(tuple, corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()))) == sorted(map(str, stays))
