@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exact
-from .products import sums
+from .products import named_cells, sums
 
 # Window, thresholds, metric names and texts.
 WINDOW = 14
@@ -20,6 +20,20 @@ NO_ORDERS = "no orders that day"
 CONTRIBUTORS = 3
 
 _AMOUNT = "decimal(24,2)"
+CELLS = "order_date date, region string, category string, revenue decimal(24,2), profit decimal(24,2), orders bigint, returned bigint"
+
+
+def daily_cells(sales: DataFrame, products: DataFrame) -> DataFrame:
+    """Revenue, profit, orders and returned orders per day, region and category.
+
+    Daily metrics and contributors can read these cells instead of order lines.  Lines
+    of unknown products have no category and no profit; they count in the rest.  Lines
+    without a day are left out.
+    """
+    measures = ["revenue", "profit", "orders", "returned"]
+    named = named_cells(sales.where(F.col("order_date").isNotNull()), products, ["category"], measures, ["order_date", "region"], "left")
+    kinds = {"revenue": _AMOUNT, "profit": _AMOUNT, "orders": "bigint", "returned": "bigint"}
+    return named.groupBy("order_date", "region", "category").agg(*[F.sum(m).cast(kinds[m]).alias(m) for m in measures])
 
 
 def daily_metrics(sales: DataFrame, customers: DataFrame) -> DataFrame:
@@ -103,16 +117,17 @@ def iqr_flags(daily: DataFrame, metrics: list[str] = METRICS, whisker: str = "1.
 def anomaly_contributors(days: DataFrame, sales: DataFrame, products: DataFrame) -> DataFrame:
     """For the given days, their three largest region/category revenues as one text.
 
-    `days` holds calendar days, so broadcasting it is bounded; it keeps all
+    `sales` are order lines, or the daily cells of these.  `days` holds calendar days, so broadcasting it is bounded; it keeps all
     other days' lines out of the shuffle.
     """
     chosen = days.select(F.col("date").alias("order_date")).distinct()
     lines = sales.join(F.broadcast(chosen), "order_date", "left_semi")
-    per_product = lines.groupBy("order_date", "region", "product_id").agg(F.sum("revenue").alias("revenue"))
-    slices = (
-        per_product.join(products.select("product_id", "category"), "product_id")
-        .groupBy("order_date", "region", "category").agg(F.sum("revenue").alias("revenue"))
-    )
+    if "category" in sales.columns:
+        named = lines.where(F.col("category").isNotNull())
+    else:
+        per_product = lines.groupBy("order_date", "region", "product_id").agg(F.sum("revenue").alias("revenue"))
+        named = per_product.join(products.select("product_id", "category"), "product_id")
+    slices = named.groupBy("order_date", "region", "category").agg(F.sum("revenue").alias("revenue"))
     place = F.row_number().over(Window.partitionBy("order_date").orderBy(F.desc("revenue"), "region", "category"))
     amount = F.format_number(exact.half_up(exact.cents(F.col("revenue")), F.lit(100).cast(exact.WHOLE)), 0)
     top = slices.withColumn("place", place).where(F.col("place") <= CONTRIBUTORS).select(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import advice, anomalies, churn, products as pr, quality, segments as sg
 from ..sources import readers, writers
+from . import cube
 from .session import prepare
 
 
@@ -46,12 +47,14 @@ def derive(spark: SparkSession, out: str) -> dict[str, DataFrame]:
 
     segments = writers.stage(sg.rfm_segments(sg.rfm_scores(sg.rfm_base(sales, customers))), f"{results}/customer_segments")
     features = writers.stage(churn.churn_features(sales, customers), f"{results}/churn_features")
-    daily = writers.stage(anomalies.daily_metrics(sales, customers), f"{results}/daily_metrics")
+    cube.refresh(spark, f"{out}/store", f"{out}/cube")
+    cells = cube.read(spark, f"{out}/cube")
+    daily = writers.stage(anomalies.daily_metrics(cells, customers), f"{results}/daily_metrics")
     summary = writers.stage(pr.monthly_summary(sales, products), f"{results}/monthly_summary")
     spending = segments.select("customer_id", F.col("monetary").alias("revenue"))
     writers.publish({
         "segment_profile": sg.segment_profile(segments),
-        "anomalies": anomalies.detect_anomalies(daily, sales, products),
+        "anomalies": anomalies.detect_anomalies(daily, cells, products),
     }, results)
     # The store's customers with their segments: what reads the store finds them there.
     writers.publish({"customers_segmented": sg.apply_segments(customers, segments)}, f"{out}/store")

@@ -13,6 +13,7 @@ from .functions.copies import mark_later_copies
 from .functions.exact import portable
 from .operators import (advice, anomalies, churn, customers, dashboards, measures, operations, products, quality,
                         questions, rootcause, sales, segments)
+from .plans import cube
 from .plans.session import shared_folder
 from .sources import raw, readers, writers
 from .sources.schemas import KEYS, RAW
@@ -505,10 +506,11 @@ def churn_model_io(t: Star) -> DataFrame:
 
 def write_ml_outputs(t: Star) -> DataFrame:
     folder = _fresh(t, "results")
-    daily = _daily(t)
-    writers.publish({"churn_features": _features(t), "customer_segments": _segments(t), "daily_metrics": daily}, folder)
+    cells = _cube(t)
+    writers.publish({"churn_features": _features(t), "customer_segments": _segments(t),
+                     "daily_metrics": anomalies.daily_metrics(cells, t.customers())}, folder)
     writers.publish({"segment_profile": segments.segment_profile(t.spark.read.parquet(f"{folder}/customer_segments")),
-                     "anomalies": _anomalies(t, t.spark.read.parquet(f"{folder}/daily_metrics"))}, folder)
+                     "anomalies": _anomalies(t, cells)}, folder)
     return writers.stored_rows(t.spark, folder, [
         "churn_features", "customer_segments", "segment_profile", "daily_metrics", "anomalies"])
 
@@ -541,9 +543,20 @@ def _daily(t: Star) -> DataFrame:
     return anomalies.daily_metrics(cells, t.customers())
 
 
-def _anomalies(t: Star, daily: DataFrame | None = None) -> DataFrame:
-    lines = t.sales("order_date", "region", "product_id", "revenue")
-    return anomalies.detect_anomalies(daily if daily is not None else _daily(t), lines, t.products())
+def _daily_cells(t: Star) -> DataFrame:
+    return anomalies.daily_cells(t.sales(*PRODUCT_FACT, "order_date", "region", "return_status"), t.products())
+
+
+def _cube(t: Star) -> DataFrame:
+    """The stored daily cube: one scan of the fact for daily metrics and contributors."""
+    folder = _fresh(t, "cube")
+    cube.write(_daily_cells(t), folder)
+    return cube.read(t.spark, folder)
+
+
+def _anomalies(t: Star, cells: DataFrame | None = None) -> DataFrame:
+    cells = cells if cells is not None else _cube(t)
+    return anomalies.detect_anomalies(anomalies.daily_metrics(cells, t.customers()), cells, t.products())
 
 
 def anomaly_contributors(t: Star) -> DataFrame:
@@ -551,6 +564,7 @@ def anomaly_contributors(t: Star) -> DataFrame:
     return anomalies.anomaly_contributors(measures.date_table(t.sales("order_date")), lines, t.products())
 
 
+add("daily_cells", _cube)
 add("daily_metrics", _daily)
 add("rolling_zscore", lambda t: anomalies.rolling_zscore(_daily(t)))
 add("rolling_mean", lambda t: anomalies.rolling_mean(_daily(t)))

@@ -257,6 +257,10 @@ UNION ALL SELECT 'customer_segments', {big('(SELECT COUNT(*) FROM segments)')}
 UNION ALL SELECT 'segment_profile', {big('(SELECT COUNT(DISTINCT segment) FROM segments)')}
 UNION ALL SELECT 'daily_metrics', {big('(SELECT COUNT(*) FROM daily)')}
 UNION ALL SELECT 'anomalies', {big('(SELECT COUNT(*) FROM anomalies)')}""", RFM, DAILY, LONG, SCORED),
+    "daily_cells": star(f"""
+SELECT order_date, region, category, {money(cs('revenue'))} AS revenue, {money(cs('profit'))} AS profit, {big('COUNT(*)')} AS orders,
+       {big("COUNT(*) FILTER (WHERE return_status = 'Returned')")} AS returned
+FROM sales LEFT JOIN products USING (product_id) GROUP BY ALL"""),
     "daily_metrics": star(f"""
 SELECT date, {money('revenue')} AS revenue, {money('profit')} AS profit, {big('orders')} AS orders, {big('returns')} AS returns,
        {big('new_customers')} AS new_customers FROM daily""", DAILY),
