@@ -506,7 +506,7 @@ def churn_model_io(t: Star) -> DataFrame:
 
 def write_ml_outputs(t: Star) -> DataFrame:
     folder = _fresh(t, "results")
-    cells = _cube(t)
+    cells = _stored_cells(t)
     writers.publish({"churn_features": _features(t), "customer_segments": _segments(t),
                      "daily_metrics": anomalies.daily_metrics(cells, t.customers())}, folder)
     writers.publish({"segment_profile": segments.segment_profile(t.spark.read.parquet(f"{folder}/customer_segments")),
@@ -547,15 +547,20 @@ def _daily_cells(t: Star) -> DataFrame:
     return anomalies.daily_cells(t.sales(*PRODUCT_FACT, "order_date", "region", "return_status"), t.products())
 
 
-def _cube(t: Star) -> DataFrame:
-    """The stored daily cube: one scan of the fact for daily metrics and contributors."""
+def _stored_cells(t: Star) -> DataFrame:
+    """One scan of the fact for daily metrics and contributors."""
+    return writers.stage(_daily_cells(t), f"{_fresh(t, 'cells')}/daily_cells")
+
+
+def daily_cells(t: Star) -> DataFrame:
+    """The cube as the batch stores it, by months."""
     folder = _fresh(t, "cube")
     cube.write(_daily_cells(t), folder)
     return cube.read(t.spark, folder)
 
 
 def _anomalies(t: Star, cells: DataFrame | None = None) -> DataFrame:
-    cells = cells if cells is not None else _cube(t)
+    cells = cells if cells is not None else _stored_cells(t)
     return anomalies.detect_anomalies(anomalies.daily_metrics(cells, t.customers()), cells, t.products())
 
 
@@ -564,7 +569,7 @@ def anomaly_contributors(t: Star) -> DataFrame:
     return anomalies.anomaly_contributors(measures.date_table(t.sales("order_date")), lines, t.products())
 
 
-add("daily_cells", _cube)
+add("daily_cells", daily_cells)
 add("daily_metrics", _daily)
 add("rolling_zscore", lambda t: anomalies.rolling_zscore(_daily(t)))
 add("rolling_mean", lambda t: anomalies.rolling_mean(_daily(t)))
