@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,11 +10,12 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import exact
 from ..functions.order_stats import attach, bucket_levels, order_statistics, quantile_edges
 from ..functions.shared import latest_row
+from ..plans.session import shared_folder
 
 # Windows, feature names, model settings and risk bands.
 CHURN_WINDOW_DAYS = 120
@@ -140,7 +142,7 @@ def churn_logistic(train: DataFrame) -> PipelineModel:
     """L2 logistic regression; a penalty of 1 on the summed loss is 1/n on the mean loss."""
     model = LogisticRegression(featuresCol="features", labelCol=TARGET, maxIter=MAX_ITERATIONS,
                                regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0, standardization=False)
-    return Pipeline(stages=[*preprocessing(), model]).fit(train)
+    return _without_summary(train.sparkSession, Pipeline(stages=[*preprocessing(), model]).fit(train))
 
 
 def churn_forest(train: DataFrame) -> PipelineModel:
@@ -153,7 +155,19 @@ def churn_forest(train: DataFrame) -> PipelineModel:
         "weight", F.col("weights.all").cast("double") / (F.col("weights.labels") * own)).drop("weights")
     model = RandomForestClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight", numTrees=TREES,
                                    maxDepth=TREE_DEPTH, featureSubsetStrategy="sqrt", seed=SEED)
-    return Pipeline(stages=[*preprocessing(), model]).fit(balanced)
+    return _without_summary(train.sparkSession, Pipeline(stages=[*preprocessing(), model]).fit(balanced))
+
+
+def _without_summary(spark: SparkSession, fitted: PipelineModel) -> PipelineModel:
+    """The model as it is stored and read again.
+
+    A freshly fitted classifier keeps its training summary, and with that the session,
+    which goes to every task that scores with it.  A session in which an `Observation`
+    was taken cannot be sent ("Task not serializable"); a stored model has no summary.
+    """
+    path = f"{shared_folder(spark)}/fitted-{uuid.uuid4().hex}"
+    save_model(fitted, path)
+    return load_model(path)
 
 
 def churn_evaluate(model: PipelineModel, name: str, test: DataFrame) -> DataFrame:

@@ -69,6 +69,26 @@ def test_models_score_every_customer(spark, monkeypatch):
     assert {r.feature for r in impact} > set(churn.NUMERIC)
 
 
+def test_models_score_after_an_observation(spark, monkeypatch):
+    """A session that took one cannot be sent to tasks, so no model may hold it."""
+    from pyspark.sql import Observation
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    monkeypatch.setattr(churn, "TREES", 3)
+    features = spark.createDataFrame(
+        [(i, "North" if i % 3 else "South", 30 + i % 20, 1 + i % 4, 10.0 * i, 10.0 + i % 7, 0.1 * (i % 3), 5, i % 30, int(i % 5 > 1)) for i in range(1, 81)],
+        "customer_id bigint, region string, age int, frequency bigint, monetary double, avg_order_value double, "
+        "return_frequency double, recency_days int, customer_tenure_days int, churned int")
+    rows = churn.model_input(features)
+    for name, fit in ((churn.LOGISTIC, churn.churn_logistic), (churn.FOREST, churn.churn_forest)):
+        model = fit(rows)
+        (row,) = churn.churn_evaluate(model, name, rows).collect()
+        assert sum(map(sum, row.confusion_matrix)) == 80 and 0.5 < row.roc_auc <= 1
+        assert churn.churn_score(model, features).where("churn_probability BETWEEN 0 AND 1").count() == 80
+        assert not model.stages[-1].hasSummary
+
+
 def test_unknown_region_is_all_zeros(spark, shop):
     rows = [(i, "North" if i % 2 else "South", 30 + i, i, 10.0 * i, 10.0, 0.1, 5, 9, i % 2) for i in range(1, 9)]
     kinds = ("customer_id bigint, region string, age int, frequency bigint, monetary double, avg_order_value double, "
