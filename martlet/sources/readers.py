@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -81,32 +83,46 @@ def read_segmented(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/customers_segmented").select(*STAR["customers"].names)
 
 
-# Types an uploaded column may have, in the order in which they are tried; dates and times only as usually written.
-TYPES = {"int": None, "bigint": None, "double": None, "date": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "timestamp": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9:.]+", "boolean": r"(?i)^(true|false)$"}
+# Types an uploaded column may have, in the order in which they are tried, and how their values look.  A number's
+# pattern fits every text that can be read as one: a failing cast is slow, so texts of other looks are not cast.
+# Dates and times count only as usually written.
+_AROUND = r"[\x00-\x20\x7F-\uFFFF]*"
+_WHOLE = rf"^{_AROUND}[+-]?[0-9]*{_AROUND}$"
+TYPES = {"int": _WHOLE, "bigint": _WHOLE,
+         "double": rf"(?i)^{_AROUND}[+-]?([0-9]*\.?[0-9]*(e[+-]?[0-9]+)?|0x[0-9a-f.]*p[+-]?[0-9]+|nan|inf|infinity)[fd]?{_AROUND}$",
+         "date": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "timestamp": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9:.]+", "boolean": r"(?i)^(true|false)$"}
 
 
 def _read_as(text: Column, kind: str) -> Column:
-    written = F.when(text.rlike(TYPES[kind]), text) if TYPES[kind] else text
-    return written.try_cast(kind)
+    return F.when(text.rlike(TYPES[kind]), text).try_cast(kind)
+
+
+def _unread(text: Column) -> Column:
+    """One bit per type that a text cannot be read as; null for a missing value."""
+    bits = {name: 1 << i for i, name in enumerate(TYPES)}
+    each = reduce(Column.bitwiseOR, [F.when(_read_as(text, name).isNull(), bit).otherwise(0) for name, bit in bits.items()])
+    # Plain whole numbers, the usual case, are numbers of all three types and nothing else.
+    plain = F.lit(bits["date"] | bits["timestamp"] | bits["boolean"])
+    return F.when(text.rlike(r"^-?[0-9]{1,9}\z"), plain).when(text.isNotNull(), each)
 
 
-def _type_of(text: Column) -> Column:
-    """Aggregate: the first type all values of a text column can be read as; a column without values is text."""
-    kind = F.lit("string")
-    for name in reversed(TYPES):
-        unread = F.count_if(text.isNotNull() & _read_as(text, name).isNull())
-        kind = F.when(unread == 0, F.lit(name)).otherwise(kind)
-    return F.when(F.count(text) == 0, F.lit("string")).otherwise(kind)
+def _type_of(unread: Column) -> Column:
+    """Aggregate of `_unread`: the first type all values can be read as; a column without values is text."""
+    ever, kind = F.bit_or(unread), F.lit("string")
+    for i, name in reversed(list(enumerate(TYPES))):
+        kind = F.when(ever.bitwiseAND(1 << i) == 0, F.lit(name)).otherwise(kind)
+    return F.when(ever.isNull(), F.lit("string")).otherwise(kind)
 
 
 def profile_upload(spark: SparkSession, path: str) -> DataFrame:
     """Column name, inferred type, rows and missing values of a CSV file: one aggregate over its records."""
     uploaded = _uploaded(spark, path)
-    counts = uploaded.agg(
+    judged = uploaded.select(*[_unread(F.col(f"`{name}`")).alias(f"c{i}") for i, name in enumerate(uploaded.columns)])
+    counts = judged.agg(
         F.count("*").alias("rows"),
-        F.array(*[F.struct(F.lit(name).alias("column_name"), _type_of(F.col(f"`{name}`")).alias("data_type"),
-                           F.count_if(F.col(f"`{name}`").isNull()).alias("missing"))
-                  for name in uploaded.columns]).alias("profile"))
+        F.array(*[F.struct(F.lit(name).alias("column_name"), _type_of(F.col(f"c{i}")).alias("data_type"),
+                           F.count_if(F.col(f"c{i}").isNull()).alias("missing"))
+                  for i, name in enumerate(uploaded.columns)]).alias("profile"))
     return counts.select("rows", F.explode("profile").alias("p")).select("p.*", "rows")
 
 

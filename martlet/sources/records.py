@@ -13,9 +13,13 @@ need the one-task reader.  Lines end with \\n or \\r\\n.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 BLOCK = ["file", "block"]
+# With these options a record without quotes is its text as it stands, cut at the commas.
+PLAIN = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "multiLine": "true"}
 FILES = 100_000   # places of so many headers are sent to the tasks at most
 
 
@@ -62,7 +66,8 @@ def _joined(lines: DataFrame) -> DataFrame:
 def _records(lines: DataFrame) -> DataFrame:
     """value, file, block and row (of its first line) of every record; empty lines are none.  Looks through the file once to see whether lines must be joined."""
     found = lines.drop("odd") if lines.where("odd = 1").isEmpty() else _joined(lines)
-    return found.withColumn("value", F.regexp_replace("value", r"\r$", "")).where("value != ''")
+    ended = F.when(F.contains("value", F.lit("\r")), F.regexp_replace("value", r"\r$", "")).otherwise(F.col("value"))
+    return found.withColumn("value", ended).where("value != ''")
 
 
 def read_split(spark: SparkSession, path: str, options: dict[str, str]) -> DataFrame:
@@ -81,8 +86,12 @@ def read_split(spark: SparkSession, path: str, options: dict[str, str]) -> DataF
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     # A file of \\r\\n lines has plain line breaks in its values, as Spark's reader gives them.
     text = F.when(F.col("crlf"), F.replace("value", F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("value"))
-    rows = _records(lines).join(heads, "file").withColumn("fields", F.from_csv(text, schema, parser))
-    told = F.array(*[F.lower(F.col("fields")[f"c{i}"]) for i in range(len(names))])
+    rows = _records(lines).join(heads, "file").withColumn("text", text)
+    # Without quotes and line breaks a record is its text cut at the commas; empty fields are missing.
+    plain = ~reduce(Column.__or__, [F.contains("text", F.lit(c)) for c in ('"', "\r", "\n", "\0")]) & F.lit(parser == PLAIN)
+    rows = rows.withColumns({"cut": F.when(plain, F.split("text", ",")), "fields": F.when(~plain, F.from_csv("text", schema, parser))})
+    values = [F.when(F.col("cut").isNotNull(), F.nullif(F.get("cut", F.lit(i)), F.lit(""))).otherwise(F.col("fields")[f"c{i}"]) for i in range(len(names))]
+    told = F.array(*[F.lower(v) for v in values])
     wrong = (F.col("row") == F.col("head")) & ~told.eqNullSafe(F.array(*[F.lit(n.lower()) for n in names]))
     checked = F.when(wrong, F.raise_error(F.concat(F.lit(f"header is not {','.join(names)} in "), F.col("file"))).cast("boolean")).otherwise(F.col("row") != F.col("head"))
-    return rows.where(checked).select(*[F.col("fields")[f"c{i}"].alias(n) for i, n in enumerate(names)], F.struct(*BLOCK, "row").alias("seq"))
+    return rows.where(checked).select(*[v.alias(n) for v, n in zip(values, names)], F.struct(*BLOCK, "row").alias("seq"))

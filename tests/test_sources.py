@@ -288,3 +288,26 @@ def test_a_batch_reads_only_keys_it_may_meet(spark, shop, tmp_path):
         scan = scan.children().apply(0)
     # Of 900 stored keys the files of the other batches give no row.
     assert scan.metrics().get("numOutputRows").get().value() <= 300
+
+
+def test_types_are_judged_as_by_plain_casts(spark):
+    """Only texts that look like a number are cast to one; the verdict is that of casting every text."""
+    texts = ["", "1", "-5", "+5", "1.0", "1.", ".5", ".", "12 ", " 12", "12\n", "12\x7f", "5\x85", "5\u2028", "1e5", "1d", "1.5D", "nan", "-Infinity", "+inf",
+             "0x1p3", "999999999", "9999999999", "99999999999999999999", "1996-01-02", "1996-13-40", "1996-01-02 10:11", "TRUE", "yes", "1-URGENT", "٠١"]
+    looks = {"date": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "timestamp": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9:.]+", "boolean": r"(?i)^(true|false)$"}
+    text = F.col("text")
+    plainly = sum((F.when((F.when(text.rlike(looks[k]), text) if k in looks else text).try_cast(k).isNull(), 1 << i).otherwise(0)
+                   for i, k in enumerate(readers.TYPES)), F.lit(0))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.select("text", readers._unread(text).alias("n"), plainly.alias("o")).where("n != o").collect() == []
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS text").select(readers._unread(text)).first()[0] is None
+
+
+def test_records_without_quotes_are_cut_and_not_parsed(spark, tmp_path):
+    from martlet.sources import records
+    with open(tmp_path / "in.csv", "w", newline="") as f:
+        f.write('a,b,c\n1,,x y\n , \t,\n"q,1",2,3\n4,5\n6,7,8,9\n"a\nb","say ""x""",\n,,\n')
+    split = records.read_split(spark, f"{tmp_path}/in.csv", readers.CSV)
+    whole = spark.read.options(**readers.CSV, multiLine="true").csv(f"{tmp_path}/in.csv")
+    assert sorted(rows_of(split, "a", "b", "c"), key=str) == sorted(rows_of(whole), key=str)
+    assert "split(" in split._jdf.queryExecution().optimizedPlan().toString()
