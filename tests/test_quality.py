@@ -131,3 +131,12 @@ def test_load_checks(shop):
         shop.raw(CUSTOMERS, [(1, "a", 5, None, "North", "2024-01-01", None)] * 2), products, sales).collect()}
     assert broken["customers", "primary_key"] == 1 and broken["customers", "age_range"] == 2
     assert broken["customers", "city_not_null"] == 2 and broken["orders", "customer_id_reference"] == 2
+
+
+def test_stripping_is_that_of_the_pattern(spark):
+    """Texts that begin and end with a visible ASCII character do not go through the pattern."""
+    texts = ["", " ", "a", " a", "a ", "a b", "\ta\n", "a\n", "a\u2028", "\u00a0a\u00a0", "é", " é ", "a\u3000", "\x85a", "a\x7f", "\x7fa ", "a\n\n", "~", "!x", "a\r\n", "\x00 a"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    wanted = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert df.where(~q.stripped(F.col("t")).eqNullSafe(wanted)).collect() == []
+    assert "ascii" in df.select(q.stripped(F.col("t")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
