@@ -98,3 +98,28 @@ def test_unknown_region_is_all_zeros(spark, shop):
     fitted = Pipeline(stages=churn.preprocessing()).fit(churn.model_input(known))
     features = fitted.transform(churn.model_input(new)).first().features.toArray()
     assert list(features[6:]) == [0.0, 0.0]
+
+
+def test_queries_on_models_run_after_an_observation(spark, monkeypatch):
+    """Each registered query that scores with a fitted model, in a session that took an observation."""
+    from pyspark.sql import Observation
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    monkeypatch.setattr(churn, "TREES", 3)
+    monkeypatch.setattr(registry, "_TRAINED", {})
+    got = {name: registry.QUERIES[name](spark, SMALL).collect() for name in (
+        "churn_forest", "churn_evaluate", "churn_select", "churn_feature_impact", "churn_score", "risk_category",
+        "risk_counts", "risk_filter", "churn_model_io", "churn_held_out")}
+    everybody = {r.customer_id for r in got["churn_score"]}
+    assert len(everybody) == len(got["churn_score"]) == registry.QUERIES["churn_features"](spark, SMALL).count()
+    assert sorted(map(tuple, got["churn_model_io"])) == sorted(map(tuple, got["churn_score"]))
+    assert {r.customer_id for r in got["risk_category"]} == everybody and all(r.in_range and r.band_agrees for r in got["risk_category"])
+    assert sum(r.customers for r in got["risk_counts"]) == len(everybody)
+    assert {r.customer_id for r in got["risk_filter"]} == {r.customer_id for r in got["churn_score"] if r.risk_category != "Low Risk"}
+    assert {r.customer_id for r in got["churn_forest"]} < everybody
+    held = {(r.model, r.churned): r.customers for r in got["churn_held_out"]}
+    assert sum(held.values()) == 2 * len(got["churn_forest"])
+    best = max(r.roc_auc for r in got["churn_evaluate"])
+    assert len(got["churn_evaluate"]) == 2 and [r.roc_auc for r in got["churn_select"]] == [best]
+    assert {r.feature for r in got["churn_feature_impact"]} > set(churn.NUMERIC)
