@@ -123,3 +123,18 @@ def test_queries_on_models_run_after_an_observation(spark, monkeypatch):
     best = max(r.roc_auc for r in got["churn_evaluate"])
     assert len(got["churn_evaluate"]) == 2 and [r.roc_auc for r in got["churn_select"]] == [best]
     assert {r.feature for r in got["churn_feature_impact"]} > set(churn.NUMERIC)
+
+
+def test_forest_keeps_node_ids_and_the_same_trees(spark, monkeypatch):
+    monkeypatch.setattr(churn, "TREES", 5)
+    features = spark.createDataFrame(
+        [(i, "North" if i % 3 else "South", 30 + i * 7 % 20, 1 + i % 4, 10.0 * i, 10.0 + i % 7, 0.1 * (i % 3), 5, i % 30, int(i * 13 % 11 > 4)) for i in range(1, 201)],
+        "customer_id bigint, region string, age int, frequency bigint, monetary double, avg_order_value double, "
+        "return_frequency double, recency_days int, customer_tenure_days int, churned int")
+    rows = churn.model_input(features)
+    kept = churn.churn_forest(rows).stages[-1]
+    assert kept.getCacheNodeIds()
+    kind = churn.RandomForestClassifier
+    monkeypatch.setattr(churn, "RandomForestClassifier", lambda **settings: kind(**{**settings, "cacheNodeIds": False}))
+    walked = churn.churn_forest(rows).stages[-1]
+    assert not walked.getCacheNodeIds() and walked.toDebugString.split("\n", 1)[1] == kept.toDebugString.split("\n", 1)[1]
