@@ -112,7 +112,7 @@ def judge(audit: StarAudit, folder: str) -> StarAudit:
         return replace(part, rows=rows, counted=counted)
 
     customers, products = stored(audit.customers), stored(audit.products)
-    orders = stored(audit.judge_orders(customers.cleaned(), products.cleaned()))
+    orders = stored(audit.judge_orders(customers.cleaned(), products.cleaned(), lambda df, what: stage(df, f"{folder}/orders_{what}")))
     return replace(audit, customers=customers, products=products, orders=orders)
 
 
