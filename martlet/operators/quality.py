@@ -255,6 +255,7 @@ def mark_foreign_keys(orders: DataFrame, customers: DataFrame, products: DataFra
             cells = keep(cells_of(known, F.col(key)), f"known_{name}")
             orders = mark_members(orders, F.col(key), cells, f"known_{name}")
             orders = orders.withColumn(f"{FLAG}orphan_{name}", ~F.col(f"known_{name}")).drop(f"known_{name}")
+            orders = orders.select(key, *[c for c in orders.columns if c != key])   # the order of columns that a join gives
             continue
         known = table.select(key).withColumn(f"known_{name}", F.lit(True))
         orders = orders.join(known, key, "left")
